@@ -171,6 +171,250 @@ def q_pop_buckets_counts(spark, sf):
                                      empty_message="No items to analyze.")
 
 
+# ----------------------------------------------------------------- split, tiers, sampling
+
+from mnemo.operators import recommend as RC  # noqa: E402
+from mnemo.operators import split as SP  # noqa: E402
+
+TRAIN_RATIO = 0.8
+SAMPLE_SEED = 42
+SAMPLE_PER_TIER = 50
+
+
+def split_table(spark, sf):
+    return D._cached(spark, sf, "split", lambda: SP.train_test_split(D.interactions(spark, sf), TRAIN_RATIO))
+
+
+def train_titles(spark, sf):
+    return RC.enrich_titles(split_table(spark, sf).filter(F.col("split") == "train"), D.items(spark, sf))
+
+
+def test_titles(spark, sf):
+    return RC.enrich_titles(split_table(spark, sf).filter(F.col("split") == "test"), D.items(spark, sf))
+
+
+def eligible(spark, sf):
+    return RC.eligible_users(train_titles(spark, sf), test_titles(spark, sf))
+
+
+def answered(spark, sf):
+    """Recommendation answers of eligible users (users without an answer failed)."""
+    return D.rec_responses(spark, sf).join(eligible(spark, sf), "UserID", "left_semi")
+
+
+def parsed(spark, sf):
+    return RC.parse_ranked_list(answered(spark, sf))
+
+
+SPLIT_CTES = {
+    "split_pos": (("interactions",), """SELECT UserID, MovieID, RowIndex,
+       CAST(row_number() OVER (PARTITION BY UserID ORDER BY RowIndex) - 1 AS BIGINT) AS UserPos,
+       count(*) OVER (PARTITION BY UserID) AS n FROM interactions"""),
+    "split": (("split_pos",), f"""SELECT UserID, MovieID, RowIndex, UserPos,
+       CASE WHEN UserPos < (CASE WHEN n < 2 THEN n ELSE greatest(1, CAST(floor({TRAIN_RATIO!r} * n) AS BIGINT)) END)
+            THEN 'train' ELSE 'test' END AS split FROM split_pos"""),
+    "train_titles": (("split", "items"), """SELECT s.UserID, s.MovieID, s.RowIndex, s.UserPos, i.Title
+FROM split s JOIN items i ON i.MovieID = s.MovieID WHERE s.split = 'train'"""),
+    "test_titles": (("split", "items"), """SELECT s.UserID, s.MovieID, s.RowIndex, s.UserPos, i.Title
+FROM split s JOIN items i ON i.MovieID = s.MovieID WHERE s.split = 'test'"""),
+    "eligible": (("train_titles", "test_titles"), """SELECT DISTINCT UserID FROM train_titles
+WHERE UserID IN (SELECT UserID FROM test_titles)"""),
+    "answered": (("rec_responses", "eligible"), """SELECT UserID, output FROM rec_responses
+WHERE UserID IN (SELECT UserID FROM eligible)"""),
+    "rec_raw": (("answered",), f"""SELECT UserID, CAST(line_no AS BIGINT) AS line_no, {Q.strip('raw')} AS line FROM (
+  SELECT UserID, unnest(arr) AS raw, unnest(range(0, len(arr))) AS line_no
+  FROM (SELECT UserID, string_split_regex(output, '{T.LINE_BREAKS}') AS arr FROM answered))"""),
+    "recs_all": (("rec_raw",), f"""SELECT UserID, line_no, TRY_CAST(regexp_extract(line, '{T.RANKED_LINE_RE2}', 1) AS BIGINT) AS Rank,
+       {Q.strip(f"regexp_extract(line, '{T.RANKED_LINE_RE2}', 2)")} AS Title
+FROM rec_raw WHERE line <> '' AND regexp_matches(line, '{T.RANKED_LINE_RE2}')"""),
+    "recs": (("recs_all",), "SELECT * FROM recs_all WHERE Rank IS NOT NULL AND Rank >= 1"),
+    "rejects": (("recs_all",), "SELECT * FROM recs_all WHERE NOT (Rank IS NOT NULL AND Rank >= 1)"),
+}
+
+
+def ssql(body: str, *needs: str, extra: dict | None = None) -> str:
+    defs = dict(SPLIT_CTES)
+    if extra:
+        defs.update(extra)
+    return sql(body, *needs, extra=defs)
+
+
+@register("train_test_split", ssql("SELECT UserID, MovieID, RowIndex, UserPos, split FROM split", "split"))
+def q_train_test_split(spark, sf):
+    return split_table(spark, sf).select("UserID", "MovieID", "RowIndex", "UserPos", "split")
+
+
+@register("split_sizes", ssql("SELECT split, count(*) AS n FROM split GROUP BY split", "split"))
+def q_split_sizes(spark, sf):
+    return SP.split_sizes(split_table(spark, sf))
+
+
+@register("enrich_titles", ssql("SELECT UserID, MovieID, RowIndex, Title FROM train_titles", "train_titles"))
+def q_enrich_titles(spark, sf):
+    return train_titles(spark, sf).select("UserID", "MovieID", "RowIndex", "Title")
+
+
+@register("eligible_users", ssql("SELECT UserID FROM eligible", "eligible"))
+def q_eligible_users(spark, sf):
+    return eligible(spark, sf)
+
+
+@register("user_histories", ssql("""SELECT UserID, count(*) AS n_titles, string_agg(Title, ', ' ORDER BY RowIndex) AS history
+FROM train_titles GROUP BY UserID""", "train_titles"))
+def q_user_histories(spark, sf):
+    return RC.user_histories(train_titles(spark, sf))
+
+
+@register("parse_ranked_list", ssql("SELECT UserID, line_no, Rank, Title FROM recs", "recs"))
+def q_parse_ranked_list(spark, sf):
+    return parsed(spark, sf)[0]
+
+
+@register("parse_rejects", ssql("SELECT UserID, line_no, Rank, Title FROM rejects", "rejects"))
+def q_parse_rejects(spark, sf):
+    return parsed(spark, sf)[1]
+
+
+@register("rec_totals", ssql("SELECT count(*) AS total_recommendations, count(DISTINCT Title) AS unique_items FROM recs", "recs"))
+def q_rec_totals(spark, sf):
+    return RC.rec_totals(parsed(spark, sf)[0])
+
+
+@register("rec_item_counts", ssql("SELECT Title, count(*) AS n FROM recs GROUP BY Title", "recs"))
+def q_rec_item_counts(spark, sf):
+    return RC.rec_item_counts(parsed(spark, sf)[0])
+
+
+@register("rec_position_counts", ssql("SELECT Rank, Title, count(*) AS n FROM recs GROUP BY Rank, Title", "recs"))
+def q_rec_position_counts(spark, sf):
+    return RC.rec_position_counts(parsed(spark, sf)[0])
+
+
+@register("top_items", ssql("SELECT Title, count(*) AS n FROM recs GROUP BY Title ORDER BY n DESC, Title LIMIT 10", "recs"))
+def q_top_items(spark, sf):
+    return RC.top_items(parsed(spark, sf)[0], 10)
+
+
+@register("top_by_position", ssql("""SELECT Rank, Title, n, pos FROM (
+  SELECT Rank, Title, n, CAST(row_number() OVER (PARTITION BY Rank ORDER BY n DESC, Title) AS BIGINT) AS pos
+  FROM (SELECT Rank, Title, count(*) AS n FROM recs GROUP BY Rank, Title)) WHERE pos <= 5""", "recs"))
+def q_top_by_position(spark, sf):
+    return RC.top_by_position(parsed(spark, sf)[0], 5)
+
+
+@register("short_rec_lists", ssql("""SELECT a.UserID, coalesce(c.n, 0) AS n_recs FROM (SELECT DISTINCT UserID FROM answered) a
+LEFT JOIN (SELECT UserID, count(*) AS n FROM recs GROUP BY UserID) c ON c.UserID = a.UserID
+WHERE coalesce(c.n, 0) < 50""", "answered", "recs"))
+def q_short_rec_lists(spark, sf):
+    return RC.short_rec_lists(parsed(spark, sf)[0], answered(spark, sf))
+
+
+ABSENT_CTE = {"absent": (("recs", "items"), f"""SELECT norm_title, count(*) AS n FROM (SELECT {Q.normalize_clean('Title')} AS norm_title FROM recs)
+GROUP BY norm_title
+HAVING norm_title NOT IN (SELECT DISTINCT {Q.normalize_clean('Title')} FROM (SELECT DISTINCT Title FROM items WHERE Title IS NOT NULL))""")}
+
+
+@register("absent_items", ssql("SELECT norm_title, n FROM absent", "absent", extra=ABSENT_CTE))
+def q_absent_items(spark, sf):
+    return RC.absent_items(parsed(spark, sf)[0], D.items(spark, sf))
+
+
+@register("absent_totals", ssql("SELECT count(*) AS distinct_missing, coalesce(sum(n), 0) AS total_missing FROM absent",
+                                "absent", extra=ABSENT_CTE))
+def q_absent_totals(spark, sf):
+    return RC.absent_totals(RC.absent_items(parsed(spark, sf)[0], D.items(spark, sf)))
+
+
+# ----------------------------------------------------------------- ranking metrics
+
+def _metrics_sql(preset: RC.Preset, norm_sql) -> str:
+    t = preset.threshold
+    if preset.population == "responded":
+        pop = "SELECT DISTINCT UserID FROM answered"
+    else:
+        pop = "SELECT DISTINCT UserID FROM recs WHERE UserID IN (SELECT UserID FROM test_titles)"
+    disc = RC.discounts()
+    ideal = RC.ideal_prefix()
+    disc_list = "[" + ", ".join(repr(x) for x in disc) + "]"
+    ideal_list = "[" + ", ".join(repr(x) for x in ideal) + "]"
+    extra = {
+        "m_pop": (("answered", "recs", "test_titles"), pop),
+        "m_recs": (("recs", "m_pop"), f"SELECT UserID, Rank, {norm_sql('Title')} AS rec_norm FROM recs WHERE UserID IN (SELECT UserID FROM m_pop)"),
+        "m_test": (("test_titles", "m_pop"), f"SELECT UserID, {norm_sql('Title')} AS test_norm FROM test_titles WHERE UserID IN (SELECT UserID FROM m_pop)"),
+        "m_pairs": (("m_recs", "m_test"), """SELECT DISTINCT r.UserID, r.rec_norm, t.test_norm
+FROM (SELECT DISTINCT UserID, rec_norm FROM m_recs) r JOIN (SELECT DISTINCT UserID, test_norm FROM m_test) t ON t.UserID = r.UserID"""),
+    }
+    if t >= 100:
+        extra["m_hits"] = (("m_pairs",), "SELECT DISTINCT UserID, rec_norm FROM m_pairs WHERE rec_norm = test_norm")
+    else:
+        bound = "(CASE WHEN length(rec_norm) + length(test_norm) = 0 THEN 100.0 ELSE CAST(least(length(rec_norm), length(test_norm)) AS DOUBLE) * 200.0 / (length(rec_norm) + length(test_norm)) END)"
+        extra.update(Q.lcs_ctes("m_lcs", f"SELECT rec_norm AS a, test_norm AS b FROM m_pairs WHERE rec_norm <> test_norm AND {bound} >= {t} - 1e-9"))
+        extra["m_hits"] = (("m_pairs", "m_lcs"), f"""SELECT DISTINCT p.UserID, p.rec_norm FROM m_pairs p
+LEFT JOIN m_lcs l ON l.a = p.rec_norm AND l.b = p.test_norm
+WHERE p.rec_norm = p.test_norm OR {Q.ratio_expr('l.a', 'l.b', 'l.lcs')} >= {t}""")
+    extra["m_matched"] = (("m_recs", "m_hits"), """SELECT r.UserID, r.Rank FROM m_recs r
+JOIN m_hits h ON h.UserID = r.UserID AND h.rec_norm = r.rec_norm""")
+    extra["m_ks"] = ((), "SELECT * FROM (VALUES " + ", ".join(f"({k})" for k in RC.CUTOFFS) + ") v(k)")
+    extra["m_ntest"] = (("m_test",), "SELECT UserID, count(*) AS n_test FROM m_test GROUP BY UserID")
+    extra["m_user"] = (("m_pop", "m_ks", "m_ntest", "m_matched"), f"""SELECT p.UserID, k.k,
+       CAST(CASE WHEN EXISTS (SELECT 1 FROM m_matched m WHERE m.UserID = p.UserID AND m.Rank <= k.k) THEN 1 ELSE 0 END AS DOUBLE) AS hr,
+       coalesce((SELECT sum({disc_list}[m.Rank]) FROM m_matched m WHERE m.UserID = p.UserID AND m.Rank <= k.k), 0.0) AS dcg,
+       (SELECT min(m.Rank) FROM m_matched m WHERE m.UserID = p.UserID AND m.Rank <= k.k) AS first_rank,
+       least(coalesce(n.n_test, 0), k.k) AS n_ideal
+FROM m_pop p CROSS JOIN m_ks k LEFT JOIN m_ntest n ON n.UserID = p.UserID""")
+    body = f"""SELECT CAST(k.k AS INTEGER) AS k, round(coalesce(avg(hr), 0.0), 6) AS hr,
+       round(coalesce(avg(CASE WHEN n_ideal > 0 THEN dcg / {ideal_list}[n_ideal] ELSE 0.0 END), 0.0), 6) AS ndcg,
+       round(coalesce(avg(coalesce(1.0 / first_rank, 0.0)), 0.0), 6) AS mrr,
+       CAST(count(u.UserID) AS BIGINT) AS n_users
+FROM m_ks k LEFT JOIN m_user u ON u.k = k.k GROUP BY k.k"""
+    return ssql(body, *extra.keys(), extra=extra)
+
+
+def _metrics(preset):
+    def build(spark, sf):
+        recs = parsed(spark, sf)[0]
+        return RC.ranking_metrics(recs, test_titles(spark, sf), answered(spark, sf), preset)
+    return build
+
+
+register("metrics_inline", _metrics_sql(RC.INLINE, Q.normalize_plain))(_metrics(RC.INLINE))
+register("metrics_evaluator", _metrics_sql(RC.EVALUATOR, Q.normalize_clean))(_metrics(RC.EVALUATOR))
+register("metrics_exact", _metrics_sql(RC.EVALUATOR_EXACT, Q.normalize_clean))(_metrics(RC.EVALUATOR_EXACT))
+
+
+def _matches_sql(preset, norm_sql):
+    s = _metrics_sql(preset, norm_sql)
+    head, _, _ = s.rpartition("SELECT CAST(k.k AS INTEGER)")
+    return head + "SELECT r.UserID, r.Rank, r.rec_norm, CASE WHEN h.UserID IS NULL THEN 0 ELSE 1 END AS match FROM m_recs r LEFT JOIN m_hits h ON h.UserID = r.UserID AND h.rec_norm = r.rec_norm"
+
+
+def _matches(preset):
+    def build(spark, sf):
+        recs = parsed(spark, sf)[0]
+        users = RC.population(preset, answered(spark, sf), recs, test_titles(spark, sf))
+        m = RC.match_recs(recs.join(users, "UserID", "left_semi"), test_titles(spark, sf), preset)
+        return m.select("UserID", "Rank", "rec_norm", "match")
+    return build
+
+
+register("rec_matches_fuzzy", _matches_sql(RC.INLINE, Q.normalize_plain))(_matches(RC.INLINE))
+register("rec_matches_exact", _matches_sql(RC.EVALUATOR_EXACT, Q.normalize_clean))(_matches(RC.EVALUATOR_EXACT))
+
+
+@register("ideal_dcg", ssql(f"""SELECT UserID, k, n_test, least(n_test, k) AS n_ideal,
+       round(CASE WHEN least(n_test, k) > 0 THEN {'[' + ', '.join(repr(x) for x in RC.ideal_prefix()) + ']'}[least(n_test, k)] ELSE 0.0 END, 6) AS ideal_dcg
+FROM (SELECT UserID, count(*) AS n_test FROM test_titles GROUP BY UserID) CROSS JOIN (SELECT * FROM (VALUES {', '.join(f'({k})' for k in RC.CUTOFFS)}) v(k))""",
+      "test_titles"))
+def q_ideal_dcg(spark, sf):
+    n_test = test_titles(spark, sf).groupBy("UserID").agg(F.count(F.lit(1)).alias("n_test"))
+    ks = F.array(*[F.lit(k) for k in RC.CUTOFFS])
+    ideal = F.array(*[F.lit(v) for v in RC.ideal_prefix()])
+    out = n_test.select("UserID", F.explode(ks).alias("k"), "n_test")
+    n_ideal = F.least(F.col("n_test"), F.col("k").cast("long"))
+    return out.select("UserID", "k", "n_test", n_ideal.alias("n_ideal"),
+                      F.round(F.when(n_ideal > 0, F.element_at(ideal, n_ideal.cast("int"))).otherwise(F.lit(0.0)), 6).alias("ideal_dcg"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 
