@@ -415,6 +415,259 @@ def q_ideal_dcg(spark, sf):
                       F.round(F.when(n_ideal > 0, F.element_at(ideal, n_ideal.cast("int"))).otherwise(F.lit(0.0)), 6).alias("ideal_dcg"))
 
 
+# ----------------------------------------------------------------- probes: interactions & users
+
+from mnemo.operators import recall as RL  # noqa: E402
+
+
+def interaction_results(spark, sf, rule=scoring.INTERACTION_RULE):
+    return scoring.score_interactions(D.interactions(spark, sf), D.interaction_responses(spark, sf), rule)
+
+
+def user_results(spark, sf):
+    return scoring.score_users(D.users(spark, sf), D.user_responses(spark, sf))
+
+
+PROBE_CTES = {
+    "inter_gen": (("interactions", "interaction_responses"), f"""SELECT i.RowIndex, i.UserID,
+       concat(CAST(i.UserID AS VARCHAR), '::', CAST(i.MovieID AS VARCHAR)) AS RealInteraction,
+       {Q.response_text('r.output', T.ERROR_TEXT)} AS GeneratedInteraction
+FROM interactions i LEFT JOIN interaction_responses r ON r.RowIndex = i.RowIndex"""),
+    **Q.lcs_ctes("inter_lcs", "SELECT GeneratedInteraction AS a, RealInteraction AS b FROM inter_gen"),
+    "inter_scores": (("inter_gen", "inter_lcs"), f"""SELECT g.RowIndex, g.UserID, g.GeneratedInteraction, g.RealInteraction,
+       CASE WHEN {Q.sim_expr('g.GeneratedInteraction', 'g.RealInteraction', 'l.lcs')} > 80 THEN 0 ELSE 1 END AS ErrorFlag,
+       CASE WHEN {Q.sim_expr('g.GeneratedInteraction', 'g.RealInteraction', 'l.lcs')} > 90 THEN 0 ELSE 1 END AS ErrorFlagUser
+FROM inter_gen g LEFT JOIN inter_lcs l ON l.a = g.GeneratedInteraction AND l.b = g.RealInteraction"""),
+    "user_gen": (("users", "user_responses"), f"""SELECT u.RowIndex,
+       concat(CAST(u.UserID AS VARCHAR), '::', u.Gender, '::', CAST(u.Age AS VARCHAR), '::', CAST(u.Occupation AS VARCHAR), '::', u.Zip_code) AS RealUser,
+       {Q.response_text('r.output', T.ERROR_TEXT)} AS GeneratedUser
+FROM users u LEFT JOIN user_responses r ON r.RowIndex = u.RowIndex"""),
+    **Q.lcs_ctes("user_lcs", "SELECT GeneratedUser AS a, RealUser AS b FROM user_gen"),
+    "user_scores": (("user_gen", "user_lcs"), f"""SELECT g.RowIndex, g.GeneratedUser, g.RealUser,
+       CASE WHEN {Q.sim_expr('g.GeneratedUser', 'g.RealUser', 'l.lcs')} >= 90 THEN 0 ELSE 1 END AS ErrorFlag
+FROM user_gen g LEFT JOIN user_lcs l ON l.a = g.GeneratedUser AND l.b = g.RealUser"""),
+    "tiers": (("activity",), """SELECT UserID, InteractionCount, ActivityRank,
+       CASE WHEN ActivityRank < CAST(floor(0.2 * n) AS BIGINT) THEN 'top'
+            WHEN ActivityRank < CAST(floor(0.8 * n) AS BIGINT) THEN 'middle' ELSE 'bottom' END AS tier
+FROM (SELECT UserID, InteractionCount,
+             CAST(row_number() OVER (ORDER BY InteractionCount DESC, UserID) - 1 AS BIGINT) AS ActivityRank,
+             count(*) OVER () AS n FROM activity)"""),
+    "sampled": (("tiers",), f"""SELECT tier, UserID FROM (
+  SELECT tier, UserID, row_number() OVER (PARTITION BY tier ORDER BY md5(concat(CAST(UserID AS VARCHAR), ':{SAMPLE_SEED}')), UserID) AS rn
+  FROM tiers) WHERE rn <= {SAMPLE_PER_TIER}"""),
+}
+
+
+def psql(body: str, *needs: str, extra: dict | None = None) -> str:
+    defs = dict(PROBE_CTES)
+    if extra:
+        defs.update(extra)
+    return ssql(body, *needs, extra=defs)
+
+
+@register("score_interactions", psql("SELECT RowIndex, GeneratedInteraction, RealInteraction, ErrorFlag FROM inter_scores", "inter_scores"))
+def q_score_interactions(spark, sf):
+    return interaction_results(spark, sf).drop("UserID")
+
+
+@register("score_users", psql("SELECT RowIndex, GeneratedUser, RealUser, ErrorFlag FROM user_scores", "user_scores"))
+def q_score_users(spark, sf):
+    return user_results(spark, sf)
+
+
+@register("interaction_key", Q.build("SELECT RowIndex, concat(CAST(UserID AS VARCHAR), '::', CAST(MovieID AS VARCHAR)) AS record FROM interactions", "interactions"))
+def q_interaction_key(spark, sf):
+    return D.interactions(spark, sf).select("RowIndex", T.record_string("UserID", "MovieID").alias("record"))
+
+
+@register("user_record", Q.build("""SELECT RowIndex, concat(CAST(UserID AS VARCHAR), '::', Gender, '::', CAST(Age AS VARCHAR), '::',
+       CAST(Occupation AS VARCHAR), '::', Zip_code) AS record FROM users""", "users"))
+def q_user_record(spark, sf):
+    return D.users(spark, sf).select("RowIndex", T.record_string("UserID", "Gender", "Age", "Occupation", "Zip_code").alias("record"))
+
+
+@register("user_tiers", psql("SELECT UserID, InteractionCount, ActivityRank, tier FROM tiers", "tiers"))
+def q_user_tiers(spark, sf):
+    return activity.user_tiers(D.interactions(spark, sf))
+
+
+def sampled(spark, sf):
+    return activity.sample_users(activity.user_tiers(D.interactions(spark, sf)), SAMPLE_PER_TIER, SAMPLE_SEED)
+
+
+@register("sample_users", psql("SELECT tier, UserID FROM sampled", "sampled"))
+def q_sample_users(spark, sf):
+    return sampled(spark, sf)
+
+
+@register("sample_sizes", psql("SELECT tier, count(*) AS n FROM sampled GROUP BY tier", "sampled"))
+def q_sample_sizes(spark, sf):
+    return sampled(spark, sf).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("group_filter", psql("""SELECT s.tier, i.UserID, i.MovieID, i.RowIndex FROM interactions i JOIN sampled s ON s.UserID = i.UserID""",
+                               "interactions", "sampled"))
+def q_group_filter(spark, sf):
+    s = sampled(spark, sf)
+    rows = activity.group_filter(D.interactions(spark, sf), s)
+    return rows.join(s, "UserID").select("tier", "UserID", "MovieID", "RowIndex")
+
+
+@register("users_first_seen", Q.build("""SELECT UserID, FirstRowIndex, CAST(row_number() OVER (ORDER BY FirstRowIndex) - 1 AS BIGINT) AS UserOrder
+FROM (SELECT UserID, min(RowIndex) AS FirstRowIndex FROM interactions GROUP BY UserID)""", "interactions"))
+def q_users_first_seen(spark, sf):
+    return activity.users_first_seen(D.interactions(spark, sf))
+
+
+@register("recall_macro", psql("""SELECT round(avg(CAST(correct AS DOUBLE) / total), 6) AS recall, count(*) AS n_users FROM (
+  SELECT split_part(RealInteraction, '::', 1) AS u, count(ErrorFlag) AS total, sum(CASE WHEN ErrorFlag = 0 THEN 1 ELSE 0 END) AS correct
+  FROM inter_scores GROUP BY 1)""", "inter_scores"))
+def q_recall_macro(spark, sf):
+    return RL.recall_macro(interaction_results(spark, sf))
+
+
+@register("hit_ratio_string", psql("""SELECT round(avg(h), 6) AS mean_hit_ratio, CAST(sum(h) AS BIGINT) AS binary_hit_count, count(*) AS n_users FROM (
+  SELECT split_part(RealInteraction, '::', 1) AS u,
+         max(CASE WHEN contains(substr(GeneratedInteraction, 1, 10), split_part(RealInteraction, '::', 2)) THEN 1 ELSE 0 END) AS h
+  FROM inter_scores GROUP BY 1)""", "inter_scores"))
+def q_hit_ratio_string(spark, sf):
+    return RL.hit_ratio(interaction_results(spark, sf), 10, as_array=False)
+
+
+@register("hit_ratio_array", psql("""SELECT round(avg(h), 6) AS mean_hit_ratio, CAST(sum(h) AS BIGINT) AS binary_hit_count, count(*) AS n_users FROM (
+  SELECT split_part(RealInteraction, '::', 1) AS u,
+         max(CASE WHEN list_contains(string_split(split_part(GeneratedInteraction, '::', 2), ',')[1:10], split_part(RealInteraction, '::', 2)) THEN 1 ELSE 0 END) AS h
+  FROM inter_scores GROUP BY 1)""", "inter_scores"))
+def q_hit_ratio_array(spark, sf):
+    return RL.hit_ratio(interaction_results(spark, sf), 10, as_array=True)
+
+
+@register("global_running_errors", psql("""SELECT RowIndex, ErrorFlag,
+       CAST(sum(ErrorFlag) OVER (ORDER BY RowIndex ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_errors
+FROM inter_scores""", "inter_scores"))
+def q_global_running_errors(spark, sf):
+    from mnemo.operators.positions import prefix_sum
+    res = interaction_results(spark, sf).select("RowIndex", "ErrorFlag")
+    return prefix_sum(res, "ErrorFlag", "RowIndex", "cum_errors")
+
+
+def probe_report_sql(src: str, src_sql: tuple, pair) -> str:
+    extra, body = pair
+    return psql(body, src, *extra.keys(), extra={**extra, src: src_sql})
+
+
+@register("coverage_interactions", probe_report_sql(
+    "inter_ranked", (("inter_scores",), "SELECT RowIndex + 1 AS rank, ErrorFlagUser AS ErrorFlag FROM inter_scores"),
+    Q.percentile_report("inter_ranked", [100], False)))
+def q_coverage_interactions(spark, sf):
+    res = interaction_results(spark, sf, scoring.USER_INTERACTION_RULE)
+    return coverage.coverage_percentiles(coverage.rank_results(res, "RowIndex", dense=True), [100])
+
+
+@register("coverage_users", probe_report_sql(
+    "user_ranked", (("user_scores",), "SELECT RowIndex + 1 AS rank, ErrorFlag FROM user_scores"),
+    Q.percentile_report("user_ranked", PERCENTILES, False)))
+def q_coverage_users(spark, sf):
+    return coverage.coverage_percentiles(coverage.rank_results(user_results(spark, sf), "RowIndex", dense=True), PERCENTILES)
+
+
+# ----------------------------------------------------------------- string functions
+
+
+@register("clean_title", Q.build(f"SELECT MovieID, {Q.clean_title('Title')} AS cleaned FROM items", "items"))
+def q_clean_title(spark, sf):
+    return D.items(spark, sf).select("MovieID", T.clean_title("Title").alias("cleaned"))
+
+
+@register("normalize_title_plain", Q.build(f"SELECT MovieID, {Q.normalize_plain('Title')} AS norm FROM items", "items"))
+def q_normalize_title_plain(spark, sf):
+    return D.items(spark, sf).select("MovieID", T.normalize_title_plain("Title").alias("norm"))
+
+
+@register("normalize_title_eval", Q.build(f"SELECT MovieID, {Q.normalize_clean('Title')} AS norm FROM items", "items"))
+def q_normalize_title_eval(spark, sf):
+    return D.items(spark, sf).select("MovieID", T.normalize_title_clean("Title").alias("norm"))
+
+
+@register("strip_ws", f"SELECT doc_id, {Q.strip('text')} AS stripped FROM documents")
+def q_strip_ws(spark, sf):
+    return D.table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", T.py_strip("text").alias("stripped"))
+
+
+@register("strip_key_echo", Q.build(f"""SELECT MovieID, {Q.strip("replace(output, CAST(MovieID AS VARCHAR) || '::', '')")} AS answer
+FROM title_responses WHERE output IS NOT NULL""", "title_responses"))
+def q_strip_key_echo(spark, sf):
+    r = D.title_responses(spark, sf).filter(F.col("output").isNotNull())
+    return r.select("MovieID", T.strip_key_echo("output", "MovieID").alias("answer"))
+
+
+@register("response_sentinels", Q.build(f"""SELECT RowIndex, {Q.response_text('output', T.ERROR_TEXT)} AS answer FROM interaction_responses""",
+                                        "interaction_responses"))
+def q_response_sentinels(spark, sf):
+    return D.interaction_responses(spark, sf).select("RowIndex", T.response_text("output", T.ERROR_TEXT).alias("answer"))
+
+
+@register("split_interaction", psql("""SELECT RowIndex, split_part(RealInteraction, '::', 1) AS user_part,
+       split_part(RealInteraction, '::', 2) AS item_part FROM inter_scores""", "inter_scores"))
+def q_split_interaction(spark, sf):
+    r = interaction_results(spark, sf)
+    return r.select("RowIndex", T.split_record("RealInteraction", 0).alias("user_part"),
+                    T.split_record("RealInteraction", 1).alias("item_part"))
+
+
+@register("history_string", ssql("""SELECT UserID, string_agg(Title, ', ' ORDER BY RowIndex) AS history FROM train_titles GROUP BY UserID""",
+                                 "train_titles"))
+def q_history_string(spark, sf):
+    return RC.user_histories(train_titles(spark, sf)).select("UserID", "history")
+
+
+@register("last_message", """SELECT conv_id, text AS answer, role FROM (
+  SELECT conv_id, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1""")
+def q_last_message(spark, sf):
+    c = D.table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    msgs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role"), F.col("text").alias("content")))).alias("messages"))
+    last = F.element_at(F.col("messages"), -1)
+    return msgs.select("conv_id", T.last_message("messages").alias("answer"), last.getField("role").alias("role"))
+
+
+@register("model_slug", """SELECT p_partkey, replace(concat(p_brand, '/', p_type), '/', '_') AS slug FROM part""")
+def q_model_slug(spark, sf):
+    p = D.table(spark, sf, "part", ["p_partkey", "p_brand", "p_type"])
+    return p.select("p_partkey", T.model_slug(F.concat(F.col("p_brand"), F.lit("/"), F.col("p_type"))).alias("slug"))
+
+
+@register("record_to_map")
+def q_record_to_map(spark, sf):
+    """dict(zip(names, record.split('::'))): zip stops at the shorter side."""
+    names = F.array(*[F.lit(n) for n in ("UserID", "Gender", "Age", "Occupation", "Zip_code")])
+    r = user_results(spark, sf)
+    parts = F.split(F.col("GeneratedUser"), "::")
+    n = F.least(F.size(parts), F.size(names))
+    return r.select("RowIndex", F.map_from_arrays(F.slice(names, 1, n), F.slice(parts, 1, n)).alias("fields"))
+
+
+@register("title_lookup", sql("""SELECT k.MovieID, coalesce(i.Title, 'Unknown') AS RealTitle FROM
+  (SELECT DISTINCT l_partkey AS MovieID FROM lineitem UNION SELECT DISTINCT l_partkey + 100000 FROM lineitem) k
+  LEFT JOIN items i ON i.MovieID = k.MovieID""", "items"))
+def q_title_lookup(spark, sf):
+    li = D.table(spark, sf, "lineitem", ["l_partkey"])
+    keys = li.select(F.col("l_partkey").cast("long").alias("MovieID")).unionByName(
+        li.select((F.col("l_partkey") + 100000).cast("long").alias("MovieID"))).distinct()
+    return scoring.title_lookup(keys, D.items(spark, sf)).select("MovieID", "RealTitle")
+
+
+@register("popularity_join", sql("""SELECT p.MovieID, p.PopRank, coalesce(s.ErrorFlag, 1) AS ErrorFlag
+FROM popularity p LEFT JOIN title_scores s ON s.MovieID = p.MovieID""", "popularity", "title_scores"))
+def q_popularity_join(spark, sf):
+    return popularity_merged(spark, sf).select("MovieID", F.col("rank").alias("PopRank"), "ErrorFlag")
+
+
+@register("attach_responses", Q.build("""SELECT i.MovieID, r.output FROM items i LEFT JOIN title_responses r ON r.MovieID = i.MovieID""",
+                                      "items", "title_responses"))
+def q_attach_responses(spark, sf):
+    return scoring.attach_responses(D.items(spark, sf).select("MovieID"), D.title_responses(spark, sf), "MovieID")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 
