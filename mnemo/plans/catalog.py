@@ -668,6 +668,153 @@ def q_attach_responses(spark, sf):
     return scoring.attach_responses(D.items(spark, sf).select("MovieID"), D.title_responses(spark, sf), "MovieID")
 
 
+# ----------------------------------------------------------------- prompts
+
+from mnemo.operators import prompts as PR  # noqa: E402
+from mnemo.operators.positions import batch_ids as _batch_ids  # noqa: E402
+
+
+def _pair_sql(u: str, a: str) -> str:
+    return f"concat('user: ', {u}, chr(10), 'assistant: ', {a})"
+
+
+def prompt_ctes(prow_sql: tuple) -> dict:
+    """CTEs over prow(key, grp, fb, pos, flag, user_msg, asst_msg, ord) -> examples, transcripts."""
+    b = PR.BATCH_SIZE
+    k = PR.N_EXAMPLES
+    return {
+        "prow": prow_sql,
+        "pr_b": (("prow",), f"SELECT *, CAST(floor(pos / {b}) AS BIGINT) AS batch FROM prow"),
+        "pr_c": (("pr_b",), "SELECT grp, pos, user_msg, asst_msg, row_number() OVER (PARTITION BY grp ORDER BY pos) AS cnum FROM pr_b WHERE flag = 0"),
+        "pr_c0": (("pr_b", "pr_c"), f"""SELECT t.grp, t.fb, t.batch,
+       (SELECT count(*) FROM pr_c c WHERE c.grp = t.grp AND c.pos < t.batch * {b}) AS C0
+FROM (SELECT DISTINCT grp, fb, batch FROM pr_b) t"""),
+        "pr_init": (("prow",), f"""SELECT fb, slot, user_msg, asst_msg FROM (
+  SELECT fb, user_msg, asst_msg, row_number() OVER (PARTITION BY fb ORDER BY ord) AS slot FROM prow) WHERE slot <= {k}"""),
+        "pr_ex": (("pr_c0", "pr_c", "pr_init"), f"""SELECT c0.grp, c0.batch, CAST(c.cnum - greatest(c0.C0 - {k - 1}, 1) + 1 AS BIGINT) AS slot,
+       CAST(c.pos AS BIGINT) AS ex_pos, c.user_msg, c.asst_msg
+FROM pr_c0 c0 JOIN pr_c c ON c.grp = c0.grp AND c.cnum BETWEEN greatest(c0.C0 - {k - 1}, 1) AND c0.C0 WHERE c0.C0 > 0
+UNION ALL
+SELECT c0.grp, c0.batch, CAST(i.slot AS BIGINT), CAST(NULL AS BIGINT), i.user_msg, i.asst_msg
+FROM pr_c0 c0 JOIN pr_init i ON i.fb = c0.fb WHERE c0.C0 = 0"""),
+        "pr_ext": (("pr_ex",), f"""SELECT grp, batch, count(*) AS n_ex,
+       string_agg({_pair_sql('user_msg', 'asst_msg')}, chr(10) ORDER BY slot) AS ex_text FROM pr_ex GROUP BY grp, batch"""),
+        "pr_tr": (("pr_b",), f"""SELECT a.grp, a.pos, count(b.pos) AS n_tr,
+       string_agg(CASE WHEN b.pos IS NOT NULL THEN {_pair_sql('b.user_msg', 'b.asst_msg')} END, chr(10) ORDER BY b.pos) AS tr_text
+FROM pr_b a LEFT JOIN pr_b b ON b.grp = a.grp AND b.batch = a.batch AND b.pos < a.pos GROUP BY a.grp, a.pos"""),
+        "pr_out": (("pr_b", "pr_ext", "pr_tr"), """SELECT a.key, a.grp, a.pos, a.batch, 2 + 2 * coalesce(e.n_ex, 0) + 2 * t.n_tr AS n_messages,
+       e.ex_text, t.tr_text, a.user_msg
+FROM pr_b a LEFT JOIN pr_ext e ON e.grp = a.grp AND e.batch = a.batch JOIN pr_tr t ON t.grp = a.grp AND t.pos = a.pos"""),
+    }
+
+
+def prompt_text_sql(system: str) -> str:
+    sys_line = Q.lit("system: " + system.format(dataset=PR.DATASET_NAME))
+    return f"concat_ws(chr(10), {sys_line}, ex_text, tr_text, concat('user: ', user_msg))"
+
+
+TITLE_PROW = (("title_scores",), """SELECT MovieID AS key, 0 AS grp, 0 AS fb, ItemPos AS pos, ErrorFlag AS flag,
+       concat('Input: ', CAST(MovieID AS VARCHAR), '::') AS user_msg, concat(CAST(MovieID AS VARCHAR), '::', RealTitle, chr(10)) AS asst_msg,
+       MovieID AS ord FROM title_scores""")
+INTER_PROW = (("inter_scores",), """SELECT RowIndex AS key, 0 AS grp, 0 AS fb, RowIndex AS pos, ErrorFlag AS flag,
+       concat(split_part(RealInteraction, '::', 1), '::') AS user_msg, RealInteraction AS asst_msg, RowIndex AS ord FROM inter_scores""")
+USER_PROW = (("user_scores",), """SELECT RowIndex AS key, 0 AS grp, 0 AS fb, RowIndex AS pos, ErrorFlag AS flag,
+       concat(split_part(RealUser, '::', 1), '::') AS user_msg, RealUser AS asst_msg, RowIndex AS ord FROM user_scores""")
+PER_USER_PROW = (("inter_scores", "sampled"), """SELECT i.RowIndex AS key, i.UserID AS grp, s.tier AS fb,
+       CAST(row_number() OVER (PARTITION BY i.UserID ORDER BY i.RowIndex) - 1 AS BIGINT) AS pos, i.ErrorFlagUser AS flag,
+       concat(split_part(i.RealInteraction, '::', 1), '::') AS user_msg, i.RealInteraction AS asst_msg, i.RowIndex AS ord
+FROM inter_scores i JOIN sampled s ON s.UserID = i.UserID""")
+
+
+def prompt_sql(prow: tuple, body: str) -> str:
+    extra = prompt_ctes(prow)
+    return psql(body, *extra.keys(), extra=extra)
+
+
+def title_prompt_rows(spark, sf):
+    return PR.title_rows(title_results(spark, sf))
+
+
+def per_user_rows(spark, sf):
+    res = interaction_results(spark, sf, scoring.USER_INTERACTION_RULE)
+    return PR.user_probe_rows(res, sampled(spark, sf))
+
+
+@register("batch_ids", Q.build("SELECT RowIndex, CAST(floor(RowIndex / 50) AS BIGINT) AS batch FROM interactions", "interactions"))
+def q_batch_ids(spark, sf):
+    return _batch_ids(D.interactions(spark, sf), "RowIndex", PR.BATCH_SIZE).select("RowIndex", "batch")
+
+
+@register("initial_examples", prompt_sql(TITLE_PROW, "SELECT slot, user_msg, asst_msg FROM pr_init"))
+def q_initial_examples(spark, sf):
+    return PR.initial_examples(title_prompt_rows(spark, sf)).select("slot", "user_msg", "asst_msg")
+
+
+@register("last_three", psql("""SELECT RowIndex, GeneratedInteraction, RealInteraction, ErrorFlag FROM inter_scores
+ORDER BY RowIndex DESC LIMIT 3""", "inter_scores"))
+def q_last_three(spark, sf):
+    return PR.last_three(interaction_results(spark, sf).drop("UserID"), "RowIndex")
+
+
+@register("fewshot_examples", prompt_sql(TITLE_PROW, "SELECT batch, slot, ex_pos, asst_msg FROM pr_ex"))
+def q_fewshot_examples(spark, sf):
+    return PR.fewshot_examples(title_prompt_rows(spark, sf)).select("batch", "slot", "ex_pos", "asst_msg")
+
+
+@register("fewshot_examples_user", prompt_sql(PER_USER_PROW, "SELECT grp AS UserID, batch, slot, ex_pos, asst_msg FROM pr_ex"))
+def q_fewshot_examples_user(spark, sf):
+    ex = PR.fewshot_examples(per_user_rows(spark, sf), group_cols=["UserID"], fallback_cols=["tier"])
+    return ex.select("UserID", "batch", "slot", "ex_pos", "asst_msg")
+
+
+@register("transcript", prompt_sql(TITLE_PROW, "SELECT key, batch, n_tr, coalesce(tr_text, '') AS tr_text FROM pr_b JOIN pr_tr USING (grp, pos)"))
+def q_transcript(spark, sf):
+    from pyspark.sql import Window
+    rows = _batch_ids(title_prompt_rows(spark, sf), "pos", PR.BATCH_SIZE)
+    w = Window.partitionBy("batch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    tr = F.collect_list(F.struct("pos", "user_msg", "asst_msg")).over(w)
+    rows = rows.withColumn("tr", tr)
+    text = F.array_join(F.transform("tr", lambda s: F.concat(F.lit("user: "), s["user_msg"], F.lit("\nassistant: "), s["asst_msg"])), "\n")
+    return rows.select("key", "batch", F.size("tr").cast("long").alias("n_tr"), text.alias("tr_text"))
+
+
+@register("prompts_title", prompt_sql(TITLE_PROW, f"SELECT key, batch, n_messages, {prompt_text_sql(PR.TITLE_SYSTEM)} AS prompt FROM pr_out"))
+def q_prompts_title(spark, sf):
+    p = PR.build_prompts(title_prompt_rows(spark, sf), PR.TITLE_SYSTEM)
+    return p.select("key", "batch", F.size("messages").cast("long").alias("n_messages"), PR.render("messages").alias("prompt"))
+
+
+@register("prompts_interaction", prompt_sql(INTER_PROW, f"SELECT key, batch, n_messages, md5({prompt_text_sql(PR.INTERACTION_SYSTEM)}) AS prompt_md5 FROM pr_out"))
+def q_prompts_interaction(spark, sf):
+    rows = PR.record_rows(interaction_results(spark, sf), "RealInteraction")
+    p = PR.build_prompts(rows, PR.INTERACTION_SYSTEM)
+    return p.select("key", "batch", F.size("messages").cast("long").alias("n_messages"), F.md5(PR.render("messages")).alias("prompt_md5"))
+
+
+@register("prompts_user_interaction", prompt_sql(PER_USER_PROW, f"SELECT key, grp AS UserID, batch, n_messages, md5({prompt_text_sql(PR.USER_INTERACTION_SYSTEM)}) AS prompt_md5 FROM pr_out"))
+def q_prompts_user_interaction(spark, sf):
+    p = PR.build_prompts(per_user_rows(spark, sf), PR.USER_INTERACTION_SYSTEM, group_cols=["UserID"], fallback_cols=["tier"])
+    return p.select("key", "UserID", "batch", F.size("messages").cast("long").alias("n_messages"), F.md5(PR.render("messages")).alias("prompt_md5"))
+
+
+@register("prompts_user_attr", prompt_sql(USER_PROW, f"SELECT key, batch, n_messages, {prompt_text_sql(PR.USER_ATTRIBUTE_SYSTEM)} AS prompt FROM pr_out"))
+def q_prompts_user_attr(spark, sf):
+    rows = PR.record_rows(user_results(spark, sf), "RealUser")
+    p = PR.build_prompts(rows, PR.USER_ATTRIBUTE_SYSTEM)
+    return p.select("key", "batch", F.size("messages").cast("long").alias("n_messages"), PR.render("messages").alias("prompt"))
+
+
+@register("prompts_recommend", ssql(f"""SELECT UserID, 2 AS n_messages,
+       concat({Q.lit('system: ' + PR.RECOMMEND_SYSTEM.format(dataset=PR.DATASET_NAME))}, chr(10), 'user: User ', CAST(UserID AS VARCHAR),
+              ' has interacted with the following movies: ', history, {Q.lit(PR.RECOMMEND_USER.split('{history}', 1)[1])}) AS prompt
+FROM (SELECT UserID, string_agg(Title, ', ' ORDER BY RowIndex) AS history FROM train_titles
+      WHERE UserID IN (SELECT UserID FROM eligible) GROUP BY UserID)""", "train_titles", "eligible"))
+def q_prompts_recommend(spark, sf):
+    hist = RC.user_histories(train_titles(spark, sf).join(eligible(spark, sf), "UserID", "left_semi"))
+    p = PR.recommend_prompts(hist)
+    return p.select("UserID", F.size("messages").cast("long").alias("n_messages"), PR.render("messages").alias("prompt"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 
