@@ -815,6 +815,164 @@ def q_prompts_recommend(spark, sf):
     return p.select("UserID", F.size("messages").cast("long").alias("n_messages"), PR.render("messages").alias("prompt"))
 
 
+# ----------------------------------------------------------------- sources, sinks, ledger, streaming
+
+from mnemo.sources import files as FS  # noqa: E402
+from mnemo.sources import ledger as LG  # noqa: E402
+from mnemo.session import scratch_path  # noqa: E402
+
+MODEL_NAME = "org/model-a"
+MODEL_SLUG = "org_model-a"
+USER_COLS = ["UserID", "Gender", "Age", "Occupation", "Zip-code"]
+
+RAW_CTES = {
+    "raw_lines": (("users",), r"""SELECT RowIndex, CASE WHEN UserID % 13 = 0 THEN concat_ws('::', CAST(UserID AS VARCHAR), g)
+            WHEN UserID % 11 = 0 THEN concat(' ' || chr(9), full_line, '  ') ELSE full_line END AS value
+FROM (SELECT *, concat_ws('::', CAST(UserID AS VARCHAR), g, CAST(Age AS VARCHAR), CAST(Occupation AS VARCHAR), Zip_code) AS full_line
+      FROM (SELECT *, CASE WHEN UserID % 9 = 0 THEN concat('"', Gender, '" x') ELSE Gender END AS g FROM users))"""),
+    "raw_parts": (("raw_lines",), f"SELECT value, string_split({Q.strip('value')}, '::') AS p FROM raw_lines"),
+}
+RAW_ACCEPTED = """SELECT p[1] AS UserID, p[2] AS Gender, p[3] AS Age, p[4] AS Occupation, p[5] AS "Zip-code" FROM raw_parts WHERE len(p) >= 5"""
+
+
+def raw_ingested(spark, sf):
+    path = scratch_path(spark, "users.dat")
+    D.raw_user_lines(spark, sf).select("value").write.mode("overwrite").text(path)
+    return FS.ingest_delimited(spark, path, USER_COLS, [0, 1, 2, 3, 4])
+
+
+@register("raw_delimited_ingest", psql(RAW_ACCEPTED, "raw_parts", extra=RAW_CTES))
+def q_raw_delimited_ingest(spark, sf):
+    return raw_ingested(spark, sf)[0]
+
+
+@register("raw_delimited_rejects", psql("SELECT value FROM raw_parts WHERE len(p) < 5", "raw_parts", extra=RAW_CTES))
+def q_raw_delimited_rejects(spark, sf):
+    return raw_ingested(spark, sf)[1]
+
+
+@register("sink_csv_roundtrip", psql(RAW_ACCEPTED, "raw_parts", extra=RAW_CTES))
+def q_sink_csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "users.csv")
+    FS.write_csv(raw_ingested(spark, sf)[0], path)
+    return FS.read_csv(spark, path, ", ".join(f"`{c}` STRING" for c in USER_COLS))
+
+
+@register("decode_lines", "SELECT doc_id, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text FROM documents")
+def q_decode_lines(spark, sf):
+    path = scratch_path(spark, "documents.txt")
+    docs = D.document_lines(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.col("text")).alias("line"), "doc_id")
+    FS.write_latin1_lines(docs, "line", F.col("doc_id") % 2 == 0, path)
+    lines = FS.decode_lines(spark, path)
+    return lines.select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("long").alias("doc_id"),
+                        F.expr("substr(value, instr(value, '\t') + 1)").alias("text"))
+
+
+@register("scan_csv_items", Q.build("SELECT MovieID, Title FROM items", "items"))
+def q_scan_csv_items(spark, sf):
+    path = scratch_path(spark, "items.csv")
+    FS.write_csv(D.items(spark, sf), path)
+    return FS.read_items(spark, path)
+
+
+@register("scan_pruned", Q.build("SELECT UserID, MovieID FROM interactions", "interactions"))
+def q_scan_pruned(spark, sf):
+    path = scratch_path(spark, "interactions.csv")
+    FS.write_csv(D.interactions(spark, sf).select("UserID", "MovieID", "RowIndex"), path)
+    return FS.read_interactions(spark, path)
+
+
+@register("scan_tsv", ssql("SELECT UserID, MovieID, RowIndex FROM split WHERE split = 'train'", "split"))
+def q_scan_tsv(spark, sf):
+    path = scratch_path(spark, "training.tsv")
+    FS.write_tsv(split_table(spark, sf).filter(F.col("split") == "train").select("UserID", "MovieID", "RowIndex"), path)
+    return FS.read_tsv(spark, path, "UserID LONG, MovieID LONG, RowIndex LONG")
+
+
+@register("scan_tsv_noheader", ssql("SELECT UserID, MovieID FROM split WHERE split = 'test'", "split"))
+def q_scan_tsv_noheader(spark, sf):
+    path = scratch_path(spark, "test.tsv")
+    test = split_table(spark, sf).filter(F.col("split") == "test").select("UserID", "MovieID", F.lit("1").alias("Interact"))
+    FS.write_tsv(test, path, header=False)
+    return FS.read_test_noheader(spark, path)
+
+
+def _crash_point(n: int) -> int:
+    """A previous run stopped after the first third of the rows (ceil)."""
+    return -(-n // 3)
+
+
+@register("resume_pending", Q.build("""SELECT MovieID, ItemPos, CAST(floor(ItemPos / 50) AS BIGINT) AS batch FROM items_ordered
+WHERE ItemPos >= CAST(ceil((SELECT count(*) FROM items) / 3.0) AS BIGINT)""", "items_ordered"))
+def q_resume_pending(spark, sf):
+    from mnemo.operators.positions import batch_ids
+    items = D.items_ordered(spark, sf)
+    res = title_results(spark, sf)
+    crash = _crash_point(items.count())
+    path = scratch_path(spark, "ledger")
+    LG.append(res.filter(F.col("ItemPos") < crash).drop("ItemPos"), path, MODEL_NAME)
+    done = LG.read(spark, path).filter(F.col("model") == MODEL_SLUG)
+    return LG.pending(batch_ids(items, "ItemPos", 50), done, "MovieID").select("MovieID", "ItemPos", "batch")
+
+
+@register("ledger_append", sql(f"SELECT '{MODEL_SLUG}' AS model, MovieID, GeneratedTitle, RealTitle, ErrorFlag FROM title_scores", "title_scores"))
+def q_ledger_append(spark, sf):
+    res = title_results(spark, sf)
+    crash = _crash_point(D.items_ordered(spark, sf).count())
+    path = scratch_path(spark, "ledger")
+    LG.append(res.filter(F.col("ItemPos") < crash).drop("ItemPos"), path, MODEL_NAME)
+    LG.append(res.filter(F.col("ItemPos") >= crash).drop("ItemPos"), path, MODEL_NAME)
+    return LG.read(spark, path).select("model", "MovieID", "GeneratedTitle", "RealTitle", "ErrorFlag").distinct()
+
+
+@register("report_lines", report_sql("pop_merged", Q.percentile_report("pop_merged", PERCENTILES, True)).replace(
+    "\nSELECT ord, first_item", "\nSELECT ord, line FROM (SELECT ord, first_item", 1) + ")")
+def q_report_lines(spark, sf):
+    path = scratch_path(spark, "Popularity_analysis_summary.txt")
+    FS.write_report(q_coverage_popularity(spark, sf), path)
+    return FS.read_report(spark, path)
+
+
+@register("generate_stub", Q.build("SELECT MovieID AS key, concat(CAST(MovieID AS VARCHAR), '::') AS output FROM items", "items"))
+def q_generate_stub(spark, sf):
+    from mnemo.operators.generate import echo_responder, generate
+    p = PR.build_prompts(title_prompt_rows(spark, sf), PR.TITLE_SYSTEM)
+    return generate(p, echo_responder, key="key", max_attempts=2, backoff_min=0.0, backoff_max=0.0)
+
+
+def _stream_ledger(spark, sf):
+    from mnemo.streaming.ledger_stream import score_stream
+    src = scratch_path(spark, "responses")
+    D.title_responses(spark, sf).repartition(4, "MovieID").write.mode("overwrite").parquet(src)
+    items = D.items_ordered(spark, sf)
+    ledger_path = scratch_path(spark, "ledger")
+
+    def score(batch):
+        return scoring.score_titles(items.join(batch.select("MovieID"), "MovieID", "left_semi"), batch).drop("ItemPos")
+
+    score_stream(spark, src, "MovieID LONG, output STRING", score, ledger_path, scratch_path(spark, "ckpt"),
+                 "MovieID", MODEL_SLUG)
+    return ledger_path
+
+
+@register("stream_score_ledger", sql("SELECT MovieID, GeneratedTitle, RealTitle, ErrorFlag FROM title_scores", "title_scores"))
+def q_stream_score_ledger(spark, sf):
+    path = _stream_ledger(spark, sf)
+    return LG.read(spark, path).select("MovieID", "GeneratedTitle", "RealTitle", "ErrorFlag")
+
+
+@register("stream_coverage", sql(f"""SELECT '{MODEL_SLUG}' AS model, count(*) AS n, CAST(sum(ErrorFlag) AS BIGINT) AS errors,
+       {Q.coverage('count(*) - sum(ErrorFlag)', 'count(*)')} AS coverage FROM title_scores""", "title_scores"))
+def q_stream_coverage(spark, sf):
+    from mnemo.streaming.ledger_stream import coverage_stream
+    ledger_path = _stream_ledger(spark, sf)
+    out = scratch_path(spark, "coverage")
+    schema = "MovieID LONG, GeneratedTitle STRING, RealTitle STRING, ErrorFlag INT, model STRING"
+    coverage_stream(spark, ledger_path, schema, out, scratch_path(spark, "ckpt2"))
+    r = spark.read.parquet(out)
+    return r.select("model", "n", "errors", coverage.coverage_value(F.col("n") - F.col("errors"), F.col("n")).alias("coverage"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 
