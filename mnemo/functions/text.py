@@ -38,14 +38,23 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# The same whitespace as single characters, for a cheap first/last-character test.
+WS_CHARS = (["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", " ", "\x85", "\xa0", "\u1680"]
+            + [chr(c) for c in range(0x2000, 0x200B)] + ["\u2028", "\u2029", "\u202f", "\u205f", "\u3000"])
+
+
 def py_strip(col) -> Column:
-    """``str.strip()``: removes all leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), STRIP, "")
+    """``str.strip()``: removes all leading/trailing Unicode whitespace. The regex
+    only runs for strings that start or end with whitespace."""
+    c = _c(col)
+    edge = F.substring(c, 1, 1).isin(*WS_CHARS) | F.substring(c, -1, 1).isin(*WS_CHARS)
+    return F.when(edge, F.regexp_replace(c, STRIP, "")).otherwise(c)
 
 
 def clean_title(col) -> Column:
     """Drop every parenthesised part (lazy, first ')' wins) and strip."""
-    return py_strip(F.regexp_replace(_c(col), PARENS_JAVA, ""))
+    c = _c(col)
+    return py_strip(F.when(F.instr(c, "(") > 0, F.regexp_replace(c, PARENS_JAVA, "")).otherwise(c))
 
 
 def normalize_title_plain(col) -> Column:

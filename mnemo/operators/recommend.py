@@ -87,6 +87,11 @@ def user_histories(train_titles: DataFrame, order_col: str = "RowIndex") -> Data
 
 # --------------------------------------------------------------------------- matching
 
+def _kernel_partitions(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def match_recs(recs: DataFrame, test_titles: DataFrame, preset: Preset) -> DataFrame:
     """recs + ``match`` (1 when any test title of the user is similar enough)."""
     norm = preset.normalizer
@@ -99,7 +104,9 @@ def match_recs(recs: DataFrame, test_titles: DataFrame, preset: Preset) -> DataF
         equal = pairs.filter(F.col("rec_norm") == F.col("test_norm")).select("UserID", "rec_norm")
         cand = pairs.filter((F.col("rec_norm") != F.col("test_norm"))
                             & (length_bound("rec_norm", "test_norm") >= F.lit(preset.threshold - 1e-9)))
-        kernel = (cand.select("rec_norm", "test_norm").distinct()
+        # a fixed partition count: AQE would otherwise coalesce this small-in-bytes but
+        # CPU-heavy stage into a few tasks and leave cores idle in the Python kernel
+        kernel = (cand.select("rec_norm", "test_norm").distinct().repartition(_kernel_partitions(recs))
                   .withColumn("ratio", indel_ratio("rec_norm", "test_norm"))
                   .filter(F.col("ratio") >= F.lit(float(preset.threshold))))
         fuzzy = cand.join(kernel, ["rec_norm", "test_norm"], "left_semi").select("UserID", "rec_norm")

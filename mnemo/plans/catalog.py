@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mnemo.functions import text as T
 from mnemo.operators import activity, coverage, scoring
 from mnemo.plans import oracle_sql as Q
+from mnemo.session import materialize
 from mnemo.sources import derived as D
 
 
@@ -181,16 +182,25 @@ SAMPLE_SEED = 42
 SAMPLE_PER_TIER = 50
 
 
+def stage(spark, sf, name, build):
+    """A shared intermediate table, checkpointed once per session. These are the
+    files the reference hands between its scripts (train/test TSVs, the
+    recommendations checkpoint); later queries read the written partitions."""
+    return D._cached(spark, sf, name, lambda: materialize(build()))
+
+
 def split_table(spark, sf):
-    return D._cached(spark, sf, "split", lambda: SP.train_test_split(D.interactions(spark, sf), TRAIN_RATIO))
+    return stage(spark, sf, "split", lambda: SP.train_test_split(D.interactions(spark, sf), TRAIN_RATIO))
 
 
 def train_titles(spark, sf):
-    return RC.enrich_titles(split_table(spark, sf).filter(F.col("split") == "train"), D.items(spark, sf))
+    return stage(spark, sf, "train_titles", lambda: RC.enrich_titles(
+        split_table(spark, sf).filter(F.col("split") == "train"), D.items(spark, sf)))
 
 
 def test_titles(spark, sf):
-    return RC.enrich_titles(split_table(spark, sf).filter(F.col("split") == "test"), D.items(spark, sf))
+    return stage(spark, sf, "test_titles", lambda: RC.enrich_titles(
+        split_table(spark, sf).filter(F.col("split") == "test"), D.items(spark, sf)))
 
 
 def eligible(spark, sf):
@@ -199,11 +209,13 @@ def eligible(spark, sf):
 
 def answered(spark, sf):
     """Recommendation answers of eligible users (users without an answer failed)."""
-    return D.rec_responses(spark, sf).join(eligible(spark, sf), "UserID", "left_semi")
+    return stage(spark, sf, "answered", lambda: D.rec_responses(spark, sf).join(eligible(spark, sf), "UserID", "left_semi"))
 
 
 def parsed(spark, sf):
-    return RC.parse_ranked_list(answered(spark, sf))
+    recs = stage(spark, sf, "recs", lambda: RC.parse_ranked_list(answered(spark, sf))[0])
+    rejects = stage(spark, sf, "rejects", lambda: RC.parse_ranked_list(answered(spark, sf))[1])
+    return recs, rejects
 
 
 SPLIT_CTES = {

@@ -116,7 +116,7 @@ def rec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Users with ``UserID % 25 = 3`` get no answer (a failed call) and users with
     ``UserID % 10 = 0`` get a short list of 30; ids that miss the catalogue drop out.
     """
-    n_items = table(spark, sf_dir, "part", ["p_partkey"]).count()
+    n_items = _cached(spark, sf_dir, "n_parts", lambda: table(spark, sf_dir, "part", ["p_partkey"]).count())
     us = (interactions(spark, sf_dir).select("UserID").distinct()
           .filter(F.col("UserID") % 25 != 3))
     upto = F.when(F.col("UserID") % 10 == 0, F.lit(30)).otherwise(F.lit(50))
