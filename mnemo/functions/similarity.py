@@ -8,6 +8,7 @@ mask), one Python big-int word per string, inside an Arrow-batched pandas UDF.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,15 +45,82 @@ def indel_ratio_py(a: str | None, b: str | None) -> float:
     return (1.0 - dist / total) * 100.0
 
 
+_WORD = 64
+_CHUNK = 4096
+
+
+def _codes(strings: list[str], lens: np.ndarray, width: int, pad: int) -> np.ndarray:
+    """Code points of each string in a row of a (n, width) matrix, padded with ``pad``."""
+    out = np.full((len(strings), width), pad, dtype=np.int32)
+    flat = np.frombuffer("".join(strings).encode("utf-32-le"), dtype="<u4").astype(np.int32)
+    if flat.size:
+        rows = np.repeat(np.arange(len(strings)), lens)
+        cols = np.arange(flat.size) - np.repeat(np.cumsum(lens) - lens, lens)
+        out[rows, cols] = flat
+    return out
+
+
+def lcs_batch(a: list[str], b: list[str]) -> np.ndarray:
+    """LCS lengths for many pairs at once.
+
+    Pairs whose shorter string fits one 64-bit word run the bit-parallel
+    recurrence on numpy uint64 vectors, one lane per pair (rows sorted by length
+    so padding stays small); longer pairs use the Python big-int version.
+    """
+    n = len(a)
+    out = np.zeros(n, dtype=np.int64)
+    la = np.fromiter((len(x) for x in a), dtype=np.int64, count=n)
+    lb = np.fromiter((len(y) for y in b), dtype=np.int64, count=n)
+    short = np.minimum(la, lb)
+    for i in np.nonzero(short > _WORD)[0]:
+        out[i] = lcs_length(a[i], b[i])
+    idx = np.nonzero((short > 0) & (short <= _WORD))[0]
+    if idx.size == 0:
+        return out
+    swap = la[idx] > lb[idx]
+    pat = [b[i] if s else a[i] for i, s in zip(idx, swap)]
+    txt = [a[i] if s else b[i] for i, s in zip(idx, swap)]
+    plen = np.minimum(la[idx], lb[idx])
+    tlen = np.maximum(la[idx], lb[idx])
+    order = np.lexsort((tlen, plen))
+    one = np.uint64(1)
+    for start in range(0, order.size, _CHUNK):
+        sel = order[start:start + _CHUNK]
+        pw, tw = int(plen[sel].max()), int(tlen[sel].max())
+        pc = _codes([pat[k] for k in sel], plen[sel], pw, -1)
+        tc = _codes([txt[k] for k in sel], tlen[sel], tw, -2)
+        match = np.zeros((sel.size, tw), dtype=np.uint64)
+        for i in range(pw):
+            match |= (pc[:, i:i + 1] == tc).astype(np.uint64) << np.uint64(i)
+        m = plen[sel].astype(np.uint64)
+        mask = np.where(m == _WORD, np.uint64(0xFFFFFFFFFFFFFFFF), (one << np.minimum(m, 63)) - one)
+        v = mask.copy()
+        for j in range(tw):
+            u = v & match[:, j]
+            v = ((v + u) | (v - u)) & mask
+        out[idx[sel]] = plen[sel] - np.bitwise_count(v).astype(np.int64)
+    return out
+
+
+def indel_ratio_batch(a: list, b: list) -> list:
+    """indel_ratio_py over lists; None where either side is None."""
+    keep = [i for i, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None]
+    res: list = [None] * len(a)
+    if not keep:
+        return res
+    aa, bb = [a[i] for i in keep], [b[i] for i in keep]
+    lcs = lcs_batch(aa, bb)
+    total = np.fromiter((len(x) + len(y) for x, y in zip(aa, bb)), dtype=np.int64, count=len(aa))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / total) * 100.0)
+    for k, i in enumerate(keep):
+        res[i] = float(ratio[k])
+    return res
+
+
 @F.pandas_udf(DoubleType())
 def _indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        if x is None or y is None:
-            out.append(None)
-        else:
-            out.append(indel_ratio_py(x, y))
-    return pd.Series(out, dtype="float64")
+    return pd.Series(indel_ratio_batch(a.tolist(), b.tolist()), dtype="float64")
 
 
 def indel_ratio(a, b) -> Column:

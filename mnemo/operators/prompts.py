@@ -169,6 +169,31 @@ def build_prompts(rows: DataFrame, system: str, batch_size: int = BATCH_SIZE, k:
     return j.select(*g, "key", "pos", "batch", msgs.alias("messages"))
 
 
+def prompt_texts(rows: DataFrame, system: str, batch_size: int = BATCH_SIZE, k: int = N_EXAMPLES,
+                 group_cols: Sequence[str] = (), fallback_cols: Sequence[str] = (),
+                 dataset: str = DATASET_NAME) -> DataFrame:
+    """(group..., key, pos, batch, n_messages, prompt): the rendered text of
+    :func:`build_prompts` built from per-row pair strings instead of message structs
+    (same text as ``render(messages)``, far less array work for long batches)."""
+    g = list(group_cols)
+    pair_txt = lambda u, a: F.concat(F.lit("user: "), u, F.lit("\nassistant: "), a)
+    ex = fewshot_examples(rows, batch_size, k, g, fallback_cols)
+    ex_txt = ex.groupBy(*g, "batch").agg(
+        F.count(F.lit(1)).alias("n_ex"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", pair_txt(F.col("user_msg"), F.col("asst_msg")).alias("t")))),
+                                 lambda s: s["t"]), "\n").alias("ex_text"))
+    b = batch_ids(rows, "pos", batch_size)
+    w = Window.partitionBy(*g, "batch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("tr", F.collect_list(pair_txt(F.col("user_msg"), F.col("asst_msg"))).over(w))
+    j = b.join(ex_txt, [*g, "batch"], "left")
+    n_ex = F.coalesce(F.col("n_ex"), F.lit(0))
+    text = F.concat_ws("\n", F.lit("system: " + system.format(dataset=dataset)), F.col("ex_text"),
+                       F.when(F.size("tr") > 0, F.array_join("tr", "\n")),
+                       F.concat(F.lit("user: "), F.col("user_msg")))
+    return j.select(*g, "key", "pos", "batch", (2 + 2 * n_ex + 2 * F.size("tr")).cast("long").alias("n_messages"),
+                    text.alias("prompt"))
+
+
 def render(messages) -> Column:
     """One text per prompt: 'role: content' lines."""
     m = F.col(messages) if isinstance(messages, str) else messages

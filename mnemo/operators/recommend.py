@@ -92,11 +92,20 @@ def _kernel_partitions(df: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def with_normalized(df: DataFrame, col: str, normalizer: Callable[[Column], Column], out: str) -> DataFrame:
+    """Normalise each distinct value once and join the result back: titles repeat
+    across users, the regexes cost far more than a hash probe, and AQE broadcasts
+    the distinct side at run time only when it is actually small."""
+    d = df.select(col).distinct().select(col, normalizer(F.col(col)).alias(out))
+    return df.join(d, col, "left")
+
+
 def match_recs(recs: DataFrame, test_titles: DataFrame, preset: Preset) -> DataFrame:
     """recs + ``match`` (1 when any test title of the user is similar enough)."""
     norm = preset.normalizer
-    r = recs.withColumn("rec_norm", norm(F.col("Title")))
-    t = test_titles.select("UserID", norm(F.col("Title")).alias("test_norm")).distinct()
+    r = with_normalized(recs, "Title", norm, "rec_norm")
+    t = with_normalized(test_titles.select("UserID", "Title").distinct(), "Title", norm, "test_norm")
+    t = t.select("UserID", "test_norm").distinct()
     if preset.threshold >= 100:  # ratio >= 100 <=> equal strings: a plain equi join
         hits = t.select("UserID", F.col("test_norm").alias("rec_norm")).distinct()
     else:
@@ -227,7 +236,9 @@ def short_rec_lists(recs: DataFrame, responded: DataFrame, expected: int = LIST_
 
 def absent_items(recs: DataFrame, items: DataFrame) -> DataFrame:
     """(norm_title, n): normalised recommended titles missing from the catalogue."""
-    freq = recs.groupBy(normalize_title_clean(F.col("Title")).alias("norm_title")).agg(F.count(F.lit(1)).alias("n"))
+    per_title = recs.groupBy("Title").agg(F.count(F.lit(1)).alias("n"))
+    freq = (per_title.select(normalize_title_clean(F.col("Title")).alias("norm_title"), "n")
+            .groupBy("norm_title").agg(F.sum("n").alias("n")))
     catalogue = (items.select("Title").dropna().distinct()
                  .select(normalize_title_clean(F.col("Title")).alias("norm_title")).distinct())
     return freq.join(catalogue, "norm_title", "left_anti")

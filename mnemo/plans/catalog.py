@@ -44,16 +44,23 @@ INVALID_PERCENTILES = [-5, 50, 101, 100, 12.5]
 
 
 def title_results(spark, sf):
-    return scoring.score_titles(D.items_ordered(spark, sf), D.title_responses(spark, sf))
+    """The title-probe ledger: scored once per session, read by every report (the
+    reference writes it to a results file and re-reads it for each report)."""
+    return D._cached(spark, sf, "title_results", lambda: materialize(
+        scoring.score_titles(D.items_ordered(spark, sf), D.title_responses(spark, sf))))
 
 
 def title_ranked(spark, sf):
     return coverage.rank_results(title_results(spark, sf), "ItemPos", dense=True)
 
 
+def popularity(spark, sf):
+    """Item popularity with its rank, computed once and shared by the reports."""
+    return D._cached(spark, sf, "popularity", lambda: materialize(activity.item_popularity(D.interactions(spark, sf))))
+
+
 def popularity_merged(spark, sf):
-    pop = activity.item_popularity(D.interactions(spark, sf))
-    return coverage.popularity_merge(title_results(spark, sf), pop, "ItemPos")
+    return coverage.popularity_merge(title_results(spark, sf), popularity(spark, sf), "ItemPos")
 
 
 # ----------------------------------------------------------------- shared pieces (SQL)
@@ -799,14 +806,14 @@ def q_prompts_title(spark, sf):
 @register("prompts_interaction", prompt_sql(INTER_PROW, f"SELECT key, batch, n_messages, md5({prompt_text_sql(PR.INTERACTION_SYSTEM)}) AS prompt_md5 FROM pr_out"))
 def q_prompts_interaction(spark, sf):
     rows = PR.record_rows(interaction_results(spark, sf), "RealInteraction")
-    p = PR.build_prompts(rows, PR.INTERACTION_SYSTEM)
-    return p.select("key", "batch", F.size("messages").cast("long").alias("n_messages"), F.md5(PR.render("messages")).alias("prompt_md5"))
+    p = PR.prompt_texts(rows, PR.INTERACTION_SYSTEM)
+    return p.select("key", "batch", "n_messages", F.md5("prompt").alias("prompt_md5"))
 
 
 @register("prompts_user_interaction", prompt_sql(PER_USER_PROW, f"SELECT key, grp AS UserID, batch, n_messages, md5({prompt_text_sql(PR.USER_INTERACTION_SYSTEM)}) AS prompt_md5 FROM pr_out"))
 def q_prompts_user_interaction(spark, sf):
-    p = PR.build_prompts(per_user_rows(spark, sf), PR.USER_INTERACTION_SYSTEM, group_cols=["UserID"], fallback_cols=["tier"])
-    return p.select("key", "UserID", "batch", F.size("messages").cast("long").alias("n_messages"), F.md5(PR.render("messages")).alias("prompt_md5"))
+    p = PR.prompt_texts(per_user_rows(spark, sf), PR.USER_INTERACTION_SYSTEM, group_cols=["UserID"], fallback_cols=["tier"])
+    return p.select("key", "UserID", "batch", "n_messages", F.md5("prompt").alias("prompt_md5"))
 
 
 @register("prompts_user_attr", prompt_sql(USER_PROW, f"SELECT key, batch, n_messages, {prompt_text_sql(PR.USER_ATTRIBUTE_SYSTEM)} AS prompt FROM pr_out"))

@@ -33,3 +33,12 @@ def test_transcript_teacher_forced(spark):
     contents = [[m.content for m in r.messages] for r in p]
     assert contents[0][0] == "S D"
     assert contents[2][-5:] == ["u0", "a0", "u1", "a1", "u2"]
+
+
+def test_prompt_texts_equal_rendered_messages(spark):
+    from pyspark.sql import functions as F
+    r = rows(spark, [1, 0, 1, 0, 0, 1, 1, 0, 1, 1, 0])
+    a = PR.build_prompts(r, PR.TITLE_SYSTEM, batch_size=4).select("key", F.size("messages").alias("n"), PR.render("messages").alias("t"))
+    b = PR.prompt_texts(r, PR.TITLE_SYSTEM, batch_size=4).select("key", F.col("n_messages").alias("n2"), F.col("prompt").alias("t2"))
+    j = a.join(b, "key").collect()
+    assert len(j) == 11 and all(x.t == x.t2 and x.n == x.n2 for x in j)
