@@ -18,7 +18,10 @@ def test_entry_smoke(spark):
 
 def test_plan_prunes_and_avoids_row_udfs(spark):
     from conftest import SF001
-    plan = E.queries()["score_titles"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    from mnemo.operators import scoring
+    from mnemo.sources import derived as D
+    scored = scoring.score_titles(D.items_ordered(spark, SF001), D.title_responses(spark, SF001))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan
     assert "ArrowEvalPython" in plan
     plan2 = E.queries()["item_popularity"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
