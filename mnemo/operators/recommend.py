@@ -241,7 +241,11 @@ def absent_items(recs: DataFrame, items: DataFrame) -> DataFrame:
             .groupBy("norm_title").agg(F.sum("n").alias("n")))
     catalogue = (items.select("Title").dropna().distinct()
                  .select(normalize_title_clean(F.col("Title")).alias("norm_title")).distinct())
-    return freq.join(catalogue, "norm_title", "left_anti")
+    # left join + null filter instead of left_anti: an anti join would be pushed below the
+    # two aggregates and normalise every recommendation row instead of every distinct title
+    hit = catalogue.withColumn("_in_catalogue", F.lit(True))
+    return (freq.join(hit, "norm_title", "left").filter(F.col("_in_catalogue").isNull())
+            .drop("_in_catalogue"))
 
 
 def absent_totals(absent: DataFrame) -> DataFrame:
