@@ -49,10 +49,13 @@ FROM interactions"""),
                          WHEN 1 THEN concat(CAST(UserID AS VARCHAR), '::', Gender, '::', CAST(Age AS VARCHAR), '::', CAST(Occupation AS VARCHAR), '::00000')
                          ELSE 'Unknown' END AS output
 FROM users"""),
-    "rec_lines": (("interactions", "items"), """SELECT u.UserID AS UserID, CAST(t.r AS INTEGER) AS r, i.Title AS Title
+    "rec_lines": (("interactions", "items"), """SELECT u.UserID AS UserID, CAST(t.r AS INTEGER) AS r,
+       CASE WHEN (u.UserID + t.r) % 97 = 0 OR i.Title IS NULL
+            THEN concat('Lost Film ', CAST(t.r AS VARCHAR), ' (', CAST(1960 + u.UserID % 50 AS VARCHAR), ')')
+            ELSE i.Title END AS Title
 FROM (SELECT DISTINCT UserID FROM interactions WHERE UserID % 25 <> 3) u
 CROSS JOIN range(1, 51) AS t(r)
-JOIN items i ON i.MovieID = (u.UserID * 31 + t.r * 17) % (SELECT count(*) FROM part)
+LEFT JOIN items i ON i.MovieID = (u.UserID * 31 + t.r * 17) % (SELECT count(*) FROM part)
 WHERE t.r <= CASE WHEN u.UserID % 10 = 0 THEN 30 ELSE 50 END"""),
     "rec_responses": (("rec_lines",), """SELECT UserID, concat('Here is the list', chr(10), chr(10),
        string_agg(concat(CAST(r AS VARCHAR), '. ', Title), chr(10) ORDER BY r)) AS output

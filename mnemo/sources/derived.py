@@ -114,7 +114,8 @@ def rec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(UserID, r, Title): the ranked titles a stand-in recommender returns.
 
     Users with ``UserID % 25 = 3`` get no answer (a failed call) and users with
-    ``UserID % 10 = 0`` get a short list of 30; ids that miss the catalogue drop out.
+    ``UserID % 10 = 0`` get a short list of 30. About 1 % of the titles are invented
+    (``(UserID + r) % 97 = 0``, or an id missing from the catalogue): the absent-item check.
     """
     n_items = _cached(spark, sf_dir, "n_parts", lambda: table(spark, sf_dir, "part", ["p_partkey"]).count())
     us = (interactions(spark, sf_dir).select("UserID").distinct()
@@ -122,8 +123,12 @@ def rec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     upto = F.when(F.col("UserID") % 10 == 0, F.lit(30)).otherwise(F.lit(50))
     lines = us.select("UserID", F.explode(F.sequence(F.lit(1), upto)).alias("r"))
     lines = lines.withColumn("MovieID", (F.col("UserID") * 31 + F.col("r") * 17) % F.lit(n_items))
-    return (lines.join(items(spark, sf_dir), "MovieID")
-            .select("UserID", F.col("r").cast("int").alias("r"), "Title"))
+    invented = F.concat(F.lit("Lost Film "), F.col("r").cast("string"), F.lit(" ("),
+                        (F.lit(1960) + F.col("UserID") % 50).cast("string"), F.lit(")"))
+    title = (F.when(((F.col("UserID") + F.col("r")) % 97 == 0) | F.col("Title").isNull(), invented)
+             .otherwise(F.col("Title")))
+    return (lines.join(items(spark, sf_dir), "MovieID", "left")
+            .select("UserID", F.col("r").cast("int").alias("r"), title.alias("Title")))
 
 
 def rec_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
