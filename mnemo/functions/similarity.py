@@ -60,7 +60,7 @@ def _codes(strings: list[str], lens: np.ndarray, width: int, pad: int) -> np.nda
     return out
 
 
-def lcs_batch(a: list[str], b: list[str]) -> np.ndarray:
+def lcs_batch(a: list[str], b: list[str], la: np.ndarray | None = None, lb: np.ndarray | None = None) -> np.ndarray:
     """LCS lengths for many pairs at once.
 
     Pairs whose shorter string fits one 64-bit word run the bit-parallel
@@ -69,8 +69,8 @@ def lcs_batch(a: list[str], b: list[str]) -> np.ndarray:
     """
     n = len(a)
     out = np.zeros(n, dtype=np.int64)
-    la = np.fromiter((len(x) for x in a), dtype=np.int64, count=n)
-    lb = np.fromiter((len(y) for y in b), dtype=np.int64, count=n)
+    la = np.fromiter(map(len, a), dtype=np.int64, count=n) if la is None else la
+    lb = np.fromiter(map(len, b), dtype=np.int64, count=n) if lb is None else lb
     short = np.minimum(la, lb)
     for i in np.nonzero(short > _WORD)[0]:
         out[i] = lcs_length(a[i], b[i])
@@ -78,8 +78,8 @@ def lcs_batch(a: list[str], b: list[str]) -> np.ndarray:
     if idx.size == 0:
         return out
     swap = la[idx] > lb[idx]
-    pat = [b[i] if s else a[i] for i, s in zip(idx, swap)]
-    txt = [a[i] if s else b[i] for i, s in zip(idx, swap)]
+    pat = [b[i] if s else a[i] for i, s in zip(idx.tolist(), swap.tolist())]
+    txt = [a[i] if s else b[i] for i, s in zip(idx.tolist(), swap.tolist())]
     plen = np.minimum(la[idx], lb[idx])
     tlen = np.maximum(la[idx], lb[idx])
     order = np.lexsort((tlen, plen))
@@ -87,8 +87,9 @@ def lcs_batch(a: list[str], b: list[str]) -> np.ndarray:
     for start in range(0, order.size, _CHUNK):
         sel = order[start:start + _CHUNK]
         pw, tw = int(plen[sel].max()), int(tlen[sel].max())
-        pc = _codes([pat[k] for k in sel], plen[sel], pw, -1)
-        tc = _codes([txt[k] for k in sel], tlen[sel], tw, -2)
+        sl = sel.tolist()
+        pc = _codes([pat[k] for k in sl], plen[sel], pw, -1)
+        tc = _codes([txt[k] for k in sl], tlen[sel], tw, -2)
         match = np.zeros((sel.size, tw), dtype=np.uint64)
         for i in range(pw):
             match |= (pc[:, i:i + 1] == tc).astype(np.uint64) << np.uint64(i)
@@ -102,25 +103,32 @@ def lcs_batch(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def indel_ratio_array(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """indel similarity for two aligned series; NaN where either side is null."""
+    out = np.full(len(a), np.nan)
+    idx = np.nonzero((a.notna() & b.notna()).to_numpy())[0]
+    if idx.size == 0:
+        return out
+    aa = a.to_numpy(dtype=object)[idx].tolist()
+    bb = b.to_numpy(dtype=object)[idx].tolist()
+    la = np.fromiter(map(len, aa), dtype=np.int64, count=len(aa))
+    lb = np.fromiter(map(len, bb), dtype=np.int64, count=len(bb))
+    lcs = lcs_batch(aa, bb, la, lb)
+    total = la + lb
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out[idx] = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / total) * 100.0)
+    return out
+
+
 def indel_ratio_batch(a: list, b: list) -> list:
     """indel_ratio_py over lists; None where either side is None."""
-    keep = [i for i, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None]
-    res: list = [None] * len(a)
-    if not keep:
-        return res
-    aa, bb = [a[i] for i in keep], [b[i] for i in keep]
-    lcs = lcs_batch(aa, bb)
-    total = np.fromiter((len(x) + len(y) for x, y in zip(aa, bb)), dtype=np.int64, count=len(aa))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / total) * 100.0)
-    for k, i in enumerate(keep):
-        res[i] = float(ratio[k])
-    return res
+    r = indel_ratio_array(pd.Series(a, dtype=object), pd.Series(b, dtype=object))
+    return [None if np.isnan(x) else float(x) for x in r]
 
 
 @F.pandas_udf(DoubleType())
 def _indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(indel_ratio_batch(a.tolist(), b.tolist()), dtype="float64")
+    return pd.Series(indel_ratio_array(a, b))  # NaN becomes null on the way back to Spark
 
 
 def indel_ratio(a, b) -> Column:
