@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.functions.similarity import indel_ratio, length_bound
+from mnemo.operators.positions import index_within_group
 from mnemo.functions.text import (RANKED_LINE_JAVA, normalize_title_clean, normalize_title_plain,
                                   py_strip, split_lines)
 
@@ -77,12 +78,23 @@ def eligible_users(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.select("UserID").distinct().join(test.select("UserID").distinct(), "UserID", "left_semi")
 
 
-def user_histories(train_titles: DataFrame, order_col: str = "RowIndex") -> DataFrame:
-    """(UserID, n_titles, history): training titles in row order joined with ', '."""
-    entry = F.struct(F.col(order_col), F.col("Title"))
-    titles = F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["Title"])
-    return train_titles.groupBy("UserID").agg(F.count(F.lit(1)).alias("n_titles"),
-                                             F.array_join(titles, ", ").alias("history"))
+HISTORY_CHUNK = 1 << 12
+
+
+def user_histories(train_titles: DataFrame, order_col: str = "RowIndex", chunk: int = HISTORY_CHUNK) -> DataFrame:
+    """(UserID, n_titles, history): training titles in row order joined with ', '.
+
+    The history is the prompt text, so it is one value per user; it is built in
+    two levels so that no task sorts a very active user's whole list: chunks of
+    ``chunk`` consecutive positions are joined in parallel, then the chunk strings.
+    """
+    pos = index_within_group(train_titles, ["UserID"], order_col, "_hpos", bucket=chunk)
+    entry = F.struct(F.col("_hpos"), F.col("Title"))
+    parts = (pos.groupBy("UserID", F.floor(F.col("_hpos") / chunk).alias("_chunk"))
+             .agg(F.count(F.lit(1)).alias("_n"),
+                  F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["Title"]), ", ").alias("_part")))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda s: s["_part"])
+    return parts.groupBy("UserID").agg(F.sum("_n").alias("n_titles"), F.array_join(joined, ", ").alias("history"))
 
 
 # --------------------------------------------------------------------------- matching

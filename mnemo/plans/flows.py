@@ -106,3 +106,36 @@ def recommendation_evaluation(train: DataFrame, test: DataFrame, items: DataFram
         "top_by_position": recommend.top_by_position(recs),
         "absent_items": recommend.absent_items(recs, items),
     }
+
+
+def hold_out(interactions: DataFrame, out_dir: str, train_ratio: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Ordered per-user split written as training.tsv / test.tsv (header on)."""
+    from mnemo.operators.split import train_test_split
+    sp = train_test_split(interactions, train_ratio)
+    train = sp.filter(F.col("split") == "train").select("UserID", "MovieID", "RowIndex")
+    test = sp.filter(F.col("split") == "test").select("UserID", "MovieID", "RowIndex")
+    files.write_tsv(train, f"{out_dir}/training.tsv")
+    files.write_tsv(test, f"{out_dir}/test.tsv")
+    return train, test
+
+
+def evaluate_saved(recommendations_path: str, test_path: str, items_path: str,
+                   similarity_threshold: float = 0.85, test_has_header: bool = False) -> dict[str, DataFrame]:
+    """Offline evaluator over saved files: recommendations TSV (UserID, Title, Rank),
+    the test TSV (headerless UserID, MovieID, Interact by default) and the items CSV.
+    A missing path raises; empty recommendations give empty results."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    recs = files.read_tsv(spark, recommendations_path, "UserID LONG, Title STRING, Rank LONG")
+    recs = recs.withColumn("line_no", F.col("Rank"))
+    if test_has_header:
+        test = files.read_tsv(spark, test_path, "UserID LONG, MovieID LONG, RowIndex LONG").select("UserID", "MovieID")
+    else:
+        test = files.read_test_noheader(spark, test_path)
+    items = files.read_items(spark, items_path)
+    test_t = recommend.enrich_titles(test, items)
+    preset = recommend.Preset(recommend.normalize_title_clean, recommend.evaluator_threshold(similarity_threshold),
+                              "with_recs")
+    return {"metrics": recommend.ranking_metrics(recs, test_t, recs.select("UserID").distinct(), preset),
+            "totals": recommend.rec_totals(recs), "top_items": recommend.top_items(recs),
+            "top_by_position": recommend.top_by_position(recs), "absent_items": recommend.absent_items(recs, items)}

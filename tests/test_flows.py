@@ -55,3 +55,20 @@ def test_stream_rerun_is_idempotent(spark):
     run()                                              # only the new file is scored
     assert L.read(spark, led).count() == items.count()
     assert L.read(spark, led).select("MovieID").distinct().count() == items.count()
+
+
+def test_hold_out_and_offline_evaluation_from_files(spark):
+    from mnemo.sources import files as FS
+    out = scratch_path(spark, "run")
+    inter = D.interactions(spark, SF)
+    train, test = flows.hold_out(inter, out)
+    assert train.count() + test.count() == inter.count()
+    items = D.items(spark, SF)
+    FS.write_csv(items, f"{out}/movies.csv")
+    FS.write_tsv(test.select("UserID", "MovieID", F.lit("1").alias("Interact")), f"{out}/test_nohdr.tsv", header=False)
+    ev = flows.recommendation_evaluation(train, test, items, D.rec_responses(spark, SF), out, "org/model-a")
+    saved = flows.evaluate_saved(f"{out}/org_model-a_recommendations.tsv", f"{out}/test_nohdr.tsv", f"{out}/movies.csv",
+                                 similarity_threshold=1)
+    a = {r.k: (r.hr, r.ndcg, r.mrr, r.n_users) for r in ev["metrics_exact"].collect()}
+    b = {r.k: (r.hr, r.ndcg, r.mrr, r.n_users) for r in saved["metrics"].collect()}
+    assert a == b

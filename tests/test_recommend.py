@@ -46,3 +46,11 @@ def test_fuzzy_matches_brute_force(spark):
         for i, t in enumerate(titles):
             want = any(indel_ratio_py(t, tt) >= 80 for uu, tt in tests if uu == u)
             assert got[(u, i + 1)] == int(want), (u, t)
+
+
+def test_history_in_chunks_keeps_order(spark):
+    rows = [(1, i * 3 + 7, f"t{i}") for i in range(11)] + [(2, 5, "only")]
+    df = spark.createDataFrame(rows, "UserID long, RowIndex long, Title string")
+    got = {r.UserID: (r.n_titles, r.history) for r in RC.user_histories(df, chunk=4).collect()}
+    assert got[1] == (11, ", ".join(f"t{i}" for i in range(11)))
+    assert got[2] == (1, "only")
