@@ -135,17 +135,18 @@ def fewshot_examples(rows: DataFrame, batch_size: int = BATCH_SIZE, k: int = N_E
     found = (wanted.join(correct.select(*g, "cnum", F.col("pos").alias("ex_pos"), "user_msg", "asst_msg"), [*g, "cnum"])
              .select(*g, "batch", (F.col("cnum") - F.col("lo") + 1).alias("slot"), "ex_pos", "user_msg", "asst_msg"))
     init = initial_examples(rows, k, fb, order_col="_order" if "_order" in rows.columns else "key")
-    if not fb:
-        init = init.withColumn("_fb", F.lit(0))
     empty = c0.filter(F.col("C0") == 0).select(*g, *[c for c in fb if c not in g], "batch")
-    if not fb:
-        empty = empty.withColumn("_fb", F.lit(0))
-    join_keys = fb if fb else ["_fb"]
-    fallback = (empty.join(F.broadcast(init.withColumnRenamed("slot", "s")) if not fb else init.withColumnRenamed("slot", "s"),
-                           join_keys)
-                .select(*g, "batch", F.col("s").alias("slot"), F.lit(None).cast("long").alias("ex_pos"),
-                        "user_msg", "asst_msg"))
-    return found.unionByName(fallback)
+    if fb:   # first k rows per fallback group: an equi join on the group
+        fallback = empty.join(init.withColumnRenamed("slot", "s"), fb).select(
+            *g, "batch", F.col("s").alias("slot"), "user_msg", "asst_msg")
+    else:    # the table's first k rows (k <= 3) become a literal array attached to each batch
+        first = init.orderBy("slot").collect()
+        if not first:
+            return found
+        lits = F.array(*[F.struct(F.lit(r.slot).cast("long").alias("slot"), F.lit(r.user_msg).alias("user_msg"),
+                                  F.lit(r.asst_msg).alias("asst_msg")) for r in first])
+        fallback = empty.select(*g, "batch", F.inline(lits))
+    return found.unionByName(fallback.withColumn("ex_pos", F.lit(None).cast("long")))
 
 
 # --------------------------------------------------------------------------- prompts

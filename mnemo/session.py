@@ -32,6 +32,7 @@ def build_session(master: str | None = None, app: str = "mnemo",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("MNEMO_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
