@@ -106,7 +106,8 @@ def q_indel_similarity(spark, sf):
 
 @register("score_titles", sql("SELECT MovieID, GeneratedTitle, RealTitle, ErrorFlag FROM title_scores", "title_scores"))
 def q_score_titles(spark, sf):
-    return title_results(spark, sf).select("MovieID", "GeneratedTitle", "RealTitle", "ErrorFlag")
+    scored = scoring.score_titles(D.items_ordered(spark, sf), D.title_responses(spark, sf))
+    return scored.select("MovieID", "GeneratedTitle", "RealTitle", "ErrorFlag")
 
 
 @register("item_popularity", Q.build("SELECT MovieID, PopularityScore, PopRank FROM popularity", "popularity"))
@@ -440,11 +441,15 @@ from mnemo.operators import recall as RL  # noqa: E402
 
 
 def interaction_results(spark, sf, rule=scoring.INTERACTION_RULE):
-    return scoring.score_interactions(D.interactions(spark, sf), D.interaction_responses(spark, sf), rule)
+    """The interaction-probe ledger for one threshold rule, scored once per session."""
+    return D._cached(spark, sf, f"interaction_results_{rule.threshold}_{rule.strict}", lambda: materialize(
+        scoring.score_interactions(D.interactions(spark, sf), D.interaction_responses(spark, sf), rule)))
 
 
 def user_results(spark, sf):
-    return scoring.score_users(D.users(spark, sf), D.user_responses(spark, sf))
+    """The user-attribute ledger, scored once per session."""
+    return D._cached(spark, sf, "user_results", lambda: materialize(
+        scoring.score_users(D.users(spark, sf), D.user_responses(spark, sf))))
 
 
 PROBE_CTES = {
@@ -486,12 +491,13 @@ def psql(body: str, *needs: str, extra: dict | None = None) -> str:
 
 @register("score_interactions", psql("SELECT RowIndex, GeneratedInteraction, RealInteraction, ErrorFlag FROM inter_scores", "inter_scores"))
 def q_score_interactions(spark, sf):
-    return interaction_results(spark, sf).drop("UserID")
+    scored = scoring.score_interactions(D.interactions(spark, sf), D.interaction_responses(spark, sf))
+    return scored.drop("UserID")
 
 
 @register("score_users", psql("SELECT RowIndex, GeneratedUser, RealUser, ErrorFlag FROM user_scores", "user_scores"))
 def q_score_users(spark, sf):
-    return user_results(spark, sf)
+    return scoring.score_users(D.users(spark, sf), D.user_responses(spark, sf))
 
 
 @register("interaction_key", Q.build("SELECT RowIndex, concat(CAST(UserID AS VARCHAR), '::', CAST(MovieID AS VARCHAR)) AS record FROM interactions", "interactions"))
@@ -511,12 +517,14 @@ def q_user_tiers(spark, sf):
 
 
 def sampled(spark, sf):
-    return activity.sample_users(activity.user_tiers(D.interactions(spark, sf)), SAMPLE_PER_TIER, SAMPLE_SEED)
+    """The sampled users per tier, drawn once per session and shared by the tier probe."""
+    return D._cached(spark, sf, "sampled", lambda: materialize(
+        activity.sample_users(activity.user_tiers(D.interactions(spark, sf)), SAMPLE_PER_TIER, SAMPLE_SEED)))
 
 
 @register("sample_users", psql("SELECT tier, UserID FROM sampled", "sampled"))
 def q_sample_users(spark, sf):
-    return sampled(spark, sf)
+    return activity.sample_users(activity.user_tiers(D.interactions(spark, sf)), SAMPLE_PER_TIER, SAMPLE_SEED)
 
 
 @register("sample_sizes", psql("SELECT tier, count(*) AS n FROM sampled GROUP BY tier", "sampled"))
