@@ -156,6 +156,21 @@ def length_bound(a, b) -> Column:
         F.least(la, lb).cast("double") * 200.0 / (la + lb))
 
 
+def edit_bound_ok(a, b, threshold: float) -> Column:
+    """False only when the pair cannot reach ``threshold``.
+
+    Levenshtein distance L never exceeds the indel distance, so similarity <=
+    100 * (T - L) / T with T = len a + len b. ``levenshtein`` with a per-row
+    threshold stops early (returns -1) once L exceeds T * (100 - threshold) / 100,
+    all in the JVM, so most hopeless pairs never reach the Python kernel.
+    """
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    total = F.length(a) + F.length(b)
+    max_lev = F.floor(total.cast("double") * F.lit((100.0 - float(threshold)) / 100.0) + F.lit(1e-6)).cast("int")
+    return F.call_function("levenshtein", a, b, max_lev) >= 0
+
+
 def passes(sim: Column, threshold: float, strict: bool) -> Column:
     return sim > F.lit(float(threshold)) if strict else sim >= F.lit(float(threshold))
 
@@ -169,7 +184,8 @@ def similarity_flag(a, b, threshold: float, strict: bool, rounded: bool = True)
     """
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
-    need = (a != b) & (length_bound(a, b) >= F.lit(float(threshold) - 0.5))
+    need = ((a != b) & (length_bound(a, b) >= F.lit(float(threshold) - 0.5))
+            & edit_bound_ok(a, b, float(threshold) - 0.5))
     raw = indel_ratio(F.when(need, a), F.when(need, b))
     sim = rint2(raw) if rounded else raw
     return (F.when(a == b, F.lit(0))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.functions.similarity import indel_ratio, length_bound
+from mnemo.functions.similarity import edit_bound_ok, indel_ratio, length_bound
 from mnemo.operators.positions import index_within_group
 from mnemo.functions.text import (RANKED_LINE_JAVA, normalize_title_clean, normalize_title_plain,
                                   py_strip, split_lines)
@@ -123,14 +123,18 @@ def match_recs(recs: DataFrame, test_titles: DataFrame, preset: Preset) -> DataF
     else:
         pairs = r.select("UserID", "rec_norm").distinct().join(t, "UserID")
         equal = pairs.filter(F.col("rec_norm") == F.col("test_norm")).select("UserID", "rec_norm")
-        cand = pairs.filter((F.col("rec_norm") != F.col("test_norm"))
-                            & (length_bound("rec_norm", "test_norm") >= F.lit(preset.threshold - 1e-9)))
-        # a fixed partition count: AQE would otherwise coalesce this small-in-bytes but
-        # CPU-heavy stage into a few tasks and leave cores idle in the Python kernel
-        kernel = (cand.select("rec_norm", "test_norm").distinct().repartition(_kernel_partitions(recs))
+        # bounds and kernel run once per distinct string pair; only the (few) passing
+        # pairs are joined back to the per-user pairs. A fixed partition count keeps
+        # AQE from coalescing this small-in-bytes, CPU-bound stage into a few tasks.
+        kernel = (pairs.select("rec_norm", "test_norm").distinct()
+                  .filter((F.col("rec_norm") != F.col("test_norm"))
+                          & (length_bound("rec_norm", "test_norm") >= F.lit(preset.threshold - 1e-9))
+                          & edit_bound_ok("rec_norm", "test_norm", preset.threshold))
+                  .repartition(_kernel_partitions(recs))
                   .withColumn("ratio", indel_ratio("rec_norm", "test_norm"))
-                  .filter(F.col("ratio") >= F.lit(float(preset.threshold))))
-        fuzzy = cand.join(kernel, ["rec_norm", "test_norm"], "left_semi").select("UserID", "rec_norm")
+                  .filter(F.col("ratio") >= F.lit(float(preset.threshold)))
+                  .select("rec_norm", "test_norm"))
+        fuzzy = pairs.join(kernel, ["rec_norm", "test_norm"], "left_semi").select("UserID", "rec_norm")
         hits = equal.unionByName(fuzzy).distinct()
     return (r.join(hits.withColumn("match", F.lit(1)), ["UserID", "rec_norm"], "left")
             .withColumn("match", F.coalesce(F.col("match"), F.lit(0))))
