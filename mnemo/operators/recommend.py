@@ -201,7 +201,7 @@ def population(preset: Preset, responded: DataFrame, recs: DataFrame, test_title
 
 
 def ranking_metrics(recs: DataFrame, test_titles: DataFrame, responded: DataFrame, preset: Preset,
-                    cutoffs: Sequence[int] = CUTOFFS) -> DataFrame:
+                    cutoffs: Sequence[int] = CUTOFFS, digits: int | None = 6) -> DataFrame:
     """(k, hr, ndcg, mrr, n_users): means over the preset's population; 0.0 when empty."""
     users = population(preset, responded, recs, test_titles)
     matched = match_recs(recs.join(users, "UserID", "left_semi"), test_titles, preset)
@@ -210,7 +210,8 @@ def ranking_metrics(recs: DataFrame, test_titles: DataFrame, responded: DataFram
     agg = per.groupBy("k").agg(F.avg("hr").alias("hr"), F.avg("ndcg").alias("ndcg"), F.avg("mrr").alias("mrr"),
                                F.count(F.lit(1)).alias("n_users"))
     out = ks.join(agg, "k", "left")
-    return out.select("k", *[F.round(F.coalesce(F.col(c), F.lit(0.0)), 6).alias(c) for c in ("hr", "ndcg", "mrr")],
+    rnd = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    return out.select("k", *[rnd(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in ("hr", "ndcg", "mrr")],
                       F.coalesce(F.col("n_users"), F.lit(0)).cast("long").alias("n_users"))
 
 
@@ -267,3 +268,52 @@ def absent_items(recs: DataFrame, items: DataFrame) -> DataFrame:
 def absent_totals(absent: DataFrame) -> DataFrame:
     return absent.agg(F.count(F.lit(1)).alias("distinct_missing"),
                       F.coalesce(F.sum("n"), F.lit(0)).alias("total_missing"))
+
+
+def fixed4(col: Column) -> Column:
+    """'{:.4f}' text of a double, from the half-even scaled rounding (same digits in every engine)."""
+    return F.format_string("%.4f", F.rint(col * 10000.0) / 10000.0)
+
+
+def evaluation_log(metrics: DataFrame, recs: DataFrame, absent: DataFrame) -> DataFrame:
+    """(section, p1, p2, line): the offline evaluator's log, ordered by (section, p1, p2).
+
+    Metrics lines, totals, the 10 most recommended titles, the 5 most frequent titles
+    per rank and the absent-item summary (the per-cutoff dict dump is left out: its
+    text depends on the numpy version)."""
+    spark = recs.sparkSession
+    k = F.col("k").cast("string")
+    m = metrics.select(F.lit(0).alias("section"), F.col("k").cast("long").alias("p1"), F.lit(0).cast("long").alias("p2"),
+                       F.concat(F.lit("Cutoff "), k, F.lit(" -> HR@"), k, F.lit(": "), fixed4(F.col("hr")), F.lit(", nDCG@"), k,
+                                F.lit(": "), fixed4(F.col("ndcg")), F.lit(", MRR@"), k, F.lit(": "), fixed4(F.col("mrr"))).alias("line"))
+    tot = rec_totals(recs).select(
+        F.array(F.concat(F.lit("Total recommendations: "), F.col("total_recommendations").cast("string")),
+                F.concat(F.lit("Unique items recommended: "), F.col("unique_items").cast("string")),
+                F.lit("Top recommended items:")).alias("a"))
+    tot = tot.select(F.posexplode("a").alias("p1", "line")).select(
+        F.lit(1).alias("section"), F.col("p1").cast("long"), F.lit(0).cast("long").alias("p2"), "line")
+    w = Window.orderBy(F.col("n").desc(), F.col("Title").asc())
+    top = top_items(recs, 10).select(F.lit(2).alias("section"), F.row_number().over(w).cast("long").alias("p1"),
+                                     F.lit(0).cast("long").alias("p2"),
+                                     F.concat(F.lit("  "), F.col("Title"), F.lit(": "), F.col("n").cast("string"), F.lit(" times")).alias("line"))
+    head = spark.createDataFrame([(3, 0, 0, "Recommendation Frequency by Position:")], "section int, p1 long, p2 long, line string")
+    pos = top_by_position(recs, 5)
+    rank_head = pos.select("Rank").distinct().select(F.lit(4).alias("section"), F.col("Rank").cast("long").alias("p1"),
+                                                     F.lit(0).cast("long").alias("p2"),
+                                                     F.concat(F.lit("Rank "), F.col("Rank").cast("string"), F.lit(":")).alias("line"))
+    rank_rows = pos.select(F.lit(4).alias("section"), F.col("Rank").cast("long").alias("p1"), F.col("pos").alias("p2"),
+                           F.concat(F.lit("    "), F.col("Title"), F.lit(": "), F.col("n").cast("string"), F.lit(" times")).alias("line"))
+    at = absent_totals(absent)
+    miss = at.select(F.array(
+        F.concat(F.lit("Distinct recommended items missing from dataset: "), F.col("distinct_missing").cast("string")),
+        F.concat(F.lit("Total missing recommendations (with duplicates): "), F.col("total_missing").cast("string")),
+        F.when(F.col("distinct_missing") > 0, F.lit("Missing items and their counts:"))
+         .otherwise(F.lit("All recommended items are present in the dataset."))).alias("a"))
+    miss = miss.select(F.posexplode("a").alias("p1", "line")).select(
+        F.lit(5).alias("section"), F.col("p1").cast("long"), F.lit(0).cast("long").alias("p2"), "line")
+    wa = Window.orderBy(F.col("n").desc(), F.col("norm_title").asc())
+    items = absent.select(F.lit(6).alias("section"), F.lit(0).cast("long").alias("p1"),
+                          F.row_number().over(wa).cast("long").alias("p2"),
+                          F.concat(F.lit("  "), F.col("norm_title"), F.lit(": "), F.col("n").cast("string"), F.lit(" times")).alias("line"))
+    return (m.unionByName(tot).unionByName(top).unionByName(head).unionByName(rank_head)
+            .unionByName(rank_rows).unionByName(miss).unionByName(items))

@@ -1000,6 +1000,48 @@ def q_stream_coverage(spark, sf):
     return r.select("model", "n", "errors", coverage.coverage_value(F.col("n") - F.col("errors"), F.col("n")).alias("coverage"))
 
 
+# ----------------------------------------------------------------- evaluation log
+
+
+def _fixed4_sql(x: str) -> str:
+    return f"printf('%.4f', round_even(CAST({x} AS DOUBLE) * 10000.0, 0) / 10000.0)"
+
+
+def _evaluation_log_sql() -> str:
+    m = _metrics_sql(RC.EVALUATOR_EXACT, Q.normalize_clean)
+    head, _, _ = m.rpartition("SELECT CAST(k.k AS INTEGER) AS k, round(")
+    metrics = """SELECT k.k AS k, coalesce(avg(hr), 0.0) AS hr,
+       coalesce(avg(CASE WHEN n_ideal > 0 THEN dcg / {ideal}[n_ideal] ELSE 0.0 END), 0.0) AS ndcg,
+       coalesce(avg(coalesce(1.0 / first_rank, 0.0)), 0.0) AS mrr
+FROM m_ks k LEFT JOIN m_user u ON u.k = k.k GROUP BY k.k""".format(ideal="[" + ", ".join(repr(x) for x in RC.ideal_prefix()) + "]")
+    k = "CAST(k AS VARCHAR)"
+    absent = ABSENT_CTE["absent"][1]
+    return head + f"""SELECT 0 AS section, CAST(k AS BIGINT) AS p1, CAST(0 AS BIGINT) AS p2,
+       concat('Cutoff ', {k}, ' -> HR@', {k}, ': ', {_fixed4_sql('hr')}, ', nDCG@', {k}, ': ', {_fixed4_sql('ndcg')},
+              ', MRR@', {k}, ': ', {_fixed4_sql('mrr')}) AS line FROM ({metrics})
+UNION ALL SELECT 1, 0, 0, concat('Total recommendations: ', CAST(count(*) AS VARCHAR)) FROM recs
+UNION ALL SELECT 1, 1, 0, concat('Unique items recommended: ', CAST(count(DISTINCT Title) AS VARCHAR)) FROM recs
+UNION ALL SELECT 1, 2, 0, 'Top recommended items:'
+UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, Title), 0, concat('  ', Title, ': ', CAST(n AS VARCHAR), ' times')
+  FROM (SELECT Title, count(*) AS n FROM recs GROUP BY Title ORDER BY n DESC, Title LIMIT 10)
+UNION ALL SELECT 3, 0, 0, 'Recommendation Frequency by Position:'
+UNION ALL SELECT 4, Rank, 0, concat('Rank ', CAST(Rank AS VARCHAR), ':') FROM (SELECT DISTINCT Rank FROM recs)
+UNION ALL SELECT 4, Rank, pos, concat('    ', Title, ': ', CAST(n AS VARCHAR), ' times') FROM (
+  SELECT Rank, Title, n, row_number() OVER (PARTITION BY Rank ORDER BY n DESC, Title) AS pos
+  FROM (SELECT Rank, Title, count(*) AS n FROM recs GROUP BY Rank, Title)) WHERE pos <= 5
+UNION ALL SELECT 5, 0, 0, concat('Distinct recommended items missing from dataset: ', CAST(count(*) AS VARCHAR)) FROM ({absent})
+UNION ALL SELECT 5, 1, 0, concat('Total missing recommendations (with duplicates): ', CAST(coalesce(sum(n), 0) AS VARCHAR)) FROM ({absent})
+UNION ALL SELECT 5, 2, 0, CASE WHEN count(*) > 0 THEN 'Missing items and their counts:' ELSE 'All recommended items are present in the dataset.' END FROM ({absent})
+UNION ALL SELECT 6, 0, row_number() OVER (ORDER BY n DESC, norm_title), concat('  ', norm_title, ': ', CAST(n AS VARCHAR), ' times') FROM ({absent})"""
+
+
+@register("evaluation_log", _evaluation_log_sql())
+def q_evaluation_log(spark, sf):
+    recs = parsed(spark, sf)[0]
+    metrics = RC.ranking_metrics(recs, test_titles(spark, sf), answered(spark, sf), RC.EVALUATOR_EXACT, digits=None)
+    return RC.evaluation_log(metrics, recs, RC.absent_items(recs, D.items(spark, sf)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 
