@@ -12,3 +12,17 @@ Every public operator is a DataFrame -> DataFrame function. Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions (UDFs, mapInPandas closures) by value, so
+    Python workers run them without the package being installed on executors."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: the package must then be importable on executors
+        pass
+
+
+_ship_by_value()
