@@ -37,10 +37,11 @@ def global_index(df: DataFrame, order: Sequence, out_col: str, start: int = 0,
 
     ``order`` must be a total order (ties get an arbitrary but fixed order).
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(order)
-    ranged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+    # without an explicit count AQE may merge adjacent range partitions (order is kept),
+    # so small inputs get few tasks and large ones keep spark.sql.shuffle.partitions
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    ranged = materialize(ranged.sortWithinPartitions(*keys))
     tagged = (ranged.withColumn("_mn_pid", F.spark_partition_id())
               .withColumn("_mn_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_mn_pid").agg(F.count(F.lit(1)).alias("_mn_n"))
