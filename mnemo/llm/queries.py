@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import mixing
+from mnemo.llm import mixing, pieces
 from mnemo.llm.common import read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,19 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     lean = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     plan = mixing.mix_sources(lean, size=F.col("size"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+#: The vocabulary file, found by the installed package of public tokenizers.
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def piece_model() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(PIECE_MODEL)
+
+
+@query("op7_encode_pieces")
+def op7_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return pieces.digest(pieces.encode_pieces(docs, piece_model()))
