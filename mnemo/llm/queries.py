@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import mixing, pieces
-from mnemo.llm.common import read_table
+from mnemo.llm import fingerprint, mixing, pieces
+from mnemo.llm.common import read_table, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -40,6 +40,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op5_fingerprint")
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how like they are to each
+    other and to the next document's."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    f = staged(fingerprint.fingerprint_edits(docs), "fingerprints")  # read twice below
+    following = f.select(F.col("doc_id").alias("next_id"), F.col("own").alias("next_own"))
+    return f.join(following, "next_id").select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint.to_hex(F.col("own")).alias("fingerprint"),
+        fingerprint.to_hex(F.col("edited")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("own"), F.col("edited")).alias("near_edited"),
+        fingerprint.likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+
+
 #: The vocabulary file, found by the installed package of public tokenizers.
 PIECE_MODEL = "piece_bpe_32k.model"
 
