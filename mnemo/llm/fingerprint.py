@@ -22,53 +22,40 @@ from pyspark.sql import functions as F
 
 from mnemo.llm.common import WORD
 
-SAMPLES = 32
-_LOW = (1 << 32) - 1
+SAMPLES = 24
 
 
-def _unit(bits: Column) -> Column:
-    """A uniform number in (0, 1) from the low 32 bits."""
-    return (bits.bitwiseAND(F.lit(_LOW)).cast("double") + 0.5) / F.lit(float(1 << 32))
+def _unit(bits: Column, shift: int, width: int) -> Column:
+    """A uniform number in (0, 1) from ``width`` bits above ``shift``."""
+    part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
+    return (part.cast("double") + 0.5) / F.lit(float(1 << width))
 
 
-def _draw(term: Column, i: int) -> tuple[Column, Column, Column]:
-    """r, ln c and b of draw ``i``. A Gamma(2, 1) variable is -ln(u1 * u2)."""
-    x, y = F.xxhash64(term, F.lit(2 * i)), F.xxhash64(term, F.lit(2 * i + 1))
-    r = -F.log(_unit(x) * _unit(F.shiftrightunsigned(x, 32)))
-    # c takes the low 40 bits of y as two numbers of 20, b the rest
-    part = F.lit(float(1 << 20))
-    u = (y.bitwiseAND(F.lit((1 << 20) - 1)).cast("double") + 0.5) / part
-    v = (F.shiftrightunsigned(y, 20).bitwiseAND(F.lit((1 << 20) - 1)).cast("double") + 0.5) / part
-    b = F.shiftrightunsigned(y, 40).cast("double") / F.lit(float(1 << 24))
-    return r, F.log(-F.log(u * v)), b
-
-
-def fingerprints(words: DataFrame, key: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
+def fingerprints(words: DataFrame, key: str, weights: list[str], samples: int = SAMPLES) -> DataFrame:
     """One row per ``key`` with an array of ``samples`` longs for each weight column.
 
-    ``words`` has a row per key and ``term`` (a long). A weight of 0 or null means that
-    the term is not in that set; a set without terms has a null array.
+    ``words`` has a row per key and ``term`` (a long). A term whose weight is 0 or null is
+    not in that set; a set without terms has a null array, a key without rows no row.
+    Terms and draws are rows, so the code stays small and a text of any length is many
+    small rows; both groupings begin with ``key``.
     """
-    variables = [F.struct(r.alias("r"), c.alias("c"), b.alias("b"))
-                 for r, c, b in (_draw(F.col("term"), i) for i in range(samples))]
-    at = words.select(*key, "term", *[F.when(F.col(w) > 0, F.log(w)).alias(w) for w in weights],
-                      *[v.alias(f"_v{i}") for i, v in enumerate(variables)])
-    picks = []
-    for w in weights:
-        for i in range(samples):
-            r, c, b = (F.col(f"_v{i}.{x}") for x in "rcb")
-            t = F.floor(F.col(w) / r + b)
-            # a null weight gives a null order, which min_by leaves out
-            picks.append(F.min_by(F.xxhash64("term", t), c - r * (t.cast("double") - b) - r).alias(f"_{w}{i}"))
-    drawn = at.groupBy(*key).agg(*picks)
-    return drawn.select(*key, *[
-        F.when(F.col(f"_{w}0").isNotNull(), F.array(*[F.col(f"_{w}{i}") for i in range(samples)])).alias(w)
+    logs = words.select(key, "term", *[F.when(F.col(w) > 0, F.log(w)).alias(w) for w in weights])
+    rows = logs.select("*", F.explode(F.array(*[F.lit(i) for i in range(samples)])).alias("draw"))
+    bits = rows.withColumn("bits", F.xxhash64("term", "draw"))
+    # a Gamma(2, 1) variable is -ln(u * v)
+    made = bits.select(
+        key, "draw", "term", *weights,
+        (-F.log(_unit(F.col("bits"), 0, 12) * _unit(F.col("bits"), 12, 12))).alias("r"),
+        F.log(-F.log(_unit(F.col("bits"), 24, 12) * _unit(F.col("bits"), 36, 12))).alias("c"),
+        _unit(F.col("bits"), 48, 16).alias("b"))
+    steps = made.select(key, "draw", "term", "r", "c", "b",
+                        *[F.floor(F.col(w) / F.col("r") + F.col("b")).alias(w) for w in weights])
+    # a null weight gives a null order, which min_by leaves out
+    drawn = steps.groupBy(key, "draw").agg(*[
+        F.min_by(F.xxhash64("term", w), F.col("c") - F.col("r") * (F.col(w).cast("double") - F.col("b") + 1)).alias(w)
         for w in weights])
-
-
-def terms(text: Column) -> Column:
-    """The words of a text as 64-bit hashes."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    lists = drawn.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("draw", *weights))).alias("x"))
+    return lists.select(key, *[F.when(F.col("x")[0][w].isNotNull(), F.col("x")[w]).alias(w) for w in weights])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -119,18 +106,12 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                          F.expr("substring(text, 1, int(prev_chars div 4))").alias("head"))
     pairs = (dealt.join(heads, "doc_id")
              .withColumn("edited_text", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), head)"))
-             .select("doc_id", "n_chars", "next_id", "text", "edited_text",
-                     F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256")))
-    both = F.array(F.struct(F.col("text").alias("t"), F.lit(1).alias("o"), F.lit(0).alias("e")),
-                   F.struct(F.col("edited_text").alias("t"), F.lit(0).alias("o"), F.lit(1).alias("e")))
-    # the facts of the document travel in the key: they are one value per doc_id
-    facts = ["doc_id", "n_chars", "next_id", "edited_sha256"]
-    words = (pairs.select(*facts, F.explode(both).alias("x"))
-             .select(*facts, "x.o", "x.e", F.explode_outer(F.split("x.t", r"[\x20\x09-\x0D]+")).alias("word"))
-             .select(*facts, F.when(F.col("word") != "", F.col("o")).alias("o"),
-                     F.when(F.col("word") != "", F.col("e")).alias("e"),
-                     F.xxhash64(F.col("word")).alias("term")))
-    counts = words.groupBy("doc_id", "term").agg(
-        *[F.first(f).alias(f) for f in facts[1:]], F.sum("o").alias("own"), F.sum("e").alias("edited"))
-    drawn = fingerprints(counts, facts, ["own", "edited"], samples)
-    return drawn
+             .select("doc_id", "n_chars", "next_id", "text", "edited_text"))
+    both = F.array(F.struct(F.col("text").alias("t"), F.lit(1).alias("own"), F.lit(0).alias("edited")),
+                   F.struct(F.col("edited_text").alias("t"), F.lit(0).alias("own"), F.lit(1).alias("edited")))
+    words = (pairs.select("doc_id", F.explode(both).alias("x"))
+             .select("doc_id", "x.own", "x.edited", F.explode(F.split("x.t", r"[\x20\x09-\x0D]+")).alias("word"))
+             .where("word <> ''").select("doc_id", "own", "edited", F.xxhash64("word").alias("term")))
+    counts = words.groupBy("doc_id", "term").agg(F.sum("own").alias("own"), F.sum("edited").alias("edited"))
+    facts = pairs.select("doc_id", "n_chars", "next_id", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"))
+    return facts.join(fingerprints(counts, "doc_id", ["own", "edited"], samples), "doc_id", "left")
