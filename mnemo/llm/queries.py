@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import fingerprint, mixing, pieces
+from mnemo.llm import fingerprint, mixing, pieces, secrets
 from mnemo.llm.common import read_table, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,10 @@ def op7_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return pieces.digest(pieces.encode_pieces(docs, piece_model()))
+
+
+@query("op6_scan_secrets")
+def op6_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of the secrets in every whole text."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return secrets.digest(secrets.scan_secrets(docs))
