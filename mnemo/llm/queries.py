@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import fingerprint, mixing, pieces, secrets
+from mnemo.llm import fingerprint, lm, mixing, pieces, secrets
 from mnemo.llm.common import read_table, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,12 @@ def op6_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and spans of the secrets in every whole text."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return secrets.digest(secrets.scan_secrets(docs))
+
+
+@query("op9_score_language_model")
+def op9_score_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and Kneser-Ney scores of every whole text, learnt from nine tenths of them."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumn(
+        "held_out", lm.remainder(F.col("doc_id"), 10) == 0)
+    model = lm.train(docs.where("NOT held_out"))
+    return lm.score(docs, model).drop("text")
