@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import fingerprint, lm, mixing, pieces, secrets
+from mnemo.llm import fingerprint, lm, mixing, neardup, pieces, secrets
 from mnemo.llm.common import read_table, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,10 @@ def op9_score_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         "held_out", lm.remainder(F.col("doc_id"), 10) == 0)
     model = lm.train(docs.where("NOT held_out"))
     return lm.score(docs, model).drop("text")
+
+
+@query("op4_near_duplicates", neardup.ORACLE_SQL)
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of two-word shingles are 80 % alike or more."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return neardup.near_duplicates(docs, neardup.Settings(width=2))
