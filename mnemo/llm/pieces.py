@@ -7,7 +7,7 @@ is then projected to the span of original bytes that it covers.
 
 No piece of a white-space-splitting vocabulary holds a space mark after another
 character, so merges never cross such a border. The text is therefore cut there, every
-distinct segment is merged once per task, and a document's ids are the segments' ids in
+distinct word is merged once and kept by the worker, and a document's ids are the segments' ids in
 a row. Vocabularies without that property are merged over the whole text.
 """
 
@@ -17,6 +17,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,9 @@ from mnemo.llm.common import fresh
 MARK = "▁"
 # fixed values of the model format: kinds of pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Words that a worker remembers. It bounds memory only; results don't depend on it.
+CACHED = 800_000
+NEVER = float("inf")
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -135,7 +139,13 @@ class PieceModel:
         self.surface = [p.replace(MARK, " ") if k in (NORMAL, USER, UNUSED) else
                         chr(int(p[3:-1], 16)) if k == BYTE and int(p[3:-1], 16) < 128 else None
                         for p, k in zip(self.pieces, self.kinds)]
-        self.seen: dict[str, tuple[list[int], list[int]]] = {}
+        # characters that an id covers; of the bytes of a character the first covers it
+        self.covers = np.array([int(not 0x80 <= int(p[3:-1], 16) < 0xC0) if k == BYTE else len(p)
+                                for p, k in zip(self.pieces, self.kinds)], np.int32)
+        self.simple = self.separable and self.fallback and self.prefix and self.escape and not self.map and not self.squeeze
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.now: dict[str, tuple[int, ...]] = {}  # words of the batch at hand
+        self.joins: tuple[np.ndarray, np.ndarray] | None = None
 
     # ---------------------------------------------------------------- normalising
 
@@ -180,19 +190,17 @@ class PieceModel:
         parts: list[str] = list(s)
         if self.separable and not self.unused and len(parts) <= 48:
             # a short list is scanned faster than a heap is kept
-            cost, none = self.cost, float("inf")
-            costs = [cost(a + b, none) for a, b in zip(parts, parts[1:])]
-            while costs:
-                best = min(costs)
-                if best == none:
-                    break
+            cost = self.cost
+            costs = [cost(s[i:i + 2], NEVER) for i in range(len(s) - 1)]
+            while costs and (best := min(costs)) is not NEVER:
                 i = costs.index(best)
-                parts[i] += parts.pop(i + 1)
-                costs.pop(i)
+                new = parts[i] + parts.pop(i + 1)
+                parts[i] = new
                 if i:
-                    costs[i - 1] = cost(parts[i - 1] + parts[i], none)
+                    costs[i - 1] = cost(parts[i - 1] + new, NEVER)
+                del costs[i]
                 if i < len(costs):
-                    costs[i] = cost(parts[i] + parts[i + 1], none)
+                    costs[i] = cost(new + parts[i + 1], NEVER)
             return parts
         if self.user:
             parts = [p for p in re.split("(" + "|".join(map(re.escape, self.user)) + ")|(.)", s, flags=re.S) if p]
@@ -228,45 +236,133 @@ class PieceModel:
             out = [q for p in out for q in joined.get(p, (p,))]
         return out
 
-    def encode_segment(self, s: str) -> tuple[list[int], list[int]]:
-        """Ids of a segment and how many of its characters each of them covers. Of the
-        bytes of an unknown character the first covers it and the others nothing."""
-        if s in self.seen:
-            return self.seen[s]
-        ids: list[int] = []
-        covers: list[int] = []
+    def encode_segment(self, s: str) -> tuple[int, ...]:
+        """Ids of a segment. A piece outside the vocabulary becomes the ids of its bytes
+        or, in a model without those, the unknown id."""
+        found: list[int] = []
         for p in self.merge(s):
-            if p in self.ids:
-                ids.append(self.ids[p])
-                covers.append(len(p))
+            i = self.ids.get(p)
+            if i is not None:
+                found.append(i)
             elif self.fallback:
-                raw = p.encode("utf-8")
-                ids.extend(self.byte_ids[c] for c in raw)
-                covers.append(len(p))
-                covers.extend([0] * (len(raw) - 1))
-            elif ids and ids[-1] == self.unknown:  # unknown characters in a row are one piece
-                covers[-1] += len(p)
+                found.extend(self.byte_ids[c] for c in p.encode("utf-8"))
+            elif not found or found[-1] != self.unknown:  # unknown pieces in a row are one
+                found.append(self.unknown)
+        return tuple(found)
+
+    def encode_word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word and the mark before it."""
+        return self.encode_segment(MARK + word)
+
+    def _joins(self) -> tuple[np.ndarray, np.ndarray]:
+        """(left id << 32 | right id, joined id) of every pair of pieces that joins."""
+        if self.joins is None:
+            got = sorted((self.ids[p[:k]] << 32 | self.ids[p[k:]], i) for p, i in self.ids.items()
+                         for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
+            self.joins = tuple(np.array(x, np.int64) for x in zip(*got)) if got else (np.array([-1]), np.array([0]))
+        return self.joins
+
+    def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """``encode_word`` of many words at once. Words of one length are the rows of a
+        matrix; each round joins the best pair of every row, so rows stay equally long,
+        and a row without a pair left is done."""
+        found: dict[str, tuple[int, ...]] = {}
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w) + 1, []).append(w)
+        keys, joined = self._joins()
+        scores = np.array(self.scores)
+        for n, group in by_length.items():
+            if n > 48:  # rare; a heap takes fewer rounds
+                found.update((w, self.encode_word(w)) for w in group)
+                continue
+            points = np.frombuffer("".join(MARK + w for w in group).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            chars, at = np.unique(points, return_inverse=True)
+            # a character that is no piece joins nothing: a negative number stands for it
+            row = np.array([self.ids.get(chr(c), -1 - int(c)) for c in chars], np.int64)[at].reshape(points.shape)
+            live = np.arange(len(group))
+
+            def look(left, right):
+                want = left << 32 | right
+                i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                hit = keys[i] == want
+                new = np.where(hit, joined[i], 0)
+                return np.where(hit, -scores[new], np.inf), new
+
+            cost, new = look(row[:, :-1], row[:, 1:])
+            while len(live):
+                best = np.argmin(cost, axis=1) if cost.shape[1] else np.zeros(len(live), int)
+                rows = np.arange(len(live))
+                done = ~np.isfinite(cost[rows, best]) if cost.shape[1] else np.ones(len(live), bool)
+                strange = (row[done] < 0).any(axis=1).tolist()
+                for i, ids, odd in zip(live[done].tolist(), row[done].tolist(), strange):
+                    found[group[i]] = tuple(chain.from_iterable(
+                        (x,) if x >= 0 else [self.byte_ids[c] for c in chr(-1 - x).encode("utf-8")] for x in ids
+                    )) if odd else tuple(ids)
+                on = ~done
+                live, row, cost, new, best = live[on], row[on], cost[on], new[on], best[on]
+                if not len(live):
+                    break
+                rows = np.arange(len(live))
+                row[rows, best] = new[rows, best]
+                keep = np.arange(row.shape[1] - 1)
+                row = np.take_along_axis(row, keep + (keep > best[:, None]), 1)
+                keep = np.arange(cost.shape[1] - 1)
+                shift = keep + (keep >= best[:, None])
+                cost, new = np.take_along_axis(cost, shift, 1), np.take_along_axis(new, shift, 1)
+                for side in (best - 1, best):  # the pairs on both sides of the joined piece
+                    r = np.flatnonzero((side >= 0) & (side < cost.shape[1]))
+                    if len(r):
+                        c = side[r]
+                        cost[r, c], new[r, c] = look(row[r, c], row[r, c + 1])
+        return found
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], np.ndarray]]:
+        """``encode`` of each text; their new words are merged together."""
+        if self.simple and not self.unused:
+            fresh_words = set(chain.from_iterable(t.split(" ") for t in texts)).difference(self.words)
+            got = self.learn([w for w in fresh_words if w and MARK not in w])
+            self.now = got
+            if len(self.words) + len(got) <= CACHED:
+                self.words.update(got)
+        out = [self.encode(t) for t in texts]
+        self.now = {}
+        return out
+
+    def _unknown_ends(self, cuts: list[str]) -> tuple[list[int], np.ndarray]:
+        """Ids and ends by character where unknown ids, which may cover anything, occur."""
+        ids: list[int] = []
+        ends: list[int] = []
+        at = 0
+        for p in chain.from_iterable(map(self.merge, cuts)):
+            at += len(p)
+            i = self.ids.get(p, self.unknown)
+            if i == self.unknown and ids and ids[-1] == i:
+                ends[-1] = at
             else:
-                ids.append(self.unknown)
-                covers.append(len(p))
-        if len(self.seen) < 400_000:  # bounds memory only; results don't depend on it
-            self.seen[s] = ids, covers
-        return ids, covers
+                ids.append(i)
+                ends.append(at)
+        return ids, np.array(ends, np.int32)
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray]:
         """Ids (no end id) and the original UTF-8 byte offset where each id's span ends;
         its span begins where the one before ends."""
-        s, starts = self.normalise(text)
-        ids: list[int] = []
-        covers: list[int] = []
-        for seg in (self.segment.findall(s) if self.separable else [s] if s else []):
-            i, c = self.seen.get(seg) or self.encode_segment(seg)
-            if i[0] == self.unknown and ids and ids[-1] == self.unknown:  # a run goes on over the cut
-                covers[-1] += c[0]
-                i, c = i[1:], c[1:]
-            ids += i
-            covers += c
-        ends = np.cumsum(np.array(covers, np.int32), dtype=np.int32)
+        starts = None
+        if self.simple and text and "  " not in text and text[0] != " " != text[-1] and MARK not in text:
+            # single spaces: the segments are the words, each with the mark before it
+            cuts = text.split(" ")
+            found = list(map(self.words.get, cuts))
+            if None in found:
+                found = [f or self.now.get(c) or self.encode_word(c) for f, c in zip(found, cuts)]
+        else:
+            s, starts = self.normalise(text)
+            cuts = self.segment.findall(s) if self.separable else [s] if s else []
+            found = [self.encode_segment(c) for c in cuts]
+        ids = list(chain.from_iterable(found))
+        if self.fallback or self.unknown not in ids:
+            ends = np.cumsum(self.covers[ids] if ids else np.zeros(0, np.int32), dtype=np.int32)
+        else:
+            ids, ends = self._unknown_ends(cuts)
         if starts is not None:
             return ids, np.array(starts, np.int32)[ends]
         # only the mark put before the text has no byte of its own; a space has one
@@ -284,7 +380,7 @@ class PieceModel:
         """The text of ids. Control ids have no text, byte ids in a row are UTF-8 with
         U+FFFD for each byte that fits nowhere; the mark put before the text goes."""
         body = ids[:-1] if ids and ids[-1] == self.eos else ids
-        plain = [self.surface[i] for i in body]
+        plain = list(map(self.surface.__getitem__, body))
         if None not in plain:  # no part of a multi-byte character: every id stands for itself
             if plain and (self.prefix or self.squeeze) and self.kinds[body[0]] != BYTE and plain[0][:1] == " ":
                 plain[0] = plain[0].lstrip(" ") if self.squeeze else plain[0][1:]
@@ -353,10 +449,10 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", end_id:
 
     A null text counts as empty: only the end id, whose span is empty. White space,
     NULs and characters outside the vocabulary are encoded as the model says. The model
-    file (under 1 MB) is read on the driver and goes out with the tasks.
+    file (under 1 MB) is read on the driver and broadcast, so a worker keeps the words
+    that it has merged from one task to the next.
     """
-    with open(model_file, "rb") as f:
-        blob = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast(load_model(model_file))
     out = ["ids", "ends", "decoded"]
     clash = [c for c in docs.columns if c.lower() in out]
     key = fresh(docs, "_text")
@@ -367,7 +463,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", end_id:
                            T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(blob)
+        model = shared.value
         stop = [model.eos] if end_id and model.eos is not None else []
         for batch in batches:
             keep = [n for n in batch.schema.names if n != key]
@@ -375,8 +471,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", end_id:
             step = max(1, min(len(texts), 1 + int(4e6 * len(texts) / max(1, texts.nbytes))))
             for lo in range(0, len(texts), step):  # a few MB of text at a time
                 ids, ends, decoded = [], [], []
-                for t in texts.slice(lo, step).to_pylist():
-                    i, e = model.encode(t)
+                for i, e in model.encode_batch(texts.slice(lo, step).to_pylist()):
                     decoded.append(model.decode(i + stop))
                     ids.append(np.array(i + stop, np.int32))
                     ends.append(np.append(e, [e[-1] if len(e) else 0] * len(stop)).astype(np.int32))
