@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import fingerprint, lm, mixing, neardup, pieces, secrets
+from mnemo.llm import fingerprint, langid, lm, mixing, neardup, pieces, secrets
 from mnemo.llm.common import read_table, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of two-word shingles are 80 % alike or more."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return neardup.near_duplicates(docs, neardup.Settings(width=2))
+
+
+@query("op2_identify_language")
+def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every whole text, learnt from documents not held out."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    net = langid.learn(docs)
+    return langid.identify(docs.select("doc_id", "text"), net).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
