@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import fingerprint, langid, lm, mixing, neardup, pieces, secrets
+from mnemo.llm import fingerprint, langid, linededup, lm, mixing, neardup, pieces, secrets
 from mnemo.llm.common import read_table, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = langid.learn(docs)
     return langid.identify(docs.select("doc_id", "text"), net).select(
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_dedup_lines", linededup.ORACLE_SQL)
+def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed) without repeated chunks of lines."""
+    return linededup.remove_repeated(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
