@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import fingerprint, langid, linededup, lm, mixing, neardup, pieces, secrets
+from mnemo.llm import fingerprint, forest, langid, linededup, lm, mixing, neardup, pieces, secrets
 from mnemo.llm.common import read_table, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) without repeated chunks of lines."""
     return linededup.remove_repeated(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+@query("op8_near_vectors", forest.ORACLE_SQL)
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at cosine 0.95 or more."""
+    return forest.near_duplicates(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
