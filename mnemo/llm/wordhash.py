@@ -20,7 +20,7 @@ _TABLE[65:91] = _TABLE[97:123]  # A-Z hash as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that are worked on at a time; a longer single text is one piece.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _powers: list[np.ndarray] = []
 
