@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import fingerprint, forest, langid, linededup, lm, mixing, neardup, pieces, secrets
+from mnemo.llm import fingerprint, forest, langid, linededup, lm, mixing, neardup, pages, pieces, secrets
 from mnemo.llm.common import read_table, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,12 @@ def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of all vectors at cosine 0.95 or more."""
     return forest.near_duplicates(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
+@query("op3_extract_pages")
+def op3_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars): the article of every page."""
+    table = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    net = pages.learn(table)
+    return pages.extract(table, net).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
