@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -55,6 +56,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>
     |<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+|[^<>]*)>""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Of a deeper path the outermost and innermost elements count.
+DEPTH = 40
 _SPACE = re.compile(r"\s+")
 
 
@@ -67,6 +70,7 @@ class Block:
 
 @dataclass
 class _Open:
+    """An open element and the words of its class, id and role."""
     tag: str
     names: tuple[str, ...] = ()
 
@@ -74,32 +78,34 @@ class _Open:
 def cut_blocks(html: str) -> list[Block]:
     """The shown blocks of a page in order, white space made single, references decoded."""
     blocks: list[Block] = []
-    stack: list[_Open] = []
+    stack: list[_Open] = []  # open elements but for inline ones
+    opened: Counter[str] = Counter()
     words: list[str] = []
-    linked = links = hidden = 0
-    at = 0
+    linked = hidden = at = 0
+    link = False
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", unescape("".join(words))).strip()
         if text:
-            path = tuple(x for o in stack if o.tag not in INLINE for x in (o.tag, *o.names))
+            shown = stack if len(stack) <= 2 * DEPTH else stack[:DEPTH] + stack[-DEPTH:]
+            path = tuple(x for o in shown for x in (o.tag, *o.names))
             blocks.append(Block(text, path, min(1.0, linked / max(1, len(text)))))
         words.clear()
         linked = 0
 
     def close(i: int) -> None:
-        nonlocal hidden, links
+        nonlocal hidden
         for o in stack[i:]:
             hidden -= o.tag in UNSHOWN
-            links -= o.tag == "a"
+            opened[o.tag] -= 1
         del stack[i:]
 
     def add(text: str) -> None:
         nonlocal linked
         if not hidden and text:
             words.append(text)
-            if links:
+            if link:
                 linked += len(text.strip())
 
     while m := _TOKEN.search(html, at):
@@ -108,21 +114,22 @@ def cut_blocks(html: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if tag not in INLINE:
-            flush()
-        elif tag == "br":
-            add(" ")
+        if tag in INLINE:
+            if tag == "a":
+                link = not m[1]
+            elif tag == "br":
+                add(" ")
+            continue
+        flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             continue
         for i in range(len(stack) - 1, -1, -1):
             if tag in CLOSED_BY.get(stack[i].tag, ()):
                 close(i)
                 break
-            if stack[i].tag not in INLINE and stack[i].tag not in CLOSED_BY:
+            if stack[i].tag not in CLOSED_BY:
                 break
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
             continue
@@ -130,7 +137,7 @@ def cut_blocks(html: str) -> list[Block]:
                       for p in _PARTS.findall(a[2] or a[3] or a[4] or "")) if m[3] else ()
         stack.append(_Open(tag, names))
         hidden += tag in UNSHOWN
-        links += tag == "a"
+        opened[tag] += 1
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
             at = end.start() if end else len(html)
