@@ -442,10 +442,14 @@ def load_model(path: str) -> PieceModel:
         return PieceModel(f.read())
 
 
-def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", end_id: bool = True) -> DataFrame:
+OUTPUTS = {"ids": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+
+
+def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", end_id: bool = True,
+                  outputs: tuple[str, ...] = tuple(OUTPUTS)) -> DataFrame:
     """Add ``ids`` (array<int>), ``ends`` (array<int>: the UTF-8 byte of the text where
     each id's span ends; spans follow one another without gaps) and ``decoded`` to
-    ``docs``; its other columns are kept.
+    ``docs``, or those of them in ``outputs``; its other columns are kept.
 
     A null text counts as empty: only the end id, whose span is empty. White space,
     NULs and characters outside the vocabulary are encoded as the model says. The model
@@ -453,14 +457,11 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", end_id:
     that it has merged from one task to the next.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model_file))
-    out = ["ids", "ends", "decoded"]
+    out = list(outputs)
     clash = [c for c in docs.columns if c.lower() in out]
     key = fresh(docs, "_text")
     src = docs.withColumn(key, F.coalesce(F.col(text), F.lit(""))).drop(*clash)
-    schema = T.StructType([*src.drop(key).schema.fields,
-                           T.StructField("ids", T.ArrayType(T.IntegerType())),
-                           T.StructField("ends", T.ArrayType(T.IntegerType())),
-                           T.StructField("decoded", T.StringType())])
+    schema = T.StructType([*src.drop(key).schema.fields, *[T.StructField(n, OUTPUTS[n]) for n in out]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -470,15 +471,13 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", end_id:
             texts = batch.column(batch.schema.get_field_index(key))
             step = max(1, min(len(texts), 1 + int(4e6 * len(texts) / max(1, texts.nbytes))))
             for lo in range(0, len(texts), step):  # a few MB of text at a time
-                ids, ends, decoded = [], [], []
-                for i, e in model.encode_batch(texts.slice(lo, step).to_pylist()):
-                    decoded.append(model.decode(i + stop))
-                    ids.append(np.array(i + stop, np.int32))
-                    ends.append(np.append(e, [e[-1] if len(e) else 0] * len(stop)).astype(np.int32))
+                pairs = [(i + stop, e) for i, e in model.encode_batch(texts.slice(lo, step).to_pylist())]
+                made = {"ids": lambda: pa.array([np.array(i, np.int32) for i, _ in pairs], pa.list_(pa.int32())),
+                        "ends": lambda: pa.array([np.append(e, [e[-1] if len(e) else 0] * len(stop)).astype(np.int32)
+                                                  for _, e in pairs], pa.list_(pa.int32())),
+                        "decoded": lambda: pa.array([model.decode(i) for i, _ in pairs], pa.string())}  # noqa: B023
                 cols = [batch.column(batch.schema.get_field_index(n)).slice(lo, step) for n in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())),
-                     pa.array(decoded, pa.string())], names=[*keep, *out])
+                yield pa.RecordBatch.from_arrays([*cols, *[made[n]() for n in out]], names=[*keep, *out])
 
     return src.mapInArrow(run, schema)
 
