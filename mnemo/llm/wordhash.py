@@ -22,15 +22,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that are worked on at a time; a longer single text is one piece.
 PIECE = 1 << 19
 
-_powers: list[np.ndarray] = []
-
-
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE + (PIECE >> 2))
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]))
-                      for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse. They are made for each batch and go with it:
+    code that Spark ships refers to itself in circles, so what it held would stay."""
+    up, down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)])) for b in (_BASE, _INVERSE))
+    return up, down
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,12 +41,11 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + (b ^ np.uint64(0xA0761D6478BD642F)))
 
 
-def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of the words of a byte array."""
+def _hashes(data: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the words of a byte array, given the powers for its length."""
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * up[:len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts]), starts
@@ -67,11 +62,14 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     lengths = np.array([0 if n is None else n for n in _lengths(texts)], np.int64)
     lo = 0
     total = np.concatenate([[0], np.cumsum(lengths + 1)])
+    up, down = _power_tables(min(int(total[-1]), PIECE) + 2)
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PIECE, "right")) - 1)
         part = texts.slice(lo, hi - lo)
         data = np.frombuffer(b" ".join(x.as_py() or b"" for x in part) + b" ", np.uint8)
-        hashes, starts = _hashes(data)
+        if len(data) + 1 > len(up):
+            up, down = _power_tables(len(data) + 1)  # a long single text
+        hashes, starts = _hashes(data, up, down)
         first = np.searchsorted(starts, np.append(total[lo:hi] - total[lo], len(data)))
         yield lo, hi, hashes, first
         lo = hi
