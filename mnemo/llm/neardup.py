@@ -43,6 +43,7 @@ class Settings:
     rows: int = 5
     batch: int = 36
     miss: float = 1e-7
+    block: int = 512
 
     @property
     def values(self) -> int:
@@ -156,6 +157,75 @@ def _surviving(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     return marked.mapInArrow(run, "a long, b long, matches int")
 
 
+def _compare_bucket(ids, sizes, groups, parts, marks, cross, need, s: Settings) -> np.ndarray:
+    """Rows (i, j) of a bucket's members that sequential verification doesn't give up, among
+    those of like size and different components (and parts, if ``cross``)."""
+    small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
+    open_ = (100 * small >= s.percent * large) & (groups[:, None] != groups[None, :]) & (ids[:, None] < ids[None, :])
+    if cross:
+        open_ &= parts[:, None] != parts[None, :]
+    i, j = np.nonzero(open_)
+    matches, seen = np.zeros(len(i), np.int32), 0
+    for n, least in need:
+        for lo in range(0, len(i), 100_000):  # bounds memory
+            at = slice(lo, lo + 100_000)
+            matches[at] += np.count_nonzero(marks[i[at], seen:n] == marks[j[at], seen:n], axis=1).astype(np.int32)
+        keep = matches >= least
+        i, j, matches, seen = i[keep], j[keep], matches[keep], n
+    return np.stack([ids[i], ids[j]])
+
+
+def _surviving_in_buckets(members: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different components that sequential
+    verification doesn't give up. Buckets are compared in place, in blocks of ``s.block``
+    members, so pairs that fail are never made into rows."""
+    need = [(n, least_matches(n, s.percent, s.miss)) for n in range(s.batch, s.values + 1, s.batch)]
+
+    def compared(rows: list[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        t = pa.Table.from_batches(rows)
+        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
+        cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True]]))
+        ids, sizes, groups, parts = (t.column(c).to_numpy() for c in ("doc_id", "n_shingles", "component", "part"))
+        marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
+        for lo, hi in zip(cuts, cuts[1:]):
+            at = slice(lo, hi)
+            if hi - lo > 1 and (groups[at] != groups[lo]).any():
+                yield _compare_bucket(ids[at], sizes[at], groups[at], parts[at], marks[at], key[1, lo] != key[2, lo], need, s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # whole groups, and the beginning of one at the end
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if held and (key[:, 0] != [held[-1].column(c)[-1].as_py() for c in range(3)]).any():
+                change = np.append(0, change)
+            if not len(change):
+                held.append(batch)
+                continue
+            last = int(change[-1])
+            yield from told([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        if held:
+            yield from told(held)
+
+    def told(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in compared([r for r in rows if r.num_rows]) if any(r.num_rows for r in rows) else ():
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    rows = (members.join(sizes, "bucket").join(sketches.select("doc_id", "marks"), "doc_id")
+            .withColumn("blocks", F.ceil(F.col("size") / s.block).cast("int"))
+            .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+            .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+                    "doc_id", "n_shingles", "component", "part", "marks"))
+    return (rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+            .mapInArrow(run, "a long, b long"))
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, s: Settings, text: str) -> DataFrame:
     """(doc_id, hashes): the sorted distinct shingle hashes of the wanted documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +285,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
                     .where("n > 1").select("bucket", "pivot"), "buckets")
     crowd = staged(members.join(shared, "bucket"), "members")  # only buckets with company
     sizes = reps.select(F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("pivot_n"))
-    near_size = f"100 * least({{0}}, {{1}}) >= {s.percent} * greatest({{0}}, {{1}})"
     stars = (crowd.where("doc_id <> pivot").select("pivot", "doc_id", "n_shingles").distinct()
-             .join(sizes, "pivot").where(near_size.format("n_shingles", "pivot_n"))
+             .join(sizes, "pivot").where(f"100 * least(n_shingles, pivot_n) >= {s.percent} * greatest(n_shingles, pivot_n)")
              .select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
     stars = staged(_surviving(stars, reps, s), "stars")
     # sets of whatever may need confirming: every member of a shared bucket
@@ -240,12 +309,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
               .select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     placed = staged(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-    x, y = placed.alias("x"), placed.alias("y")
-    cross = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
-                    & F.expr(near_size.format("x.n_shingles", "y.n_shingles")))
-             .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-             .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = _confirmed(_surviving(cross, reps, s).select("a", "b"), sets, s)
+    cross = _surviving_in_buckets(placed, reps, s).distinct().join(
+        stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = _confirmed(cross, sets, s)
     links = staged(links.union(more), "links")
     groups = components(links)
 
