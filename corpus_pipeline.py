@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemo.llm import langid, linededup, mixing, neardup, pieces
-from mnemo.llm.common import read_table, staged
+from mnemo.llm.common import packed, read_table, staged, unpacked
 from mnemo.llm.queries import piece_model
 
 #: Languages are told apart by far higher scores; below this a text is of none of them.
@@ -22,31 +22,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in one of the learnt languages: those that are undetermined (null texts,
     texts without letters) or score below ``MIN_SCORE`` go. With nothing to learn from, all go."""
     net = langid.learn(docs)
-    found = langid.identify(docs, net)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    found = langid.identify(packed(docs, ["doc_id", "text"]), net)
+    good = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
+    return unpacked(good, docs.columns, ["doc_id", "text"])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without chunks of lines that came before; ``n_chars`` follows."""
-    out = linededup.remove_repeated(docs)
+    out = unpacked(linededup.remove_repeated(packed(docs, ["doc_id", "text"])), docs.columns, ["doc_id", "text"])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 80 %)."""
-    return neardup.keep_one(docs)
+    return unpacked(neardup.keep_one(packed(docs, ["doc_id", "text"])), docs.columns, ["doc_id", "text"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the 5:2:1 mix at 150 % takes them."""
-    return mixing.emit_mix(mixing.mix_sources(docs), docs.columns)
+    own = packed(docs, ["doc_id", "text", "source"])
+    return unpacked(mixing.emit_mix(mixing.mix_sources(own), own.columns), docs.columns, ["doc_id", "text", "source"])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids): the token ids of each document, with an end id."""
-    coded = pieces.encode_pieces(docs, piece_model(), outputs=("ids",))
+    coded = pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"), piece_model(), outputs=("ids",))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
