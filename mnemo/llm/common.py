@@ -41,3 +41,14 @@ def hash_unit(*parts: Column) -> Column:
     """A fixed pseudo-random integer in [0, 2**32) from the parts' text: the first
     eight hex digits of an MD5, so any SQL engine gets the same one."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+
+
+def packed(df: DataFrame, used: list[str]) -> DataFrame:
+    """``used`` and all other columns as one struct, ``_others``, so that whatever they are
+    called they meet no name inside an operator. ``unpacked`` is the way back."""
+    others = [c for c in df.columns if c not in used]
+    return df.select(*used, F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(None).cast("string").alias("none")]).alias("_others"))
+
+
+def unpacked(df: DataFrame, columns: list[str], used: list[str]) -> DataFrame:
+    return df.select(*[F.col(c) if c in used else F.col("_others").getField(c).alias(c) for c in columns])

@@ -67,7 +67,7 @@ def remove_repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int
     after all others. A text that was all repeated chunks is empty. An empty table gives none.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    key, mark = fresh(docs, "_key"), fresh(docs, "_mark")
+    key, mark, lines, gone_ = (fresh(docs, x) for x in ("_key", "_mark", "_lines", "_gone"))
     identity = [F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias(key), F.xxhash64("text").alias(mark)]
     texts = docs.where("text IS NOT NULL").select(*identity, "text")
     long_enough = (F.col("n_lines") >= min_lines) & (F.regexp_count("body", F.lit(WORD)) >= min_words)
@@ -83,8 +83,9 @@ def remove_repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int
                                            (F.struct(key, mark, "first_line") == F.col("first")).alias("is_first")).alias("m")))
     per_doc = staged(members.groupBy(key, mark).agg(F.collect_list("m").alias("members")), "repeated_chunks")
 
-    # the bodies of those chunks, and the byte comparison
-    bodies = (texts.join(per_doc, [key, mark])
+    # the bodies of those chunks, and the byte comparison. Either join with the texts is
+    # planned as at full size, where nothing beside the texts is small
+    bodies = (texts.join(per_doc.hint("merge"), [key, mark])
               .select(key, mark, F.explode(F.array(F.split("text", "\n", -1))).alias("lines"), "members")
               .select(key, mark, "lines", F.explode("members").alias("m"))
               .select(key, mark, "m.*", F.array_join(F.slice("lines", F.col("m.first_line") + 1, F.col("m.n_lines")), "\n").alias("body")))
@@ -92,13 +93,13 @@ def remove_repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int
     copies = bodies.where("NOT is_first").join(firsts, ["hash", "size"]).where(F.col("body") == F.col("first_body"))
     gone = staged(copies.groupBy(key, mark).agg(F.collect_set(F.struct("first_line", "n_lines")).alias("gone")), "removed_chunks")
 
-    out = (docs.select(*names, *identity).join(gone.withColumnRenamed("gone", "_gone"), [key, mark], "left")
-           .select(*names, F.explode(F.array(F.split("text", "\n", -1))).alias("_lines"), "_gone"))
-    left = F.filter("_lines", lambda x, i: ~F.exists("_gone", lambda g: (i >= g["first_line"]) & (i < g["first_line"] + g["n_lines"])))
-    removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda s, g: s + g["n_lines"]), F.lit(0))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    out = (docs.select(*names, *identity).join(gone.withColumnRenamed("gone", gone_).hint("merge"), [key, mark], "left")
+           .select(*names, F.explode(F.array(F.split("text", "\n", -1))).alias(lines), gone_))
+    left = F.filter(lines, lambda x, i: ~F.exists(gone_, lambda g: (i >= g["first_line"]) & (i < g["first_line"] + g["n_lines"])))
+    removed = F.coalesce(F.aggregate(gone_, F.lit(0), lambda s, g: s + g["n_lines"]), F.lit(0))
+    text = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in names],
-                      F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"), removed.alias("n_removed"))
+                      F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), removed.alias("n_removed"))
 
 
 ORACLE_SQL = r"""

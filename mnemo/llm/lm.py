@@ -103,6 +103,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row (shard, packed) for each shard that has keys; keys are sorted."""
+    if not len(keys):
+        return
     order = np.argsort(shard, kind="stable")  # keeps the keys of a shard sorted
     keys, counts, shard = keys[order], counts[order], shard[order]
     cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))

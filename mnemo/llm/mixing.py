@@ -60,13 +60,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     """The mixing plan: every row of ``docs`` with ``size``, ``source_size``, ``target``
     and ``copies`` (how often the mix takes it, 0 to ``max_repeat``).
 
-    ``docs`` has doc_id, text, source; other columns are kept. A null text has size 0, a
+    ``docs`` has doc_id, text, source; other columns are kept, but for any that have the
+    names of the columns added here. A null text has size 0, a
     null source is a source of its own (last in order). Repeated rows are sampled one by
     one. Documents of size 0 are sampled like others and add no words. An empty table
     gives an empty plan.
     """
-    key, none = fresh(docs, "_mix_key"), fresh(docs, "_mix_null")
-    sized = (docs.withColumn("size", size if size is not None else word_count(F.col("text")))
+    made = ["size", "source_size", "target", "copies", "_mix_pos", "_mix_start", "_mix_step", "_mix_off"]
+    key, none, own = (fresh(docs, x) for x in ("_mix_key", "_mix_null", "_mix_size"))
+    sized = (docs.withColumn(own, size if size is not None else word_count(F.col("text")))
+             .drop(*[c for c in docs.columns if c.lower() in made]).withColumnRenamed(own, "size")
              .withColumn(none, F.col("source").isNull()).withColumn(key, F.coalesce("source", F.lit(""))))
     # position over all documents: sources one after another, large documents first
     ranked = global_index(sized, [F.col(none), F.col(key), F.col("size").desc(), F.col("doc_id")], "_mix_pos")
