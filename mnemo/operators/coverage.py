@@ -83,9 +83,12 @@ def errors_at(ranked: DataFrame, cuts: Sequence[int]) -> DataFrame:
                             F.coalesce(F.sum(F.when(rank <= c, flag).otherwise(F.lit(0))), F.lit(0)).cast("long").alias("errors"))
                    for c in cuts]
         return ranked.agg(F.array(*structs).alias("a")).select(F.explode("a").alias("s")).select("s.cut", "s.errors")
-    pref = prefix_sum(ranked, FLAG, RANK, "errors")
-    want = spark.createDataFrame([(c,) for c in cuts], "cut long")
-    return want.join(pref.select(F.col(RANK).alias("cut"), "errors"), "cut")
+    # the cuts join the rows as points of their own, so a cut between two ranks counts too
+    points = spark.createDataFrame([(c, 0, 1) for c in cuts], "at long, flag long, wanted int")
+    rows = ranked.select(F.col(RANK).cast("long").alias("at"), F.col(FLAG).cast("long").alias("flag"), F.lit(0).alias("wanted"))
+    per_rank = rows.unionByName(points).groupBy("at").agg(F.sum("flag").alias("flag"), F.max("wanted").alias("wanted"))
+    return (prefix_sum(per_rank, "flag", "at", "errors").filter(F.col("wanted") == 1)
+            .select(F.col("at").alias("cut"), "errors"))
 
 
 def _entries(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -1,10 +1,11 @@
 """Running a model over prompts: the pluggable responder seam.
 
 ``generate`` sends each Arrow batch of prompts to a picklable
-``responder(list_of_messages) -> list_of_outputs`` inside ``mapInPandas``,
-retrying a failed call with exponential back-off. A call that still fails
-yields a null output, which scoring turns into the failure sentinel; a
-responder may also return ``'content_filter_high'``.
+``responder(list_of_messages) -> list_of_outputs`` inside ``mapInPandas``. If that call
+fails, every prompt of the batch is asked by itself, retried with exponential back-off
+unless the failure is permanent, so a bad prompt loses its own answer only. A prompt that
+still fails has a null output and status ``failed``; scoring turns that into the failure
+sentinel. A responder may also return ``'content_filter_high'``.
 """
 
 from __future__ import annotations
@@ -22,32 +23,50 @@ MAX_ATTEMPTS = 50
 BACKOFF_MIN, BACKOFF_MAX = 2.0, 10.0
 
 
-def _call(responder: Responder, batch: list, max_attempts: int, backoff_min: float, backoff_max: float) -> list:
+class PermanentError(Exception):
+    """Raised by a responder where asking again would not help."""
+
+
+def _ask(responder: Responder, prompts: list) -> list:
+    out = list(responder(prompts))
+    if len(out) != len(prompts):
+        raise ValueError("responder returned a different number of outputs")
+    return out
+
+
+def _ask_one(responder: Responder, prompt: list, max_attempts: int, backoff_min: float, backoff_max: float):
+    """(output, status) of a single prompt."""
     for attempt in range(max_attempts):
         try:
-            out = responder(batch)
-            if len(out) != len(batch):
-                raise ValueError("responder returned a different number of outputs")
-            return list(out)
-        except Exception:  # noqa: BLE001 - any failure is retried, then becomes a null output
-            if attempt + 1 == max_attempts:
-                break
-            time.sleep(min(backoff_max, backoff_min * (2 ** attempt)))
-    return [None] * len(batch)
+            return _ask(responder, [prompt])[0], "ok"
+        except PermanentError:
+            break
+        except Exception:  # noqa: BLE001 - whatever the back end raised may pass
+            if attempt + 1 < max_attempts:
+                time.sleep(min(backoff_max, backoff_min * (2 ** min(attempt, 30))))
+    return None, "failed"
+
+
+def _ask_batch(responder: Responder, prompts: list, max_attempts: int, backoff_min: float, backoff_max: float) -> list[tuple]:
+    try:
+        return [(out, "ok") for out in _ask(responder, prompts)]
+    except Exception:  # noqa: BLE001 - one prompt may have spoilt the call for all
+        return [_ask_one(responder, p, max_attempts, backoff_min, backoff_max) for p in prompts]
 
 
 def generate(prompts: DataFrame, responder: Responder, key: str = "key", max_attempts: int = MAX_ATTEMPTS,
              backoff_min: float = BACKOFF_MIN, backoff_max: float = BACKOFF_MAX) -> DataFrame:
-    """(key, output) for every prompt row; ``messages`` is an array of (role, content)."""
+    """(key, output, status) for every prompt row; ``messages`` is an array of (role, content)."""
     key_type = dict(prompts.dtypes)[key]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             msgs = [[{"role": m["role"], "content": m["content"]} for m in row] for row in pdf["messages"]]
-            outs = _call(responder, msgs, max_attempts, backoff_min, backoff_max)
-            yield pd.DataFrame({key: pdf[key], "output": outs})
+            outs = _ask_batch(responder, msgs, max_attempts, backoff_min, backoff_max) if msgs else []
+            yield pd.DataFrame({key: pdf[key], "output": pd.Series([o for o, _ in outs], dtype=object, index=pdf.index),
+                                "status": pd.Series([x for _, x in outs], dtype=object, index=pdf.index)})
 
-    return prompts.select(key, "messages").mapInPandas(run, schema=f"{key} {key_type}, output string")
+    return prompts.select(key, "messages").mapInPandas(run, schema=f"{key} {key_type}, output string, status string")
 
 
 def echo_responder(batch: list) -> list:

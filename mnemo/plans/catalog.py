@@ -622,9 +622,9 @@ def q_strip_ws(spark, sf):
 
 
 @register("strip_key_echo", Q.build(f"""SELECT MovieID, {Q.strip("replace(output, CAST(MovieID AS VARCHAR) || '::', '')")} AS answer
-FROM title_responses WHERE output IS NOT NULL""", "title_responses"))
+FROM title_responses""", "title_responses"))
 def q_strip_key_echo(spark, sf):
-    r = D.title_responses(spark, sf).filter(F.col("output").isNotNull())
+    r = D.title_responses(spark, sf)
     return r.select("MovieID", T.strip_key_echo("output", "MovieID").alias("answer"))
 
 
@@ -652,9 +652,9 @@ def q_history_string(spark, sf):
   SELECT conv_id, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1""")
 def q_last_message(spark, sf):
     c = D.table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
-    msgs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role"), F.col("text").alias("content")))).alias("messages"))
-    last = F.element_at(F.col("messages"), -1)
-    return msgs.select("conv_id", T.last_message("messages").alias("answer"), last.getField("role").alias("role"))
+    # the last message is an aggregate; the conversation is never gathered
+    last = c.groupBy("conv_id").agg(F.max_by(F.array(F.struct("role", F.col("text").alias("content"))), "turn").alias("messages"))
+    return last.select("conv_id", T.last_message("messages").alias("answer"), F.col("messages")[0]["role"].alias("role"))
 
 
 @register("model_slug", """SELECT p_partkey, replace(concat(p_brand, '/', p_type), '/', '_') AS slug FROM part""")
@@ -663,14 +663,19 @@ def q_model_slug(spark, sf):
     return p.select("p_partkey", T.model_slug(F.concat(F.col("p_brand"), F.lit("/"), F.col("p_type"))).alias("slug"))
 
 
-@register("record_to_map")
+@register("record_to_map", psql("""SELECT RowIndex, list_aggregate(list_transform(range(1, least(len(p), 5) + 1),
+       lambda i: concat(['UserID', 'Gender', 'Age', 'Occupation', 'Zip_code'][i], '=', p[i])), 'string_agg', chr(10)) AS fields
+FROM (SELECT RowIndex, string_split(GeneratedUser, '::') AS p FROM user_scores)""", "user_scores"))
 def q_record_to_map(spark, sf):
     """dict(zip(names, record.split('::'))): zip stops at the shorter side."""
     names = F.array(*[F.lit(n) for n in ("UserID", "Gender", "Age", "Occupation", "Zip_code")])
     r = user_results(spark, sf)
     parts = F.split(F.col("GeneratedUser"), "::")
     n = F.least(F.size(parts), F.size(names))
-    return r.select("RowIndex", F.map_from_arrays(F.slice(names, 1, n), F.slice(parts, 1, n)).alias("fields"))
+    m = r.select("RowIndex", F.map_from_arrays(F.slice(names, 1, n), F.slice(parts, 1, n)).alias("m"))
+    # a map has no order to compare by: its entries as lines, in the order of the names
+    entries = F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return m.select("RowIndex", F.array_join(entries, "\n").alias("fields"))
 
 
 @register("title_lookup", sql("""SELECT k.MovieID, coalesce(i.Title, 'Unknown') AS RealTitle FROM
@@ -949,7 +954,7 @@ def q_ledger_append(spark, sf):
     path = scratch_path(spark, "ledger")
     LG.append(res.filter(F.col("ItemPos") < crash).drop("ItemPos"), path, MODEL_NAME)
     LG.append(res.filter(F.col("ItemPos") >= crash).drop("ItemPos"), path, MODEL_NAME)
-    return LG.read(spark, path).select("model", "MovieID", "GeneratedTitle", "RealTitle", "ErrorFlag").distinct()
+    return LG.read(spark, path).select("model", "MovieID", "GeneratedTitle", "RealTitle", "ErrorFlag")
 
 
 @register("report_lines", report_sql("pop_merged", Q.percentile_report("pop_merged", PERCENTILES, True)).replace(
@@ -964,7 +969,7 @@ def q_report_lines(spark, sf):
 def q_generate_stub(spark, sf):
     from mnemo.operators.generate import echo_responder, generate
     p = PR.build_prompts(title_prompt_rows(spark, sf), PR.TITLE_SYSTEM)
-    return generate(p, echo_responder, key="key", max_attempts=2, backoff_min=0.0, backoff_max=0.0)
+    return generate(p, echo_responder, key="key", max_attempts=2, backoff_min=0.0, backoff_max=0.0).select("key", "output")
 
 
 def _stream_ledger(spark, sf):

@@ -2,8 +2,8 @@
 
 Lineage is cut with ``DataFrame.checkpoint()`` into the folder named by
 ``spark.checkpoint.dir``. On a cluster that setting points at shared storage and
-is read from the session; only when it is unset (unit tests, ad-hoc local runs)
-do we create a local folder ourselves.
+is read from the session; only when it is unset on a local master (unit tests, ad-hoc
+runs) do we create a local folder ourselves.
 """
 
 from __future__ import annotations
@@ -47,7 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if not root:
-            root = tempfile.mkdtemp(prefix="mnemo-ckpt-")  # local runs only
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="mnemo-ckpt-")  # one machine: driver and tasks share it
         sc.setCheckpointDir(root)
     if not root:
         root = sc.getCheckpointDir()

@@ -28,13 +28,47 @@ def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, s
             .option("sep", sep).csv(path))
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, ITEMS_SCHEMA).select("MovieID", "Title")
+def with_file_order(df: DataFrame, out_col: str) -> DataFrame:
+    """Add the 0-based position of each row over all files: by file name, then as the
+    rows stand in the file. ``df`` is a file scan; splits of a file keep their order."""
+    from mnemo.operators.positions import global_index
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_row"))
+    return global_index(tagged, ["_file", "_block", "_row"], out_col).drop("_file", "_block", "_row")
 
 
-def read_interactions(spark: SparkSession, path: str, schema: str = INTERACTIONS_SCHEMA) -> DataFrame:
-    """Only UserID and MovieID are read: the CSV parser prunes the other columns."""
-    return read_csv(spark, path, schema).select("UserID", "MovieID")
+def read_named(spark: SparkSession, path: str, wanted: dict[str, str], sep: str = ",", order_col: str | None = None) -> DataFrame:
+    """The ``wanted`` columns (name -> type) of CSV files with a header line, whatever their
+    order and whatever other columns there are. All files must have the same header; a
+    missing column, a value of another type and a missing path raise. ``order_col`` adds
+    the row's position in the files."""
+    header = spark.read.option("header", "true").option("sep", sep).options(**_CSV_READ).csv(path).columns
+    if missing := [c for c in wanted if c not in header]:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    schema = ", ".join(f"`{c}` {wanted.get(c, 'STRING')}" for c in header)
+    df = (spark.read.schema(schema).options(**_CSV_READ).option("header", "true").option("enforceSchema", "false")
+          .option("sep", sep).csv(path))
+    if order_col:
+        tagged = df.select(*wanted, "_metadata")
+        return with_file_order(tagged, order_col).drop("_metadata")
+    return df.select(*wanted)
+
+
+def read_items(spark: SparkSession, path: str, order: bool = False) -> DataFrame:
+    """(MovieID, Title), with ``order`` also ItemPos, from any header CSV that has these columns."""
+    return read_named(spark, path, {"MovieID": "LONG", "Title": "STRING"}, order_col="ItemPos" if order else None)
+
+
+def read_interactions(spark: SparkSession, path: str, order: bool = False) -> DataFrame:
+    """(UserID, MovieID), with ``order`` also RowIndex: the parser prunes the other columns."""
+    return read_named(spark, path, {"UserID": "LONG", "MovieID": "LONG"}, order_col="RowIndex" if order else None)
+
+
+def read_users(spark: SparkSession, path: str, order: bool = False) -> DataFrame:
+    """(UserID, Gender, Age, Occupation, Zip_code), with ``order`` also RowIndex."""
+    types = dict(zip(USERS_HEADER, ("LONG", "STRING", "INT", "INT", "STRING")))
+    df = read_named(spark, path, types, order_col="RowIndex" if order else None)
+    return df.withColumnRenamed("Zip-code", "Zip_code")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
@@ -60,13 +94,17 @@ def ingest_delimited(spark: SparkSession, path: str, header: Sequence[str],
 
     Each line is stripped and split on the literal separator; quotes are data.
     With ``columns_to_keep`` a line too short for a kept index is rejected and
-    extra fields are ignored; without it every line passes with all its fields.
+    extra fields are ignored; without it every line passes: the header's columns (null
+    where the line is too short) and what lies beyond them as one text, ``extra``.
     """
     lines = spark.read.text(path)
-    parts = F.split(py_strip(F.col("value")), sep.replace("\\", "\\\\").replace(".", "\\.").replace("|", "\\|"))
+    parts = F.split(py_strip(F.col("value")), "\\Q" + sep + "\\E", -1)
     with_parts = lines.select("value", parts.alias("_p"))
     if columns_to_keep is None:
-        return with_parts.select(F.col("_p").alias("fields")), with_parts.filter(F.lit(False)).select("value")
+        rest = F.slice("_p", len(header) + 1, F.greatest(F.size("_p") - len(header), F.lit(0)))
+        named = [F.get("_p", F.lit(i)).alias(h) for i, h in enumerate(header)]
+        extra = F.when(F.size("_p") > len(header), F.array_join(rest, sep)).alias("extra")
+        return with_parts.select(*named, extra), with_parts.filter(F.lit(False)).select("value")
     need = max(columns_to_keep) + 1
     ok = F.size("_p") >= need
     accepted = with_parts.filter(ok).select(*[F.col("_p")[i].alias(header[i]) for i in columns_to_keep])
@@ -88,9 +126,12 @@ def write_latin1_lines(df: DataFrame, text_col: str, latin1: F.Column, path: str
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """One line per report row, in ``ord`` order (reports are a handful of rows)."""
-    report.orderBy("ord").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """One line per report row, in ``ord`` order over the part files' names: a curve has a
+    line per item, so its file is written by as many tasks as it needs."""
+    report.orderBy("ord").select("line").write.mode("overwrite").text(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("ord"), F.col("value").alias("line"))
+    """(ord, line): the lines of a report, numbered from 1."""
+    lines = with_file_order(spark.read.text(path).select("value", "_metadata"), "ord")
+    return lines.select((F.col("ord") + 1).alias("ord"), F.col("value").alias("line"))

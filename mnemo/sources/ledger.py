@@ -21,6 +21,12 @@ def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     return r.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything was written at ``path``; a store that can't be asked raises."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
 def pending(rows: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in the ledger yet (batch ids are computed before this)."""
     return rows.join(ledger.select(key).distinct(), key, "left_anti")
