@@ -83,6 +83,16 @@ def index_within_group(df: DataFrame, group_cols: Sequence[str], order_col: str,
     return out.withColumn(out_col, (F.col("_mn_cnt") + F.lit(start)).cast("long")).drop("_mn_cnt")
 
 
+def position_in_group(df: DataFrame, group_cols: Sequence[str], order_col: str, out_col: str) -> DataFrame:
+    """Dense 0-based position of each row inside its group, for orders that are sparse
+    within a group: positions of the order (group, order) less the group's first, so a
+    group holding any share of the rows is cut by the range partitioning."""
+    g = list(group_cols)
+    ranked = global_index(df, [*g, order_col], "_mn_all")
+    first = ranked.groupBy(*g).agg(F.min("_mn_all").alias("_mn_first"))
+    return ranked.join(first, g).withColumn(out_col, F.col("_mn_all") - F.col("_mn_first")).drop("_mn_all", "_mn_first")
+
+
 def batch_ids(df: DataFrame, pos_col: str, batch_size: int, out_col: str = "batch") -> DataFrame:
     """``floor(pos / batch_size)`` for a 0-based position."""
     return df.withColumn(out_col, F.floor(F.col(pos_col) / F.lit(batch_size)).cast("long"))

@@ -105,8 +105,8 @@ def initial_examples(rows: DataFrame, k: int = N_EXAMPLES, group_cols: Sequence[
     """First k rows of the table (per fallback group): (group..., slot, user_msg, asst_msg).
     row_number() <= k keeps k rows per group in each partition before the shuffle."""
     g = list(group_cols)
-    w = Window.partitionBy(*g).orderBy(order_col) if g else Window.orderBy(order_col)
-    first = rows.filter(F.col("pos") < k) if not g else rows
+    w = Window.partitionBy(*g).orderBy(order_col) if g else Window.orderBy("pos")
+    first = rows if g else rows.orderBy("pos").limit(k)  # k rows, whatever their positions
     return (first.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= k)
             .select(*g, F.col("slot").cast("long").alias("slot"), "user_msg", "asst_msg"))
 
@@ -117,22 +117,33 @@ def last_three(ledger: DataFrame, order_col: str, k: int = N_EXAMPLES) -> DataFr
 
 
 def fewshot_examples(rows: DataFrame, batch_size: int = BATCH_SIZE, k: int = N_EXAMPLES,
-                     group_cols: Sequence[str] = (), fallback_cols: Sequence[str] = ()) -> DataFrame:
+                     group_cols: Sequence[str] = (), fallback_cols: Sequence[str] = (),
+                     seed: DataFrame | None = None) -> DataFrame:
     """(group..., batch, slot, ex_pos, user_msg, asst_msg): the examples of every batch.
 
+    ``seed`` resumes an earlier run: its (pos, user_msg, asst_msg), at most ``k`` rows in
+    ``pos`` order (see ``last_three``), stand before all of ``rows`` as if they were correct.
+    Without groups only.
+
     ``rows`` has (group..., pos, flag, user_msg, asst_msg, fallback...); pos is 0-based
     within the group. Slots are oldest first.
     """
     g, fb = list(group_cols), list(fallback_cols)
     rows = batch_ids(rows, "pos", batch_size)
-    correct = index_within_group(rows.filter(F.col("flag") == 0), g, "pos", "cnum", start=1)
+    old = seed.orderBy("pos").select("user_msg", "asst_msg").limit(k).collect() if seed is not None else []  # k rows
+    correct = (index_within_group(rows.filter(F.col("flag") == 0), g, "pos", "cnum", start=1 + len(old))
+               .select(*g, "cnum", F.col("pos").alias("ex_pos"), "user_msg", "asst_msg"))
+    if old:
+        first = rows.sparkSession.createDataFrame([(i + 1, None, *r) for i, r in enumerate(old)],
+                                                  "cnum long, ex_pos long, user_msg string, asst_msg string")
+        correct = correct.unionByName(first)
     per_batch = rows.groupBy(*g, *[c for c in fb if c not in g], "batch").agg(
         F.sum(F.when(F.col("flag") == 0, 1).otherwise(0)).alias("nc"))
-    c0 = prefix_sum(per_batch, "nc", "batch", "C0", group_cols=g, inclusive=False)
+    c0 = prefix_sum(per_batch, "nc", "batch", "C0", group_cols=g, inclusive=False).withColumn("C0", F.col("C0") + len(old))
     lo = F.greatest(F.col("C0") - (k - 1), F.lit(1))
     wanted = (c0.filter(F.col("C0") > 0)
               .select(*g, "batch", lo.alias("lo"), F.explode(F.sequence(lo, F.col("C0"))).alias("cnum")))
-    found = (wanted.join(correct.select(*g, "cnum", F.col("pos").alias("ex_pos"), "user_msg", "asst_msg"), [*g, "cnum"])
+    found = (wanted.join(correct, [*g, "cnum"])
              .select(*g, "batch", (F.col("cnum") - F.col("lo") + 1).alias("slot"), "ex_pos", "user_msg", "asst_msg"))
     init = initial_examples(rows, k, fb, order_col="_order" if "_order" in rows.columns else "key")
     empty = c0.filter(F.col("C0") == 0).select(*g, *[c for c in fb if c not in g], "batch")
@@ -153,10 +164,12 @@ def fewshot_examples(rows: DataFrame, batch_size: int = BATCH_SIZE, k: int = N_E
 
 def build_prompts(rows: DataFrame, system: str, batch_size: int = BATCH_SIZE, k: int = N_EXAMPLES,
                   group_cols: Sequence[str] = (), fallback_cols: Sequence[str] = (),
-                  dataset: str = DATASET_NAME) -> DataFrame:
-    """(group..., key, pos, batch, messages) for every probe row."""
+                  dataset: str = DATASET_NAME, seed: DataFrame | None = None) -> DataFrame:
+    """(group..., key, pos, batch, messages) for every probe row; ``seed`` as in
+    :func:`fewshot_examples`. Rows that an earlier run has done are not in ``rows``: they
+    are in no transcript, and positions (so batches) are those of the whole table."""
     g = list(group_cols)
-    ex = fewshot_examples(rows, batch_size, k, g, fallback_cols)
+    ex = fewshot_examples(rows, batch_size, k, g, fallback_cols, seed)
     ex_arr = ex.groupBy(*g, "batch").agg(F.array_sort(F.collect_list(F.struct("slot", "user_msg", "asst_msg"))).alias("ex"))
     b = batch_ids(rows, "pos", batch_size)
     w = Window.partitionBy(*g, "batch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -203,8 +216,9 @@ def render(messages) -> Column:
 
 def recommend_prompts(histories: DataFrame, dataset: str = DATASET_NAME) -> DataFrame:
     """(UserID, messages): system message + the user's training history."""
-    user = F.concat(F.lit("User "), F.col("UserID").cast("string"), F.lit(" has interacted with the following movies: "),
-                    F.col("history"), F.lit(RECOMMEND_USER.split("{history}", 1)[1]))
+    # one template: its places are filled as arguments, so a history is never read as a format
+    form = RECOMMEND_USER.replace("%", "%%").replace("{user}", "%1$s").replace("{history}", "%2$s")
+    user = F.format_string(form, F.col("UserID").cast("string"), F.col("history"))
     msgs = F.array(message("system", F.lit(RECOMMEND_SYSTEM.format(dataset=dataset))), message("user", user))
     return histories.select("UserID", msgs.alias("messages"))
 

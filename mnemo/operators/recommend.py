@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.functions.similarity import edit_bound_ok, indel_ratio, length_bound
-from mnemo.operators.positions import index_within_group
+from mnemo.operators.positions import global_index, position_in_group
 from mnemo.functions.text import (RANKED_LINE_JAVA, normalize_title_clean, normalize_title_plain,
                                   py_strip, split_lines)
 
@@ -73,6 +73,12 @@ def enrich_titles(rows: DataFrame, items: DataFrame) -> DataFrame:
     return rows.join(items.select("MovieID", "Title"), "MovieID")
 
 
+def answered_users(responses: DataFrame, eligible: DataFrame) -> DataFrame:
+    """Answers that came: of eligible users, without those of failed calls (null output),
+    which are in no population."""
+    return responses.filter(F.col("output").isNotNull()).join(eligible, "UserID", "left_semi")
+
+
 def eligible_users(train: DataFrame, test: DataFrame) -> DataFrame:
     """Users with at least one training and one test title (after the item join)."""
     return train.select("UserID").distinct().join(test.select("UserID").distinct(), "UserID", "left_semi")
@@ -88,7 +94,7 @@ def user_histories(train_titles: DataFrame, order_col: str = "RowIndex", chunk:
     two levels so that no task sorts a very active user's whole list: chunks of
     ``chunk`` consecutive positions are joined in parallel, then the chunk strings.
     """
-    pos = index_within_group(train_titles, ["UserID"], order_col, "_hpos", bucket=chunk)
+    pos = position_in_group(train_titles, ["UserID"], order_col, "_hpos")
     entry = F.struct(F.col("_hpos"), F.col("Title"))
     parts = (pos.groupBy("UserID", F.floor(F.col("_hpos") / chunk).alias("_chunk"))
              .agg(F.count(F.lit(1)).alias("_n"),
@@ -275,45 +281,71 @@ def fixed4(col: Column) -> Column:
     return F.format_string("%.4f", F.rint(col * 10000.0) / 10000.0)
 
 
-def evaluation_log(metrics: DataFrame, recs: DataFrame, absent: DataFrame) -> DataFrame:
+# The lines of the offline evaluator's log, in their order.
+LOG_CUTOFF = "Cutoff {k} -> HR@{k}: {hr}, nDCG@{k}: {ndcg}, MRR@{k}: {mrr}"
+LOG_HEADER = "Evaluation Metrics with {threshold}% threshold:"
+LOG_DICT = "Cutoff {k}: {{'HR@{k}': {hr}, 'nDCG@{k}': {ndcg}, 'MRR@{k}': {mrr}}}"
+LOG_TOTALS = ("", "Overall Recommendation Statistics:", "Total recommendations: {total}", "Unique items recommended: {unique}",
+              "Top recommended items:")
+LOG_POSITIONS = ("", "Recommendation Frequency by Position:")
+LOG_MISSING = ("Distinct recommended items missing from dataset: {distinct}", "Total missing recommendations (with duplicates): {total}")
+LOG_SOME_MISSING = "Missing items and their counts:"
+LOG_NONE_MISSING = "All recommended items are present in the dataset."
+
+
+def _fill(template: str, **columns: Column) -> Column:
+    """A line template with its places filled by columns."""
+    out: Column = F.lit(template.replace("{{", "{").replace("}}", "}") if "{{" in template else template)
+    for name, value in columns.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
+    return out
+
+
+def _counted(indent: str, name: str) -> Column:
+    return F.concat(F.lit(indent), F.col(name), F.lit(": "), F.col("n").cast("string"), F.lit(" times"))
+
+
+def fixed6(col: Column) -> Column:
+    return F.format_string("%.6f", F.rint(col * 1000000.0) / 1000000.0)
+
+
+def evaluation_log(metrics: DataFrame, recs: DataFrame, absent: DataFrame, similarity_threshold: float = 1) -> DataFrame:
     """(section, p1, p2, line): the offline evaluator's log, ordered by (section, p1, p2).
 
-    Metrics lines, totals, the 10 most recommended titles, the 5 most frequent titles
-    per rank and the absent-item summary (the per-cutoff dict dump is left out: its
-    text depends on the numpy version)."""
-    spark = recs.sparkSession
-    k = F.col("k").cast("string")
-    m = metrics.select(F.lit(0).alias("section"), F.col("k").cast("long").alias("p1"), F.lit(0).cast("long").alias("p2"),
-                       F.concat(F.lit("Cutoff "), k, F.lit(" -> HR@"), k, F.lit(": "), fixed4(F.col("hr")), F.lit(", nDCG@"), k,
-                                F.lit(": "), fixed4(F.col("ndcg")), F.lit(", MRR@"), k, F.lit(": "), fixed4(F.col("mrr"))).alias("line"))
-    tot = rec_totals(recs).select(
-        F.array(F.concat(F.lit("Total recommendations: "), F.col("total_recommendations").cast("string")),
-                F.concat(F.lit("Unique items recommended: "), F.col("unique_items").cast("string")),
-                F.lit("Top recommended items:")).alias("a"))
-    tot = tot.select(F.posexplode("a").alias("p1", "line")).select(
-        F.lit(1).alias("section"), F.col("p1").cast("long"), F.lit(0).cast("long").alias("p2"), "line")
-    w = Window.orderBy(F.col("n").desc(), F.col("Title").asc())
-    top = top_items(recs, 10).select(F.lit(2).alias("section"), F.row_number().over(w).cast("long").alias("p1"),
-                                     F.lit(0).cast("long").alias("p2"),
-                                     F.concat(F.lit("  "), F.col("Title"), F.lit(": "), F.col("n").cast("string"), F.lit(" times")).alias("line"))
-    head = spark.createDataFrame([(3, 0, 0, "Recommendation Frequency by Position:")], "section int, p1 long, p2 long, line string")
+    Metrics per cutoff, the same again under a header (values with six places, where the
+    text of a float depends on the library's version), totals, the 10 most recommended
+    titles, the 5 most frequent titles per rank, and the absent items, all of them: their
+    number is the model's to choose, so they are ranked over a range partitioning."""
+    def rows(section: int, df: DataFrame, p1: Column, p2: Column, line: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), p1.cast("long").alias("p1"), p2.cast("long").alias("p2"), line.alias("line"))
+
+    def listed(section: int, df: DataFrame, lines: list[Column]) -> DataFrame:
+        return (df.select(F.posexplode(F.array(*lines)).alias("p1", "line"))
+                .select(F.lit(section).alias("section"), F.col("p1").cast("long"), F.lit(0).cast("long").alias("p2"), "line"))
+
+    zero = F.lit(0)
+    k = F.col("k")
+    form = lambda f: {"k": k, **{c: f(F.col(c)) for c in ("hr", "ndcg", "mrr")}}
+    tot, at = rec_totals(recs), absent_totals(absent)
+    totals = {"total": F.col("total_recommendations"), "unique": F.col("unique_items")}
+    missing = {"distinct": F.col("distinct_missing"), "total": F.col("total_missing")}
+    top = top_items(recs, 10).withColumn("p", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("Title").asc())))  # 10 rows
     pos = top_by_position(recs, 5)
-    rank_head = pos.select("Rank").distinct().select(F.lit(4).alias("section"), F.col("Rank").cast("long").alias("p1"),
-                                                     F.lit(0).cast("long").alias("p2"),
-                                                     F.concat(F.lit("Rank "), F.col("Rank").cast("string"), F.lit(":")).alias("line"))
-    rank_rows = pos.select(F.lit(4).alias("section"), F.col("Rank").cast("long").alias("p1"), F.col("pos").alias("p2"),
-                           F.concat(F.lit("    "), F.col("Title"), F.lit(": "), F.col("n").cast("string"), F.lit(" times")).alias("line"))
-    at = absent_totals(absent)
-    miss = at.select(F.array(
-        F.concat(F.lit("Distinct recommended items missing from dataset: "), F.col("distinct_missing").cast("string")),
-        F.concat(F.lit("Total missing recommendations (with duplicates): "), F.col("total_missing").cast("string")),
-        F.when(F.col("distinct_missing") > 0, F.lit("Missing items and their counts:"))
-         .otherwise(F.lit("All recommended items are present in the dataset."))).alias("a"))
-    miss = miss.select(F.posexplode("a").alias("p1", "line")).select(
-        F.lit(5).alias("section"), F.col("p1").cast("long"), F.lit(0).cast("long").alias("p2"), "line")
-    wa = Window.orderBy(F.col("n").desc(), F.col("norm_title").asc())
-    items = absent.select(F.lit(6).alias("section"), F.lit(0).cast("long").alias("p1"),
-                          F.row_number().over(wa).cast("long").alias("p2"),
-                          F.concat(F.lit("  "), F.col("norm_title"), F.lit(": "), F.col("n").cast("string"), F.lit(" times")).alias("line"))
-    return (m.unionByName(tot).unionByName(top).unionByName(head).unionByName(rank_head)
-            .unionByName(rank_rows).unionByName(miss).unionByName(items))
+    ranked = global_index(absent, [F.col("n").desc(), F.col("norm_title").asc()], "p", start=1)
+    parts = [
+        rows(0, metrics, k, zero, _fill(LOG_CUTOFF, **form(fixed4))),
+        listed(1, tot, [F.lit(LOG_HEADER.format(threshold=similarity_threshold * 100))]),
+        rows(2, metrics, k, zero, _fill(LOG_DICT, **form(fixed6))),
+        listed(3, tot, [_fill(x, **totals) for x in LOG_TOTALS]),
+        rows(4, top, F.col("p"), zero, _counted("  ", "Title")),
+        listed(5, tot, [F.lit(x) for x in LOG_POSITIONS]),
+        rows(6, pos.select("Rank").distinct(), F.col("Rank"), zero, F.concat(F.lit("Rank "), F.col("Rank").cast("string"), F.lit(":"))),
+        rows(6, pos, F.col("Rank"), F.col("pos"), _counted("    ", "Title")),
+        listed(7, at, [*[_fill(x, **missing) for x in LOG_MISSING],
+                       F.when(F.col("distinct_missing") > 0, F.lit(LOG_SOME_MISSING)).otherwise(F.lit(LOG_NONE_MISSING))]),
+        rows(8, ranked, zero, F.col("p"), _counted("  ", "norm_title")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

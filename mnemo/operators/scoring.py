@@ -30,10 +30,10 @@ USER_INTERACTION_RULE = Rule(90, True)
 USER_ATTRIBUTE_RULE = Rule(90, False)
 
 
-def title_lookup(keys: DataFrame, items: DataFrame, order_col: str | None = None) -> DataFrame:
-    """keys LEFT JOIN items: RealTitle, 'Unknown' when missing; the last duplicate wins."""
-    t = F.max_by("Title", order_col) if order_col else F.max("Title")
-    lookup = items.groupBy("MovieID").agg(t.alias("RealTitle"))
+def title_lookup(keys: DataFrame, items: DataFrame, order_col: str) -> DataFrame:
+    """keys LEFT JOIN items: RealTitle, 'Unknown' when missing; of duplicate ids the last
+    row by ``order_col`` (the position in the items file) wins."""
+    lookup = items.groupBy("MovieID").agg(F.max_by("Title", order_col).alias("RealTitle"))
     return (keys.join(lookup, "MovieID", "left")
             .withColumn("RealTitle", F.coalesce(F.col("RealTitle"), F.lit(UNKNOWN_TITLE))))
 
@@ -44,17 +44,15 @@ def attach_responses(prompts: DataFrame, responses: DataFrame, key: str) -> Data
 
 
 def score_titles(items: DataFrame, responses: DataFrame, rule: Rule = TITLE_RULE) -> DataFrame:
-    """(MovieID, GeneratedTitle, RealTitle, ErrorFlag) for every item."""
-    keys = items.select("MovieID", *[c for c in ("ItemPos",) if c in items.columns])
-    real = title_lookup(keys, items, "ItemPos" if "ItemPos" in items.columns else None)
+    """(MovieID, GeneratedTitle, RealTitle, ErrorFlag, ItemPos) for every row of ``items``
+    (MovieID, Title, ItemPos)."""
+    keys = items.select("MovieID", "ItemPos")
+    real = title_lookup(keys, items, "ItemPos")
     j = attach_responses(real, responses, "MovieID")
     gen = response_text("output", TITLE_ERROR_TEXT, key="MovieID")
     j = j.withColumn("GeneratedTitle", gen)
     flag = similarity_flag("GeneratedTitle", "RealTitle", rule.threshold, rule.strict)
-    cols = ["MovieID", "GeneratedTitle", "RealTitle", flag.alias("ErrorFlag")]
-    if "ItemPos" in items.columns:
-        cols.append("ItemPos")
-    return j.select(*cols)
+    return j.select("MovieID", "GeneratedTitle", "RealTitle", flag.alias("ErrorFlag"), "ItemPos")
 
 
 def score_interactions(interactions: DataFrame, responses: DataFrame,

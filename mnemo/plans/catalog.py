@@ -217,7 +217,7 @@ def eligible(spark, sf):
 
 def answered(spark, sf):
     """Recommendation answers of eligible users (users without an answer failed)."""
-    return stage(spark, sf, "answered", lambda: D.rec_responses(spark, sf).join(eligible(spark, sf), "UserID", "left_semi"))
+    return stage(spark, sf, "answered", lambda: RC.answered_users(D.rec_responses(spark, sf), eligible(spark, sf)))
 
 
 def parsed(spark, sf):
@@ -240,7 +240,7 @@ FROM split s JOIN items i ON i.MovieID = s.MovieID WHERE s.split = 'test'"""),
     "eligible": (("train_titles", "test_titles"), """SELECT DISTINCT UserID FROM train_titles
 WHERE UserID IN (SELECT UserID FROM test_titles)"""),
     "answered": (("rec_responses", "eligible"), """SELECT UserID, output FROM rec_responses
-WHERE UserID IN (SELECT UserID FROM eligible)"""),
+WHERE output IS NOT NULL AND UserID IN (SELECT UserID FROM eligible)"""),
     "rec_raw": (("answered",), f"""SELECT UserID, CAST(line_no AS BIGINT) AS line_no, {Q.strip('raw')} AS line FROM (
   SELECT UserID, unnest(arr) AS raw, unnest(range(0, len(arr))) AS line_no
   FROM (SELECT UserID, string_split_regex(output, '{T.LINE_BREAKS}') AS arr FROM answered))"""),
@@ -261,7 +261,7 @@ def ssql(body: str, *needs: str, extra: dict | None = None) -> str:
 
 @register("train_test_split", ssql("SELECT UserID, MovieID, RowIndex, UserPos, split FROM split", "split"))
 def q_train_test_split(spark, sf):
-    return split_table(spark, sf).select("UserID", "MovieID", "RowIndex", "UserPos", "split")
+    return SP.train_test_split(D.interactions(spark, sf), TRAIN_RATIO).select("UserID", "MovieID", "RowIndex", "UserPos", "split")
 
 
 @register("split_sizes", ssql("SELECT split, count(*) AS n FROM split GROUP BY split", "split"))
@@ -287,7 +287,7 @@ def q_user_histories(spark, sf):
 
 @register("parse_ranked_list", ssql("SELECT UserID, line_no, Rank, Title FROM recs", "recs"))
 def q_parse_ranked_list(spark, sf):
-    return parsed(spark, sf)[0]
+    return RC.parse_ranked_list(answered(spark, sf))[0]
 
 
 @register("parse_rejects", ssql("SELECT UserID, line_no, Rank, Title FROM rejects", "rejects"))
@@ -353,10 +353,6 @@ def _metrics_sql(preset: RC.Preset, norm_sql) -> str:
         pop = "SELECT DISTINCT UserID FROM answered"
     else:
         pop = "SELECT DISTINCT UserID FROM recs WHERE UserID IN (SELECT UserID FROM test_titles)"
-    disc = RC.discounts()
-    ideal = RC.ideal_prefix()
-    disc_list = "[" + ", ".join(repr(x) for x in disc) + "]"
-    ideal_list = "[" + ", ".join(repr(x) for x in ideal) + "]"
     extra = {
         "m_pop": (("answered", "recs", "test_titles"), pop),
         "m_recs": (("recs", "m_pop"), f"SELECT UserID, Rank, {norm_sql('Title')} AS rec_norm FROM recs WHERE UserID IN (SELECT UserID FROM m_pop)"),
@@ -378,12 +374,12 @@ JOIN m_hits h ON h.UserID = r.UserID AND h.rec_norm = r.rec_norm""")
     extra["m_ntest"] = (("m_test",), "SELECT UserID, count(*) AS n_test FROM m_test GROUP BY UserID")
     extra["m_user"] = (("m_pop", "m_ks", "m_ntest", "m_matched"), f"""SELECT p.UserID, k.k,
        CAST(CASE WHEN EXISTS (SELECT 1 FROM m_matched m WHERE m.UserID = p.UserID AND m.Rank <= k.k) THEN 1 ELSE 0 END AS DOUBLE) AS hr,
-       coalesce((SELECT sum({disc_list}[m.Rank]) FROM m_matched m WHERE m.UserID = p.UserID AND m.Rank <= k.k), 0.0) AS dcg,
+       coalesce((SELECT sum(1 / log2(m.Rank + 1)) FROM m_matched m WHERE m.UserID = p.UserID AND m.Rank <= k.k), 0.0) AS dcg,
        (SELECT min(m.Rank) FROM m_matched m WHERE m.UserID = p.UserID AND m.Rank <= k.k) AS first_rank,
        least(coalesce(n.n_test, 0), k.k) AS n_ideal
 FROM m_pop p CROSS JOIN m_ks k LEFT JOIN m_ntest n ON n.UserID = p.UserID""")
     body = f"""SELECT CAST(k.k AS INTEGER) AS k, round(coalesce(avg(hr), 0.0), 6) AS hr,
-       round(coalesce(avg(CASE WHEN n_ideal > 0 THEN dcg / {ideal_list}[n_ideal] ELSE 0.0 END), 0.0), 6) AS ndcg,
+       round(coalesce(avg(CASE WHEN n_ideal > 0 THEN dcg / list_sum(list_transform(range(1, n_ideal + 1), lambda i: 1 / log2(i + 1))) ELSE 0.0 END), 0.0), 6) AS ndcg,
        round(coalesce(avg(coalesce(1.0 / first_rank, 0.0)), 0.0), 6) AS mrr,
        CAST(count(u.UserID) AS BIGINT) AS n_users
 FROM m_ks k LEFT JOIN m_user u ON u.k = k.k GROUP BY k.k"""
@@ -422,7 +418,7 @@ register("rec_matches_exact", _matches_sql(RC.EVALUATOR_EXACT, Q.normalize_clean
 
 
 @register("ideal_dcg", ssql(f"""SELECT UserID, k, n_test, least(n_test, k) AS n_ideal,
-       round(CASE WHEN least(n_test, k) > 0 THEN {'[' + ', '.join(repr(x) for x in RC.ideal_prefix()) + ']'}[least(n_test, k)] ELSE 0.0 END, 6) AS ideal_dcg
+       round(CASE WHEN least(n_test, k) > 0 THEN list_sum(list_transform(range(1, least(n_test, k) + 1), lambda i: 1 / log2(i + 1))) ELSE 0.0 END, 6) AS ideal_dcg
 FROM (SELECT UserID, count(*) AS n_test FROM test_titles GROUP BY UserID) CROSS JOIN (SELECT * FROM (VALUES {', '.join(f'({k})' for k in RC.CUTOFFS)}) v(k))""",
       "test_titles"))
 def q_ideal_dcg(spark, sf):
@@ -680,12 +676,17 @@ def q_record_to_map(spark, sf):
 
 @register("title_lookup", sql("""SELECT k.MovieID, coalesce(i.Title, 'Unknown') AS RealTitle FROM
   (SELECT DISTINCT l_partkey AS MovieID FROM lineitem UNION SELECT DISTINCT l_partkey + 100000 FROM lineitem) k
-  LEFT JOIN items i ON i.MovieID = k.MovieID""", "items"))
+  LEFT JOIN (SELECT MovieID, CASE WHEN MovieID % 10 = 0 THEN 'Another ' || Title ELSE Title END AS Title FROM items) i
+    ON i.MovieID = k.MovieID""", "items"))
 def q_title_lookup(spark, sf):
+    """Every tenth item is listed twice; the later row's title holds."""
     li = D.table(spark, sf, "lineitem", ["l_partkey"])
     keys = li.select(F.col("l_partkey").cast("long").alias("MovieID")).unionByName(
         li.select((F.col("l_partkey") + 100000).cast("long").alias("MovieID"))).distinct()
-    return scoring.title_lookup(keys, D.items(spark, sf)).select("MovieID", "RealTitle")
+    items = D.items_ordered(spark, sf)
+    again = (items.filter(F.col("MovieID") % 10 == 0)
+             .select("MovieID", F.concat(F.lit("Another "), F.col("Title")).alias("Title"), (F.col("ItemPos") + (1 << 40)).alias("ItemPos")))
+    return scoring.title_lookup(keys, items.unionByName(again), "ItemPos").select("MovieID", "RealTitle")
 
 
 @register("popularity_join", sql("""SELECT p.MovieID, p.PopRank, coalesce(s.ErrorFlag, 1) AS ErrorFlag
@@ -710,21 +711,25 @@ def _pair_sql(u: str, a: str) -> str:
     return f"concat('user: ', {u}, chr(10), 'assistant: ', {a})"
 
 
-def prompt_ctes(prow_sql: tuple) -> dict:
-    """CTEs over prow(key, grp, fb, pos, flag, user_msg, asst_msg, ord) -> examples, transcripts."""
+def prompt_ctes(prow_sql: tuple, seed: tuple | None = None) -> dict:
+    """CTEs over prow(key, grp, fb, pos, flag, user_msg, asst_msg, ord) -> examples, transcripts.
+    ``seed`` (grp, pos, user_msg, asst_msg), with positions before all others, stands for
+    what an earlier run left."""
     b = PR.BATCH_SIZE
     k = PR.N_EXAMPLES
     return {
+        "pr_seed": seed or ((), "SELECT 0 AS grp, 0 AS pos, '' AS user_msg, '' AS asst_msg WHERE 1 = 0"),
         "prow": prow_sql,
         "pr_b": (("prow",), f"SELECT *, CAST(floor(pos / {b}) AS BIGINT) AS batch FROM prow"),
-        "pr_c": (("pr_b",), "SELECT grp, pos, user_msg, asst_msg, row_number() OVER (PARTITION BY grp ORDER BY pos) AS cnum FROM pr_b WHERE flag = 0"),
-        "pr_c0": (("pr_b", "pr_c"), f"""SELECT t.grp, t.fb, t.batch,
-       (SELECT count(*) FROM pr_c c WHERE c.grp = t.grp AND c.pos < t.batch * {b}) AS C0
-FROM (SELECT DISTINCT grp, fb, batch FROM pr_b) t"""),
+        "pr_c": (("pr_b", "pr_seed"), """SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos) AS cnum
+FROM (SELECT grp, pos, user_msg, asst_msg FROM pr_b WHERE flag = 0 UNION ALL SELECT grp, pos, user_msg, asst_msg FROM pr_seed)"""),
+        "pr_c0": (("pr_b", "pr_seed"), """SELECT grp, fb, batch, CAST(coalesce(sum(nc) OVER (PARTITION BY grp ORDER BY batch
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (SELECT count(*) FROM pr_seed) AS BIGINT) AS C0
+FROM (SELECT grp, fb, batch, sum(CASE WHEN flag = 0 THEN 1 ELSE 0 END) AS nc FROM pr_b GROUP BY grp, fb, batch)"""),
         "pr_init": (("prow",), f"""SELECT fb, slot, user_msg, asst_msg FROM (
   SELECT fb, user_msg, asst_msg, row_number() OVER (PARTITION BY fb ORDER BY ord) AS slot FROM prow) WHERE slot <= {k}"""),
         "pr_ex": (("pr_c0", "pr_c", "pr_init"), f"""SELECT c0.grp, c0.batch, CAST(c.cnum - greatest(c0.C0 - {k - 1}, 1) + 1 AS BIGINT) AS slot,
-       CAST(c.pos AS BIGINT) AS ex_pos, c.user_msg, c.asst_msg
+       CAST(CASE WHEN c.pos >= 0 THEN c.pos END AS BIGINT) AS ex_pos, c.user_msg, c.asst_msg
 FROM pr_c0 c0 JOIN pr_c c ON c.grp = c0.grp AND c.cnum BETWEEN greatest(c0.C0 - {k - 1}, 1) AND c0.C0 WHERE c0.C0 > 0
 UNION ALL
 SELECT c0.grp, c0.batch, CAST(i.slot AS BIGINT), CAST(NULL AS BIGINT), i.user_msg, i.asst_msg
@@ -752,14 +757,22 @@ INTER_PROW = (("inter_scores",), """SELECT RowIndex AS key, 0 AS grp, 0 AS fb, R
        concat(split_part(RealInteraction, '::', 1), '::') AS user_msg, RealInteraction AS asst_msg, RowIndex AS ord FROM inter_scores""")
 USER_PROW = (("user_scores",), """SELECT RowIndex AS key, 0 AS grp, 0 AS fb, RowIndex AS pos, ErrorFlag AS flag,
        concat(split_part(RealUser, '::', 1), '::') AS user_msg, RealUser AS asst_msg, RowIndex AS ord FROM user_scores""")
-PER_USER_PROW = (("inter_scores", "sampled"), """SELECT i.RowIndex AS key, i.UserID AS grp, s.tier AS fb,
+# the sampled users' rows are scored by themselves: the LCS of all other rows isn't needed
+SAMPLED_SCORES = {
+    "inter_gen_s": (("inter_gen", "sampled"), "SELECT * FROM inter_gen WHERE UserID IN (SELECT UserID FROM sampled)"),
+    **Q.lcs_ctes("inter_lcs_s", "SELECT GeneratedInteraction AS a, RealInteraction AS b FROM inter_gen_s"),
+    "inter_scores_s": (("inter_gen_s", "inter_lcs_s"), f"""SELECT g.RowIndex, g.UserID, g.GeneratedInteraction, g.RealInteraction,
+       CASE WHEN {Q.sim_expr('g.GeneratedInteraction', 'g.RealInteraction', 'l.lcs')} > 90 THEN 0 ELSE 1 END AS ErrorFlagUser
+FROM inter_gen_s g LEFT JOIN inter_lcs_s l ON l.a = g.GeneratedInteraction AND l.b = g.RealInteraction"""),
+}
+PER_USER_PROW = (("inter_scores_s", "sampled"), """SELECT i.RowIndex AS key, i.UserID AS grp, s.tier AS fb,
        CAST(row_number() OVER (PARTITION BY i.UserID ORDER BY i.RowIndex) - 1 AS BIGINT) AS pos, i.ErrorFlagUser AS flag,
        concat(split_part(i.RealInteraction, '::', 1), '::') AS user_msg, i.RealInteraction AS asst_msg, i.RowIndex AS ord
-FROM inter_scores i JOIN sampled s ON s.UserID = i.UserID""")
+FROM inter_scores_s i JOIN sampled s ON s.UserID = i.UserID""")
 
 
-def prompt_sql(prow: tuple, body: str) -> str:
-    extra = prompt_ctes(prow)
+def prompt_sql(prow: tuple, body: str, seed: tuple | None = None) -> str:
+    extra = SAMPLED_SCORES | prompt_ctes(prow, seed)
     return psql(body, *extra.keys(), extra=extra)
 
 
@@ -837,8 +850,8 @@ def q_prompts_user_attr(spark, sf):
 
 
 @register("prompts_recommend", ssql(f"""SELECT UserID, 2 AS n_messages,
-       concat({Q.lit('system: ' + PR.RECOMMEND_SYSTEM.format(dataset=PR.DATASET_NAME))}, chr(10), 'user: User ', CAST(UserID AS VARCHAR),
-              ' has interacted with the following movies: ', history, {Q.lit(PR.RECOMMEND_USER.split('{history}', 1)[1])}) AS prompt
+       concat({Q.lit('system: ' + PR.RECOMMEND_SYSTEM.format(dataset=PR.DATASET_NAME))}, chr(10), 'user: ',
+              replace(replace({Q.lit(PR.RECOMMEND_USER)}, '{{user}}', CAST(UserID AS VARCHAR)), '{{history}}', history)) AS prompt
 FROM (SELECT UserID, string_agg(Title, ', ' ORDER BY RowIndex) AS history FROM train_titles
       WHERE UserID IN (SELECT UserID FROM eligible) GROUP BY UserID)""", "train_titles", "eligible"))
 def q_prompts_recommend(spark, sf):
@@ -947,6 +960,75 @@ def q_resume_pending(spark, sf):
     return LG.pending(batch_ids(items, "ItemPos", 50), done, "MovieID").select("MovieID", "ItemPos", "batch")
 
 
+@register("prompts_title_resumed", prompt_sql(
+    (("title_scores", "items"), TITLE_PROW[1] + " WHERE ItemPos >= CAST(ceil((SELECT count(*) FROM items) / 3.0) AS BIGINT)"),
+    f"SELECT key, batch, n_messages, {prompt_text_sql(PR.TITLE_SYSTEM)} AS prompt FROM pr_out",
+    (("title_scores", "items"), """SELECT 0 AS grp, -rn AS pos, user_msg, asst_msg FROM (
+  SELECT concat('Input: ', CAST(MovieID AS VARCHAR), '::') AS user_msg, concat(CAST(MovieID AS VARCHAR), '::', RealTitle, chr(10)) AS asst_msg,
+         row_number() OVER (ORDER BY ItemPos DESC) AS rn
+  FROM title_scores WHERE ItemPos < CAST(ceil((SELECT count(*) FROM items) / 3.0) AS BIGINT)) WHERE rn <= 3""")))
+def q_prompts_title_resumed(spark, sf):
+    """The prompts of a second run: rows that the ledger lacks, examples seeded by its last three."""
+    res = title_results(spark, sf)
+    crash = _crash_point(D.items_ordered(spark, sf).count())
+    path = scratch_path(spark, "ledger")
+    LG.append(res.filter(F.col("ItemPos") < crash), path, MODEL_NAME)
+    done = LG.read(spark, path)
+    seed = PR.last_three(PR.title_rows(done), "pos")
+    pending = PR.title_rows(LG.pending(res, done, "MovieID"))
+    p = PR.build_prompts(pending, PR.TITLE_SYSTEM, seed=seed)
+    return p.select("key", "batch", F.size("messages").cast("long").alias("n_messages"), PR.render("messages").alias("prompt"))
+
+
+@register("probe_static", sql("""SELECT MovieID, '' AS GeneratedTitle, Title AS RealTitle, 1 AS ErrorFlag FROM items""", "items"))
+def q_probe_static(spark, sf):
+    """The title probe end to end, run, broken off and run again: every item once."""
+    from mnemo.operators.generate import echo_responder
+    from mnemo.plans import flows
+    items = D.items_ordered(spark, sf)
+    out = scratch_path(spark, "probe")
+    part = items.filter(F.col("ItemPos") < _crash_point(items.count()))
+    for rows in (part, items, items):
+        flows.probe_titles(rows, echo_responder, out, MODEL_NAME, max_attempts=1)
+    return LG.read(spark, f"{out}/ledger").select("MovieID", "GeneratedTitle", "RealTitle", "ErrorFlag")
+
+
+@register("rec_resume", ssql("""SELECT t.UserID, CASE WHEN e.UserID IS NULL THEN 'skipped' ELSE 'done' END AS status,
+       CAST(coalesce(n.n, 0) AS BIGINT) AS n_recs
+FROM (SELECT DISTINCT UserID FROM train_titles) t LEFT JOIN eligible e ON e.UserID = t.UserID LEFT JOIN answered a ON a.UserID = t.UserID
+LEFT JOIN (SELECT UserID, count(*) AS n FROM recs GROUP BY UserID) n ON n.UserID = t.UserID
+WHERE e.UserID IS NULL OR a.UserID IS NOT NULL""", "train_titles", "eligible", "answered", "recs"))
+def q_rec_resume(spark, sf):
+    """Progress of recommendation runs: a first run answers a third of the users, later ones the
+    rest; failed calls stay open, users without both sides are skipped, nobody is done twice."""
+    from mnemo.plans import flows
+    out = scratch_path(spark, "recommend")
+    answers = D.rec_responses(spark, sf)
+    first = answers.withColumn("output", F.when(F.col("UserID") % 3 == 0, F.col("output")))
+    for responses in (first, answers, answers):
+        flows.recommend_resumable(train_titles(spark, sf), test_titles(spark, sf), responses, out)
+    done = spark.read.parquet(f"{out}/processed")
+    n = spark.read.parquet(f"{out}/recommendations").groupBy("UserID").agg(F.count(F.lit(1)).alias("n_recs"))
+    return done.join(n, "UserID", "left").select("UserID", "status", F.coalesce("n_recs", F.lit(0)).cast("long").alias("n_recs"))
+
+
+@register("coverage_tiers", psql(f"""SELECT tier, CAST(sum(ErrorFlagUser) AS BIGINT) AS errors, CAST(count(*) - sum(ErrorFlagUser) AS BIGINT) AS correct,
+       count(*) AS size, {Q.coverage('count(*) - sum(ErrorFlagUser)', 'count(*)')} AS coverage
+FROM inter_scores_s i JOIN sampled s ON s.UserID = i.UserID GROUP BY tier""", "inter_scores_s", "sampled", extra=SAMPLED_SCORES))
+def q_coverage_tiers(spark, sf):
+    """The report of each sampled activity tier over all its rows."""
+    s = sampled(spark, sf)
+    scored = scoring.score_interactions(activity.group_filter(D.interactions(spark, sf), s), D.interaction_responses(spark, sf),
+                                        scoring.USER_INTERACTION_RULE)
+    scored = materialize(scored.join(s, "UserID"))
+    out = None
+    for tier in activity.TIERS:
+        rep = coverage.coverage_percentiles(coverage.rank_results(scored.filter(F.col("tier") == tier), "RowIndex"), [100])
+        part = rep.filter(F.col("ord") == 1).select(F.lit(tier).alias("tier"), "errors", "correct", "size", "coverage")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("ledger_append", sql(f"SELECT '{MODEL_SLUG}' AS model, MovieID, GeneratedTitle, RealTitle, ErrorFlag FROM title_scores", "title_scores"))
 def q_ledger_append(spark, sf):
     res = title_results(spark, sf)
@@ -1016,28 +1098,36 @@ def _evaluation_log_sql() -> str:
     m = _metrics_sql(RC.EVALUATOR_EXACT, Q.normalize_clean)
     head, _, _ = m.rpartition("SELECT CAST(k.k AS INTEGER) AS k, round(")
     metrics = """SELECT k.k AS k, coalesce(avg(hr), 0.0) AS hr,
-       coalesce(avg(CASE WHEN n_ideal > 0 THEN dcg / {ideal}[n_ideal] ELSE 0.0 END), 0.0) AS ndcg,
+       coalesce(avg(CASE WHEN n_ideal > 0 THEN dcg / list_sum(list_transform(range(1, n_ideal + 1), lambda i: 1 / log2(i + 1))) ELSE 0.0 END), 0.0) AS ndcg,
        coalesce(avg(coalesce(1.0 / first_rank, 0.0)), 0.0) AS mrr
-FROM m_ks k LEFT JOIN m_user u ON u.k = k.k GROUP BY k.k""".format(ideal="[" + ", ".join(repr(x) for x in RC.ideal_prefix()) + "]")
+FROM m_ks k LEFT JOIN m_user u ON u.k = k.k GROUP BY k.k"""
     k = "CAST(k AS VARCHAR)"
+    q = "chr(39)"
+    six = lambda x: f"printf('%.6f', round_even(CAST({x} AS DOUBLE) * 1000000.0, 0) / 1000000.0)"
     absent = ABSENT_CTE["absent"][1]
     return head + f"""SELECT 0 AS section, CAST(k AS BIGINT) AS p1, CAST(0 AS BIGINT) AS p2,
        concat('Cutoff ', {k}, ' -> HR@', {k}, ': ', {_fixed4_sql('hr')}, ', nDCG@', {k}, ': ', {_fixed4_sql('ndcg')},
               ', MRR@', {k}, ': ', {_fixed4_sql('mrr')}) AS line FROM ({metrics})
-UNION ALL SELECT 1, 0, 0, concat('Total recommendations: ', CAST(count(*) AS VARCHAR)) FROM recs
-UNION ALL SELECT 1, 1, 0, concat('Unique items recommended: ', CAST(count(DISTINCT Title) AS VARCHAR)) FROM recs
-UNION ALL SELECT 1, 2, 0, 'Top recommended items:'
-UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, Title), 0, concat('  ', Title, ': ', CAST(n AS VARCHAR), ' times')
+UNION ALL SELECT 1, 0, 0, 'Evaluation Metrics with 100% threshold:'
+UNION ALL SELECT 2, k, 0, concat('Cutoff ', {k}, ': {{', {q}, 'HR@', {k}, {q}, ': ', {six('hr')}, ', ', {q}, 'nDCG@', {k}, {q}, ': ',
+              {six('ndcg')}, ', ', {q}, 'MRR@', {k}, {q}, ': ', {six('mrr')}, '}}') FROM ({metrics})
+UNION ALL SELECT 3, 0, 0, ''
+UNION ALL SELECT 3, 1, 0, 'Overall Recommendation Statistics:'
+UNION ALL SELECT 3, 2, 0, concat('Total recommendations: ', CAST(count(*) AS VARCHAR)) FROM recs
+UNION ALL SELECT 3, 3, 0, concat('Unique items recommended: ', CAST(count(DISTINCT Title) AS VARCHAR)) FROM recs
+UNION ALL SELECT 3, 4, 0, 'Top recommended items:'
+UNION ALL SELECT 4, row_number() OVER (ORDER BY n DESC, Title), 0, concat('  ', Title, ': ', CAST(n AS VARCHAR), ' times')
   FROM (SELECT Title, count(*) AS n FROM recs GROUP BY Title ORDER BY n DESC, Title LIMIT 10)
-UNION ALL SELECT 3, 0, 0, 'Recommendation Frequency by Position:'
-UNION ALL SELECT 4, Rank, 0, concat('Rank ', CAST(Rank AS VARCHAR), ':') FROM (SELECT DISTINCT Rank FROM recs)
-UNION ALL SELECT 4, Rank, pos, concat('    ', Title, ': ', CAST(n AS VARCHAR), ' times') FROM (
+UNION ALL SELECT 5, 0, 0, ''
+UNION ALL SELECT 5, 1, 0, 'Recommendation Frequency by Position:'
+UNION ALL SELECT 6, Rank, 0, concat('Rank ', CAST(Rank AS VARCHAR), ':') FROM (SELECT DISTINCT Rank FROM recs)
+UNION ALL SELECT 6, Rank, pos, concat('    ', Title, ': ', CAST(n AS VARCHAR), ' times') FROM (
   SELECT Rank, Title, n, row_number() OVER (PARTITION BY Rank ORDER BY n DESC, Title) AS pos
   FROM (SELECT Rank, Title, count(*) AS n FROM recs GROUP BY Rank, Title)) WHERE pos <= 5
-UNION ALL SELECT 5, 0, 0, concat('Distinct recommended items missing from dataset: ', CAST(count(*) AS VARCHAR)) FROM ({absent})
-UNION ALL SELECT 5, 1, 0, concat('Total missing recommendations (with duplicates): ', CAST(coalesce(sum(n), 0) AS VARCHAR)) FROM ({absent})
-UNION ALL SELECT 5, 2, 0, CASE WHEN count(*) > 0 THEN 'Missing items and their counts:' ELSE 'All recommended items are present in the dataset.' END FROM ({absent})
-UNION ALL SELECT 6, 0, row_number() OVER (ORDER BY n DESC, norm_title), concat('  ', norm_title, ': ', CAST(n AS VARCHAR), ' times') FROM ({absent})"""
+UNION ALL SELECT 7, 0, 0, concat('Distinct recommended items missing from dataset: ', CAST(count(*) AS VARCHAR)) FROM ({absent})
+UNION ALL SELECT 7, 1, 0, concat('Total missing recommendations (with duplicates): ', CAST(coalesce(sum(n), 0) AS VARCHAR)) FROM ({absent})
+UNION ALL SELECT 7, 2, 0, CASE WHEN count(*) > 0 THEN 'Missing items and their counts:' ELSE 'All recommended items are present in the dataset.' END FROM ({absent})
+UNION ALL SELECT 8, 0, row_number() OVER (ORDER BY n DESC, norm_title), concat('  ', norm_title, ': ', CAST(n AS VARCHAR), ' times') FROM ({absent})"""
 
 
 @register("evaluation_log", _evaluation_log_sql())

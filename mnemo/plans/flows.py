@@ -8,13 +8,14 @@ TSV) and returns the result DataFrames.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.functions.text import model_slug
-from mnemo.operators import activity, coverage, recommend, scoring
+from mnemo.operators import activity, coverage, generate, prompts, recommend, scoring
+from mnemo.session import materialize
 from mnemo.sources import files, ledger
 
 # Report parameters of the reference's driver script.
@@ -22,10 +23,88 @@ PERCENTILES = (1, 10, 20, 25, 50, 75, 90, 100)
 POPULARITY_BUCKETS = (0.2, 0.8)
 
 
+# Configuration keys of each kind of back end, the key that names its model,
+# and the kinds whose names have '/' replaced.
+REQUIRED_KEYS = ("dataset_name", "model_type", "model_name", "batch_size")
+TYPE_KEYS = {"hf": ("hf_key",), "openai": ("azure_endpoint", "azure_openai_key", "api_version", "deployment_name"),
+             "sglang": ("hf_key",), "foundry": ("foundry_model_name", "foundry_endpoint", "foundry_api_key")}
+NAME_KEYS = {"hf": "model_name", "sglang": "model_name", "foundry": "foundry_model_name"}
+
+
+def model_name(config: dict) -> str:
+    """The name that outputs bear: the kind's own field with '/' replaced, else the
+    deployment name as it is; ``unknown`` where the field is missing."""
+    key = NAME_KEYS.get(config.get("model_type", "unknown"))
+    return config.get(key, "unknown").replace("/", "_") if key else config.get("deployment_name", "unknown")
+
+
+def check_config(config: dict) -> None:
+    """Raise KeyError for a missing parameter, ValueError for an unknown kind of back end."""
+    if config["model_type"] not in TYPE_KEYS:
+        raise ValueError(f"Invalid model_type {config['model_type']!r}: one of {', '.join(sorted(TYPE_KEYS))}")
+    for key in (*REQUIRED_KEYS, *TYPE_KEYS[config["model_type"]]):
+        if key not in config:
+            raise KeyError(f"Missing required config parameter: {key}")
+
+
 def _slug(model: str) -> str:
     return model.replace("/", "_")
 
 
+def _stored(spark, path: str, model: str) -> DataFrame | None:
+    """The ledger's rows of a model; None before the first append."""
+    if not ledger.exists(spark, path):
+        return None
+    return ledger.read(spark, path).filter(F.col("model") == _slug(model))
+
+
+def probe_titles(items: DataFrame, responder, out_dir: str, model: str, batch_size: int = prompts.BATCH_SIZE,
+                 max_attempts: int = generate.MAX_ATTEMPTS) -> DataFrame:
+    """The title probe with a live responder, resumable: prompts for the items that the
+    ledger lacks, answers, scores, an append, and the ledger's rows.
+
+    Batches are those of the whole table. The examples are fixed for the run: the
+    ledger's last three rows, or the table's first three at the start. A second run over
+    the same items appends nothing.
+    """
+    spark, path = items.sparkSession, f"{out_dir}/ledger"
+    done = _stored(spark, path, model)
+    pending = items if done is None else ledger.pending(items, done, "MovieID")
+    as_rows = lambda df, title: prompts.title_rows(df.select(
+        "MovieID", "ItemPos", F.lit(1).alias("ErrorFlag"), F.col(title).alias("RealTitle")))
+    seed = prompts.last_three(as_rows(done, "RealTitle"), "pos") if done is not None else None
+    if not pending.isEmpty():
+        asked = prompts.build_prompts(as_rows(pending, "Title"), prompts.TITLE_SYSTEM, batch_size, seed=seed)
+        answers = generate.generate(asked, responder, max_attempts=max_attempts)
+        answers = materialize(answers.withColumnRenamed("key", "MovieID"))  # the back end is asked once
+        ledger.append(scoring.score_titles(pending, answers), path, model)
+    return _stored(spark, path, model)
+
+
+def recommend_resumable(train: DataFrame, test: DataFrame, responses: DataFrame, out_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One run of the recommender over (UserID, output) answers, resumable: appends to
+    ``processed`` (UserID, status) and ``recommendations`` (UserID, Title, Rank) and returns
+    both. ``train`` and ``test`` have titles.
+
+    Users without both sides are ``skipped``; users with an answer are ``done``, whether or
+    not a line of it parses; a failed call (null output) or none leaves a user open.
+    """
+    spark = train.sparkSession
+    p_path, r_path = f"{out_dir}/processed", f"{out_dir}/recommendations"
+    users = train.select("UserID").distinct()
+    if ledger.exists(spark, p_path):
+        users = ledger.pending(users, ledger.processed_keys(spark.read.parquet(p_path), "UserID"), "UserID")
+    users = materialize(users)
+    eligible = users.join(recommend.eligible_users(train, test), "UserID", "left_semi")
+    answered = materialize(recommend.answered_users(responses, eligible))
+    recs = recommend.parse_ranked_list(answered)[0].select("UserID", "Title", "Rank")
+    skipped = users.join(eligible, "UserID", "left_anti").select("UserID", F.lit("skipped").alias("status"))
+    done = answered.select("UserID").distinct().select("UserID", F.lit("done").alias("status"))
+    recs.write.mode("append").parquet(r_path)
+    done.unionByName(skipped).write.mode("append").parquet(p_path)
+    return spark.read.parquet(p_path), spark.read.parquet(r_path)
+
+
 def memorization_report(items: DataFrame, interactions: DataFrame, title_responses: DataFrame,
                         out_dir: str, model: str, percentiles: Sequence[float] = PERCENTILES,
                         users: DataFrame | None = None, user_responses: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -35,13 +114,15 @@ def memorization_report(items: DataFrame, interactions: DataFrame, title_respons
     Occupation, Zip_code, RowIndex). Writes the ledger under ``out_dir/ledger``
     and one text file per report.
     """
-    slug = _slug(model)
-    results = scoring.score_titles(items, title_responses)
-    ledger.append(results, f"{out_dir}/ledger", model)
-    stored = ledger.read(items.sparkSession, f"{out_dir}/ledger").filter(F.col("model") == model_slug(F.lit(model)))
-    ranked = coverage.rank_results(results, "ItemPos", dense=True)
+    slug, spark, path = _slug(model), items.sparkSession, f"{out_dir}/ledger"
+    done = _stored(spark, path, model)
+    pending = items if done is None else ledger.pending(items, done, "MovieID")
+    if not pending.isEmpty():
+        ledger.append(scoring.score_titles(pending, title_responses), path, model)
+    stored = _stored(spark, path, model)  # the reports read what was stored: nothing is scored twice
+    ranked = coverage.rank_results(stored, "ItemPos")
     pop = activity.item_popularity(interactions)
-    merged = coverage.popularity_merge(results, pop, "ItemPos")
+    merged = coverage.popularity_merge(stored, pop, "ItemPos")
     reports = {
         f"analysis_summary_{slug}.txt": coverage.coverage_percentiles(ranked, percentiles),
         f"Popularity_analysis_summary_{slug}.txt": coverage.coverage_popularity(merged, percentiles),
@@ -87,14 +168,15 @@ def recommendation_evaluation(train: DataFrame, test: DataFrame, items: DataFram
     """Leave-n-out run: parse answers, score in-run and offline presets, list statistics.
 
     ``train``/``test``: (UserID, MovieID, RowIndex); ``responses``: (UserID, output)
-    for the users that got an answer.
+    null where the call failed.
     """
     slug = _slug(model)
     train_t = recommend.enrich_titles(train, items)
     test_t = recommend.enrich_titles(test, items)
     eligible = recommend.eligible_users(train_t, test_t)
-    answered = responses.join(eligible, "UserID", "left_semi")
-    recs, rejects = recommend.parse_ranked_list(answered)
+    answered = materialize(recommend.answered_users(responses, eligible))
+    recs, rejects = (materialize(x) for x in recommend.parse_ranked_list(answered))  # every result below reads them
+    test_t = materialize(test_t)
     files.write_tsv(recs.select("UserID", "Title", "Rank"), f"{out_dir}/{slug}_recommendations.tsv")
     return {
         "recommendations": recs, "rejects": rejects,
@@ -123,7 +205,7 @@ def evaluate_saved(recommendations_path: str, test_path: str, items_path: str,
                    similarity_threshold: float = 0.85, test_has_header: bool = False) -> dict[str, DataFrame]:
     """Offline evaluator over saved files: recommendations TSV (UserID, Title, Rank),
     the test TSV (headerless UserID, MovieID, Interact by default) and the items CSV.
-    A missing path raises; empty recommendations give empty results."""
+    A missing path raises; without recommendations every result is an empty table, with a warning."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     recs = files.read_tsv(spark, recommendations_path, "UserID LONG, Title STRING, Rank LONG")
@@ -136,6 +218,12 @@ def evaluate_saved(recommendations_path: str, test_path: str, items_path: str,
     test_t = recommend.enrich_titles(test, items)
     preset = recommend.Preset(recommend.normalize_title_clean, recommend.evaluator_threshold(similarity_threshold),
                               "with_recs")
-    return {"metrics": recommend.ranking_metrics(recs, test_t, recs.select("UserID").distinct(), preset),
-            "totals": recommend.rec_totals(recs), "top_items": recommend.top_items(recs),
+    metrics = recommend.ranking_metrics(recs, test_t, recs.select("UserID").distinct(), preset)
+    if recs.isEmpty():
+        warnings.warn(f"no recommendations in {recommendations_path}", stacklevel=2)
+        none = recs.filter(F.lit(False))
+        return {"metrics": metrics.filter(F.lit(False)), "totals": recommend.rec_totals(none).filter(F.lit(False)),
+                "top_items": recommend.top_items(none), "top_by_position": recommend.top_by_position(none),
+                "absent_items": recommend.absent_items(none, items)}
+    return {"metrics": metrics, "totals": recommend.rec_totals(recs), "top_items": recommend.top_items(recs),
             "top_by_position": recommend.top_by_position(recs), "absent_items": recommend.absent_items(recs, items)}

@@ -57,9 +57,12 @@ FROM (SELECT DISTINCT UserID FROM interactions WHERE UserID % 25 <> 3) u
 CROSS JOIN range(1, 51) AS t(r)
 LEFT JOIN items i ON i.MovieID = (u.UserID * 31 + t.r * 17) % (SELECT count(*) FROM part)
 WHERE t.r <= CASE WHEN u.UserID % 10 = 0 THEN 30 ELSE 50 END"""),
-    "rec_responses": (("rec_lines",), """SELECT UserID, concat('Here is the list', chr(10), chr(10),
-       string_agg(concat(CAST(r AS VARCHAR), '. ', Title), chr(10) ORDER BY r)) AS output
-FROM rec_lines GROUP BY UserID"""),
+    "rec_responses": (("rec_lines", "interactions"), """SELECT UserID, concat('Here is the list', chr(10), chr(10),
+       string_agg(concat(CAST(r AS VARCHAR), '. ', Title), chr(10) ORDER BY r),
+       CASE WHEN UserID % 40 = 1 THEN concat(chr(10), '0. No such rank', chr(10), '99999999999999999999. Beyond any rank',
+                                             chr(10), '7. ', min(Title)) ELSE '' END) AS output
+FROM rec_lines GROUP BY UserID
+UNION ALL SELECT DISTINCT UserID, CAST(NULL AS VARCHAR) FROM interactions WHERE UserID % 25 = 3"""),
     "popularity": (("interactions",), """SELECT MovieID, PopularityScore,
        CAST(row_number() OVER (ORDER BY PopularityScore DESC, MovieID) AS BIGINT) AS PopRank
 FROM (SELECT MovieID, count(DISTINCT UserID) AS PopularityScore FROM interactions GROUP BY MovieID)"""),

@@ -132,11 +132,18 @@ def rec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rec_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(UserID, output): raw list text with a heading and a blank line first."""
+    """(UserID, output): raw list text with a heading and a blank line first; null for a
+    failed call. Every 40th list ends with lines whose rank is 0 or fits no integer, and a
+    line that repeats a rank."""
     lines = rec_lines(spark, sf_dir)
     entry = F.struct(F.col("r"), F.concat(F.col("r").cast("string"), F.lit(". "), F.col("Title")).alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["line"]), "\n")
-    return lines.groupBy("UserID").agg(F.concat(F.lit("Here is the list\n\n"), body).alias("output"))
+    odd = F.when(F.col("UserID") % 40 == 1, F.concat(
+        F.lit("\n0. No such rank\n99999999999999999999. Beyond any rank\n7. "), F.min("Title"))).otherwise(F.lit(""))
+    good = lines.groupBy("UserID").agg(F.concat(F.lit("Here is the list\n\n"), body, odd).alias("output"))
+    failed = (interactions(spark, sf_dir).select("UserID").distinct().filter(F.col("UserID") % 25 == 3)
+              .select("UserID", F.lit(None).cast("string").alias("output")))
+    return good.unionByName(failed)
 
 
 def raw_user_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
