@@ -158,7 +158,7 @@ def _surviving(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
 
 
 def _compare_bucket(ids, sizes, groups, parts, marks, cross, need, s: Settings) -> np.ndarray:
-    """Rows (i, j) of a bucket's members that sequential verification doesn't give up, among
+    """Places (i, j) of a bucket's members that sequential verification doesn't give up, among
     those of like size and different components (and parts, if ``cross``)."""
     small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
     open_ = (100 * small >= s.percent * large) & (groups[:, None] != groups[None, :]) & (ids[:, None] < ids[None, :])
@@ -172,13 +172,14 @@ def _compare_bucket(ids, sizes, groups, parts, marks, cross, need, s: Settings)
             matches[at] += np.count_nonzero(marks[i[at], seen:n] == marks[j[at], seen:n], axis=1).astype(np.int32)
         keep = matches >= least
         i, j, matches, seen = i[keep], j[keep], matches[keep], n
-    return np.stack([ids[i], ids[j]])
+    return np.stack([i, j])
 
 
 def _surviving_in_buckets(members: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) of members of one bucket and different components that sequential
-    verification doesn't give up. Buckets are compared in place, in blocks of ``s.block``
-    members, so pairs that fail are never made into rows."""
+    verification doesn't give up, each once: from the bucket of the first band that the two
+    have in common. Buckets are compared in place, in blocks of ``s.block`` members, so pairs
+    that fail are never made into rows."""
     need = [(n, least_matches(n, s.percent, s.miss)) for n in range(s.batch, s.values + 1, s.batch)]
 
     def compared(rows: list[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -187,10 +188,14 @@ def _surviving_in_buckets(members: DataFrame, sketches: DataFrame, s: Settings)
         cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True]]))
         ids, sizes, groups, parts = (t.column(c).to_numpy() for c in ("doc_id", "n_shingles", "component", "part"))
         marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        band = t.column("band").to_numpy()
         for lo, hi in zip(cuts, cuts[1:]):
             at = slice(lo, hi)
             if hi - lo > 1 and (groups[at] != groups[lo]).any():
-                yield _compare_bucket(ids[at], sizes[at], groups[at], parts[at], marks[at], key[1, lo] != key[2, lo], need, s)
+                i, j = _compare_bucket(ids[at], sizes[at], groups[at], parts[at], marks[at], key[1, lo] != key[2, lo], need, s) + lo
+                first = np.argmax(bands[i] == bands[j], axis=1) == band[lo]
+                yield ids[i[first]], ids[j[first]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # whole groups, and the beginning of one at the end
@@ -216,12 +221,12 @@ def _surviving_in_buckets(members: DataFrame, sketches: DataFrame, s: Settings)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    rows = (members.join(sizes, "bucket").join(sketches.select("doc_id", "marks"), "doc_id")
+    rows = (members.join(sizes, "bucket").join(sketches.select("doc_id", "marks", "bands"), "doc_id")
             .withColumn("blocks", F.ceil(F.col("size") / s.block).cast("int"))
             .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
             .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
             .select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-                    "doc_id", "n_shingles", "component", "part", "marks"))
+                    "band", "doc_id", "n_shingles", "component", "part", "marks", "bands"))
     return (rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
             .mapInArrow(run, "a long, b long"))
 
@@ -280,15 +285,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
                   .dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "marks"), "representatives")
 
     members = reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("bucket"), "doc_id", "n_shingles")
+        F.xxhash64("band", "value").alias("bucket"), "band", "doc_id", "n_shingles")
     shared = staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot"))
                     .where("n > 1").select("bucket", "pivot"), "buckets")
     crowd = staged(members.join(shared, "bucket"), "members")  # only buckets with company
     sizes = reps.select(F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("pivot_n"))
-    stars = (crowd.where("doc_id <> pivot").select("pivot", "doc_id", "n_shingles").distinct()
+    stars = (crowd.where("doc_id <> pivot").groupBy("pivot", "doc_id", "n_shingles").agg(F.count(F.lit(1)).alias("shared"))
              .join(sizes, "pivot").where(f"100 * least(n_shingles, pivot_n) >= {s.percent} * greatest(n_shingles, pivot_n)")
-             .select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-    stars = staged(_surviving(stars, reps, s), "stars")
+             .select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"), "shared"))
+    stars = staged(stars, "stars")
     # sets of whatever may need confirming: every member of a shared bucket
     sets = staged(_full_sets(docs, crowd.select("doc_id").distinct(), s, text), "sets")
 
@@ -298,18 +303,22 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
         return (pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
                 .where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b"))
 
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
-    links = staged(_confirmed(best, sets, s), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _confirmed(_surviving(pairs, reps, s).select("a", "b"), sets, s)
+
+    # the pivot with which a document shares most buckets; ties go to the least
+    best = staged(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    links = staged(verified(best), "links")
     groups = staged(components(links), "groups")
     rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = staged(links.union(_confirmed(between(rest, groups), sets, s)), "links")
+    links = staged(links.union(verified(between(rest, groups))), "links")
     groups = staged(components(links), "groups")
 
     placed = (crowd.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-              .select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")))
+              .select("bucket", "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     placed = staged(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-    cross = _surviving_in_buckets(placed, reps, s).distinct().join(
+    cross = _surviving_in_buckets(placed, reps, s).join(
         stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _confirmed(cross, sets, s)
     links = staged(links.union(more), "links")
