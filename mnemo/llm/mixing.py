@@ -15,7 +15,7 @@ counted in fixed point (2**-32), so every rerun and every engine agrees.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.llm.common import fresh, hash_unit, word_count
@@ -99,11 +99,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
             .drop(none, key, "_mix_pos", "_mix_start", "_mix_step", "_mix_off"))
 
 
-def emit_mix(plan: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixed corpus: each document of the plan once per copy."""
-    n = fresh(plan, "_mix_copy")
-    return (plan.where("copies > 0").withColumn(n, F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*columns))
+def emit_mix(docs: DataFrame, **how) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` once per copy that the plan gives it.
+
+    The plan is made from ids, sources and sizes alone; texts are moved once, to meet their
+    number of copies, and come out in no order of size. Rows that share doc_id, text and
+    source share their copies evenly.
+    """
+    ident, mark, n, nth = (fresh(docs, x) for x in ("_mix_id", "_mix_mark", "_mix_copies", "_mix_nth"))
+    keyed = docs.select("*", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias(ident), F.xxhash64("text", "source").alias(mark))
+    lean = keyed.select("doc_id", "source", word_count(F.col("text")).alias("size"), ident, mark)
+    shares = (mix_sources(lean, size=F.col("size"), **how).groupBy(ident, mark)
+              .agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias("_mix_rows")).where(F.col(n) > 0))
+    order = Window.partitionBy(ident, mark).orderBy("doc_id")
+    row = F.row_number().over(order) - 1
+    own = F.floor(F.col(n) / F.col("_mix_rows")) + (F.col(nth) < F.col(n) % F.col("_mix_rows")).cast("int")
+    return (keyed.join(shares, [ident, mark]).withColumn(nth, row).withColumn(n, own).where(F.col(n) > 0)
+            .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(nth)).drop(nth))
 
 
 # the same plan for DuckDB: closed-form sharing (sources close in the order of cap / weight)

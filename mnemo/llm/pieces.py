@@ -31,7 +31,7 @@ MARK = "▁"
 # fixed values of the model format: kinds of pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that a worker remembers. It bounds memory only; results don't depend on it.
-CACHED = 800_000
+CACHED = 400_000
 NEVER = float("inf")
 
 
@@ -469,7 +469,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", end_id:
         for batch in batches:
             keep = [n for n in batch.schema.names if n != key]
             texts = batch.column(batch.schema.get_field_index(key))
-            step = max(1, min(len(texts), 1 + int(4e6 * len(texts) / max(1, texts.nbytes))))
+            step = max(1, min(len(texts), 1 + int(2e6 * len(texts) / max(1, texts.nbytes))))
             for lo in range(0, len(texts), step):  # a few MB of text at a time
                 pairs = [(i + stop, e) for i, e in model.encode_batch(texts.slice(lo, step).to_pylist())]
                 made = {"ids": lambda: pa.array([np.array(i, np.int32) for i, _ in pairs], pa.list_(pa.int32())),

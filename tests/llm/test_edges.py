@@ -32,7 +32,9 @@ def test_mixing(messy, nothing):
     assert abs(sum(t for _, t, _, _ in sizes.values()) - 1.5 * sum(s for s, *_ in sizes.values())) < 1e-6 * LONG.count(" ")
     assert sorted(map(str, mixing.mix_sources(messy).collect())) == sorted(map(str, rows))  # reruns agree
     assert mixing.mix_sources(nothing).count() == 0
-    assert mixing.emit_mix(plan, ["doc_id", "n_chars"]).count() == sum(r.copies for r in rows)
+    mixed = mixing.emit_mix(messy)
+    assert mixed.columns == messy.columns and mixed.count() == sum(r.copies for r in rows)
+    assert mixing.emit_mix(nothing).count() == 0
 
 
 def test_language(messy, nothing):
