@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the 5:2:1 mix at 150 % takes them."""
     own = packed(docs, ["doc_id", "text", "source"])
-    return unpacked(mixing.emit_mix(mixing.mix_sources(own), own.columns), docs.columns, ["doc_id", "text", "source"])
+    return unpacked(mixing.emit_mix(own), docs.columns, ["doc_id", "text", "source"])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
