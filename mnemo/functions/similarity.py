@@ -47,6 +47,7 @@ def indel_ratio_py(a: str | None, b: str | None) -> float:
 
 _WORD = 64
 _CHUNK = 4096
+_MEAN_WIDTH = 128  # that a full chunk may have
 
 
 def _codes(strings: list[str], lens: np.ndarray, width: int, pad: int) -> np.ndarray:
@@ -84,8 +85,16 @@ def lcs_batch(a: list[str], b: list[str], la: np.ndarray | None = None, lb: np.n
     tlen = np.maximum(la[idx], lb[idx])
     order = np.lexsort((tlen, plen))
     one = np.uint64(1)
-    for start in range(0, order.size, _CHUNK):
-        sel = order[start:start + _CHUNK]
+    # a chunk is bounded by rows x width, so one long text doesn't widen thousands of short pairs
+    cuts, begin = [], 0
+    while begin < order.size:
+        rows = min(_CHUNK, order.size - begin)
+        while rows > 1 and rows * int(tlen[order[begin:begin + rows]].max()) > _CHUNK * _MEAN_WIDTH:
+            rows //= 2
+        cuts.append((begin, begin + rows))
+        begin += rows
+    for start, stop in cuts:
+        sel = order[start:stop]
         pw, tw = int(plen[sel].max()), int(tlen[sel].max())
         sl = sel.tolist()
         pc = _codes([pat[k] for k in sl], plen[sel], pw, -1)
