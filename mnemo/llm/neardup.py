@@ -10,9 +10,9 @@ matches the posterior chance that the similarity reaches the threshold, under a
 prior, is P(Binomial(n + 1, threshold) <= m); a pair is given up as soon as that falls
 under ``miss``. Survivors are confirmed on their full sets.
 
-Only links that can still join two components are looked at: first each bucket's least
-member with the others, of these the likeliest link of each document, then the rest, and
-last the pairs between different components of a bucket. A group of thousands of near
+Only links that can still join two components are looked at: first each document with the
+least member of most of its buckets, then once more in the buckets that still hold several
+components, and last the pairs between different components of a bucket. A group of thousands of near
 copies is joined by the first rounds and never expanded into its pairs, and no candidate
 is capped or dropped.
 """
@@ -289,37 +289,39 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
     shared = staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot"))
                     .where("n > 1").select("bucket", "pivot"), "buckets")
     crowd = staged(members.join(shared, "bucket"), "members")  # only buckets with company
-    sizes = reps.select(F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("pivot_n"))
-    stars = (crowd.where("doc_id <> pivot").groupBy("pivot", "doc_id", "n_shingles").agg(F.count(F.lit(1)).alias("shared"))
-             .join(sizes, "pivot").where(f"100 * least(n_shingles, pivot_n) >= {s.percent} * greatest(n_shingles, pivot_n)")
-             .select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"), "shared"))
-    stars = staged(stars, "stars")
     # sets of whatever may need confirming: every member of a shared bucket
     sets = staged(_full_sets(docs, crowd.select("doc_id").distinct(), s, text), "sets")
+    sizes = reps.select(F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("pivot_n"))
 
-    def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components so far."""
-        of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-        return (pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-                .where("coalesce(a_c, a) <> coalesce(b_c, b)").select("a", "b"))
+    def likeliest(members: DataFrame) -> DataFrame:
+        """(a, b): for each member the pivot, of like size, with which it shares most
+        buckets; ties go to the least."""
+        shared = members.groupBy("pivot", "doc_id", "n_shingles").agg(F.count(F.lit(1)).alias("shared"))
+        near = shared.join(sizes, "pivot").where(f"100 * least(n_shingles, pivot_n) >= {s.percent} * greatest(n_shingles, pivot_n)")
+        return staged(near.groupBy("doc_id").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("a"))
+                      .select("a", F.col("doc_id").alias("b")), "likeliest")
+
+    def mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with the least member's."""
+        placed = (members.select("bucket", "band", "doc_id", "n_shingles")
+                  .join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                  .withColumn("component", F.coalesce("component", "doc_id")))
+        heads = (placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                              F.min(F.struct("doc_id", "component")).alias("head"))
+                 .where("lo <> hi").select("bucket", F.col("head.doc_id").alias("pivot"), F.col("head.component").alias("head")))
+        return staged(placed.join(heads, "bucket"), "mixed")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return _confirmed(_surviving(pairs, reps, s).select("a", "b"), sets, s)
 
-    # the pivot with which a document shares most buckets; ties go to the least
-    best = staged(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    best = likeliest(crowd.where("doc_id <> pivot"))
     links = staged(verified(best), "links")
-    groups = staged(components(links), "groups")
-    rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = staged(links.union(verified(between(rest, groups))), "links")
-    groups = staged(components(links), "groups")
-
-    placed = (crowd.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-              .select("bucket", "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    placed = staged(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-    cross = _surviving_in_buckets(placed, reps, s).join(
-        stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    placed = mixed(crowd, staged(components(links), "groups"))
+    second = likeliest(placed.where("component <> head"))
+    links = staged(links.union(verified(second)), "links")
+    placed = mixed(placed, staged(components(links), "groups"))
+    tried = best.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = _surviving_in_buckets(placed, reps, s).join(tried, ["a", "b"], "left_anti")
     more = _confirmed(cross, sets, s)
     links = staged(links.union(more), "links")
     groups = components(links)
