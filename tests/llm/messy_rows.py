@@ -1,11 +1,6 @@
-import os
-import sys
-
+"""A table of odd rows that the edge tests share."""
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
-
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size string, copies int, _mix_pos int, "
           "ids string, lang_pred string, n_lines string, _lines string, found string, bands int, marks int, score string, _text string")
 

@@ -5,7 +5,7 @@ import corpus_pipeline as C
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import LONG  # noqa: F401
+from messy_rows import LONG, messy, nothing  # noqa: F401
 from mnemo.llm import fingerprint, forest, langid, linededup, lm, mixing, neardup, pages, pieces, secrets
 from mnemo.llm.queries import piece_model
 
