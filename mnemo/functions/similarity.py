@@ -140,6 +140,11 @@ def _indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(indel_ratio_array(a, b))  # NaN becomes null on the way back to Spark
 
 
+def register_functions(spark) -> None:
+    """Make ``indel_ratio(a, b)`` (0 to 100, null if a side is null) known to SQL."""
+    spark.udf.register("indel_ratio", _indel_ratio_udf)
+
+
 def indel_ratio(a, b) -> Column:
     """Unrounded similarity; null when either input is null (callers that need
     the library's null-as-0 rule wrap it in coalesce)."""

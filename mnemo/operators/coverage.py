@@ -234,7 +234,8 @@ def coverage_buckets(ranked: DataFrame, item_counts: Sequence[int] | None = None
     else:
         body = _explicit_buckets(ranked, n, ends)
         n_rows = len(ends)
-    tot = errors_at(ranked, [n]).select(
+    # an aggregate without groups: an empty table has its total line as well, with zeros
+    tot = ranked.agg(F.coalesce(F.sum(F.col(FLAG).cast("long")), F.lit(0)).alias("errors")).select(
         F.lit(n_rows + 1).cast("long").alias("ord"), F.lit(1).cast("long").alias("first_item"),
         F.lit(n).cast("long").alias("last_item"), F.col("errors"),
         (F.lit(n) - F.col("errors")).alias("correct"), F.lit(n).cast("long").alias("size"))

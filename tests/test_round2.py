@@ -168,3 +168,15 @@ def test_log_numbers_absent_items_without_one_task(spark):
     plan = catalog.queries()["evaluation_log"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     windows = [x for x in plan.split("\n") if "Window" in x and "norm_title" in x]
     assert not windows
+
+
+def test_similarity_in_sql(spark):
+    from mnemo.functions.similarity import register_functions
+    register_functions(spark)
+    assert spark.sql("SELECT indel_ratio('abcd', 'abxd') AS r, indel_ratio('a', NULL) AS n").first()[:] == (75.0, None)
+
+
+def test_total_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "rank long, ErrorFlag int")
+    got = coverage.coverage_buckets(none, item_counts=[5, 10]).orderBy("ord").collect()
+    assert got[-1].errors == 0 and got[-1].size == 0 and got[-1].coverage == 0.0
