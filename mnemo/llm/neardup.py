@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
     A text with fewer words than ``width`` has one shingle, all of it; a null text or one
     without words has none and is linked with nothing, and so is a row without a doc_id
     (component_id null, kept). Repeated rows are copies: all are returned with the same
-    component. An empty table gives no rows.
+    component. A doc_id stands for one text; of several texts under one id, each is grouped
+    with its own copies, and near links are those of one of them. An empty table gives no rows.
     """
     s = settings
     rows = staged(sketch(docs, s, text), "sketches")
