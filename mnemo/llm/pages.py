@@ -41,6 +41,10 @@ RAW = set("script style noscript template textarea title iframe".split())
 CLOSED_BY = {"p": set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p "
                       "pre section table ul".split()),
              "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+#: What may stand in a head; any other tag, and text, ends it.
+IN_HEAD = set("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: Unshown elements without an end tag of their own end at these tags.
+BREAKOUT = CLOSED_BY["p"] | set("body center dd dt figcaption figure li listing".split())
 
 # what containers are called: of articles, and of what is not the article
 ARTICLE_TAGS = ("article", "main")
@@ -73,16 +77,39 @@ class _Open:
     """An open element and the words of its class, id and role."""
     tag: str
     names: tuple[str, ...] = ()
+    loose: bool = False  # unshown and without an end tag of its own
+
+
+_UNSHOWN_TAG = re.compile(f"<!--.*?(?:-->|\\Z)|<(/?)({'|'.join(sorted(UNSHOWN - RAW - {'head'}))})(?![^\\s/<>])", re.S | re.I)
+
+
+def _loose(html: str) -> set[int]:
+    """Where unshown elements begin that no end tag closes."""
+    begun: dict[str, list[int]] = {}
+    for m in _UNSHOWN_TAG.finditer(html):
+        if m[2] is None:
+            continue
+        open_ = begun.setdefault(m[2].lower(), [])
+        if not m[1]:
+            open_.append(m.start())
+        elif open_:
+            open_.pop()
+    return {i for x in begun.values() for i in x}
 
 
 def cut_blocks(html: str) -> list[Block]:
-    """The shown blocks of a page in order, white space made single, references decoded."""
+    """The shown blocks of a page in order, white space made single, references decoded.
+
+    A head without an end tag ends at the first tag or text that can't stand in it; a
+    button, select, object, video or other unshown element without one ends at the next
+    block tag, or with the element around it."""
     blocks: list[Block] = []
     stack: list[_Open] = []  # open elements but for inline ones
     opened: Counter[str] = Counter()
     words: list[str] = []
     linked = hidden = at = 0
     link = False
+    loose = _loose(html)
 
     def flush() -> None:
         nonlocal linked
@@ -103,6 +130,8 @@ def cut_blocks(html: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal linked
+        if hidden and stack[-1].tag == "head" and text and not text.isspace():
+            close(len(stack) - 1)
         if not hidden and text:
             words.append(text)
             if link:
@@ -114,6 +143,11 @@ def cut_blocks(html: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if hidden and not m[1]:
+            if stack[-1].tag == "head" and tag not in IN_HEAD:
+                close(len(stack) - 1)
+            while stack and stack[-1].loose and tag in BREAKOUT:
+                close(len(stack) - 1)
         if tag in INLINE:
             if tag == "a":
                 link = not m[1]
@@ -135,7 +169,7 @@ def cut_blocks(html: str) -> list[Block]:
             continue
         names = tuple("." + p.lower() for a in _ATTRIBUTE.finditer(m[3])
                       for p in _PARTS.findall(a[2] or a[3] or a[4] or "")) if m[3] else ()
-        stack.append(_Open(tag, names))
+        stack.append(_Open(tag, names, m.start() in loose))
         hidden += tag in UNSHOWN
         opened[tag] += 1
         if tag in RAW:
