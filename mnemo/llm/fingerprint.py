@@ -8,7 +8,8 @@ made from hashes of the term and the draw, and
 
 The draw keeps (term, t) of the term with the least a. Two texts keep the same pair with
 the probability of their generalised Jaccard similarity, sum(min w) / sum(max w), so the
-share of equal draws estimates it.
+share of equal draws estimates it, with a standard error of sqrt(s * (1 - s) / samples) at
+the similarity s: with 40 draws 0.079 at 0.5, 0.063 at 0.8 and 0.047 at 0.9.
 
 Everything is a column expression. Documents are dealt by their id once; the word counts
 and the draws of a document group on columns that begin with that id, so neither
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from mnemo.llm.common import WORD
 
-SAMPLES = 24
+SAMPLES = 40
 
 
 def _unit(bits: Column, shift: int, width: int) -> Column:

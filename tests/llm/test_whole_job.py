@@ -1,5 +1,7 @@
 """Jobs that were once cut short."""
-from mnemo.llm import pages
+import numpy as np
+
+from mnemo.llm import fingerprint, pages
 
 
 def test_unclosed_elements_hide_nothing():
@@ -18,3 +20,13 @@ def test_unclosed_elements_hide_nothing():
     assert cut("<object><object><p>f</p></object><p>g</p></object><p>one") == ["one"]
     assert cut("<!-- </button> --><button>x<p>one") == ["one"]
     assert len(cut("<button><p>x" * 20_000)) == 20_000
+
+
+def test_likeness_is_fine_enough(spark):
+    """Pairs of 60 words with 40 in common: likeness 0.5."""
+    rows = [(k, k * 100 + i, int(i < 60), int(i < 40 or i >= 60)) for k in range(300) for i in range(80)]
+    words = spark.createDataFrame(rows, "doc_id long, term long, own int, edited int")
+    got = fingerprint.fingerprints(words, "doc_id", ["own", "edited"])
+    near = [r.x for r in got.select(fingerprint.likeness(got.own, got.edited).alias("x")).collect()]
+    assert fingerprint.SAMPLES >= 32
+    assert abs(np.mean(near) - 0.5) < 0.02 and np.sqrt(np.mean(np.square(np.array(near) - 0.5))) < 0.09
