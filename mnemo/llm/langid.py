@@ -12,6 +12,7 @@ network side by side, so that a step is one small matrix product for all of them
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ HAS_LETTERS = r"\p{L}"
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language`` bounds the training sample: about so many documents of each
+    """``per_language`` bounds the training sample: so many distinct texts of each
     language, ``windows`` pieces of ``chars`` code points of each. ``languages`` bounds how
     many there may be; more are an error."""
     hidden: int = 8
@@ -250,20 +251,34 @@ class Labeller:
 
 
 def training_sample(docs: DataFrame, s: Settings = Settings(), text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """At most about ``per_language * windows`` (window, language) pairs a language, drawn by
-    a hash of the text from the rows with a language and letters."""
-    usable = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").rlike(HAS_LETTERS))
-    counts = {r.l: r.n for r in usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(s.languages + 1).collect()}
+    """At most ``per_language * windows`` (window, language) pairs a language, from rows with
+    a language and letters: of each language's distinct texts those of the least hashes.
+    Copies of a text count once, so no language is without a sample and none has more."""
+    usable = (docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").rlike(HAS_LETTERS))
+              .withColumn("h", F.xxhash64("t")))
+    counts = {r.l: r.n for r in usable.select("l", "h").distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+              .limit(s.languages + 1).collect()}
     if len(counts) > s.languages:
         raise ValueError(f"more than {s.languages} languages")
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for lang_, n in sorted(counts.items()) for x in (lang_, min(1.0, s.per_language / n))])
-    draw = F.shiftrightunsigned(F.xxhash64("t"), 11).cast("double") / F.lit(float(1 << 53))
+    draw = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))
     spots = F.transform(F.sequence(F.lit(0), F.lit(s.windows - 1)), lambda i: F.substring(
         F.col("t"), (1 + F.pmod(F.xxhash64("t", i), F.greatest(F.length("t") - s.chars, F.lit(1)))).cast("int"), F.lit(s.chars)))
-    rows = usable.where(draw < share[F.col("l")]).select("l", spots.alias("w")).collect()
-    return [(w, r.l) for r in rows for w in r.w if w]
+    out: list[tuple[str, str]] = []
+    # so many are asked for that fewer than per_language come about never; then more are
+    ask = s.per_language + 6 * math.sqrt(s.per_language) + 20
+    while counts:
+        share = F.create_map(*[F.lit(x) for lang_, n in sorted(counts.items()) for x in (lang_, min(1.0, ask / n))])
+        rows = usable.where(draw < share[F.col("l")]).select("l", "h", spots.alias("w")).dropDuplicates(["l", "h"]).collect()
+        found: dict[str, list] = {}
+        for r in sorted(rows, key=lambda r: r.h % (1 << 64)):
+            found.setdefault(r.l, []).append(r)
+        for lang_, n in sorted(counts.items()):
+            mine = found.get(lang_, [])
+            if len(mine) >= min(n, s.per_language) or ask >= n:
+                out += [(w, lang_) for r in mine[:s.per_language] for w in r.w if w]
+                del counts[lang_]
+        ask *= 4
+    return out
 
 
 def identify(docs: DataFrame, net: Network, s: Settings = Settings(), text: str = "text", positions: bool = False) -> DataFrame:

@@ -1,7 +1,7 @@
 """Jobs that were once cut short."""
 import numpy as np
 
-from mnemo.llm import fingerprint, pages
+from mnemo.llm import fingerprint, langid, pages
 
 
 def test_unclosed_elements_hide_nothing():
@@ -30,3 +30,17 @@ def test_likeness_is_fine_enough(spark):
     near = [r.x for r in got.select(fingerprint.likeness(got.own, got.edited).alias("x")).collect()]
     assert fingerprint.SAMPLES >= 32
     assert abs(np.mean(near) - 0.5) < 0.02 and np.sqrt(np.mean(np.square(np.array(near) - 0.5))) < 0.09
+
+
+def test_language_sample_of_copies(spark):
+    """A language is learnt from distinct texts, however often each of them is there."""
+    docs = [(i, "one text that all rows of a language share", "a") for i in range(3000)]
+    docs += [(i, f"text {i % 3} of three", "b") for i in range(3000)]
+    docs += [(i, f"text of its own, number {i}", "c") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    s = langid.Settings(per_language=50)
+    got = langid.training_sample(df, s)
+    assert {k: sum(x == k for _, x in got) for k in "abc"} == {"a": s.windows, "b": 3 * s.windows, "c": 50 * s.windows}
+    assert len({w for w, x in got if x == "b"}) == 3
+    # rows in another order or more copies change nothing
+    assert langid.training_sample(df.unionAll(df).repartition(5), s) == got
