@@ -48,6 +48,7 @@ BREAKOUT = CLOSED_BY["p"] | set("body center dd dt figcaption figure li listing"
 
 # what containers are called: of articles, and of what is not the article
 ARTICLE_TAGS = ("article", "main")
+HAS_ARTICLE = r"(?i)<(" + "|".join(ARTICLE_TAGS) + r")[\s/>]"
 ARTICLE_NAMES = "article content main post entry story body text page prose markdown single".split()
 OTHER_TAGS = ("nav", "header", "footer", "aside", "form", "menu", "dialog")
 OTHER_NAMES = ("ad ads advert advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
@@ -238,8 +239,11 @@ def rearranged(article: list[Block], other: list[Block], rng: np.random.Generato
 
 @dataclass(frozen=True)
 class Settings:
-    """``pages`` bounds the training sample."""
+    """``pages`` bounds the training sample, ``page_chars`` the pages in it (longer ones
+    aren't learnt from). A training step sees ``window`` blocks of a page, from any place."""
     pages: int = 400
+    page_chars: int = 1_000_000
+    window: int = 60
     path_buckets: int = 1024
     word_buckets: int = 1024
     path_size: int = 20
@@ -407,7 +411,8 @@ def train(pages: list[list[Block]], s: Settings = Settings()) -> Network:
                 own = articles[i]
                 lo = int(rng.integers(0, max(1, len(own) - 8)))
                 page = rearranged(own[lo:lo + int(rng.integers(1, 12))], others[int(rng.integers(len(others)))], rng)
-            batch.append(page[:60])
+            lo = int(rng.integers(len(page) - s.window + 1)) if len(page) > s.window else 0
+            batch.append(page[lo:lo + s.window])
         flat = [b for page in batch for b, _ in page]
         paths, words, first, facts = features(flat, s)
         # names that the sample lacks must be bearable: some parts of paths go unseen
@@ -475,13 +480,13 @@ def article_chances(net: Network, pages: list[list[Block]], s: Settings) -> list
 # ---------------------------------------------------------------- over tables
 
 def learn(pages: DataFrame, s: Settings = Settings(), html: str = "html") -> Network:
-    """A network from at most about ``s.pages`` pages, drawn by a hash of their html."""
-    h = F.col(html)
-    rows = pages.where(h.isNotNull()).select(h.alias("html"))
-    n = rows.count()
-    draw = F.shiftrightunsigned(F.xxhash64("html"), 11).cast("double") / F.lit(float(1 << 53))
-    got = rows.where(draw < s.pages / max(n, 1)).where(F.length("html") < 1_000_000).collect()
-    return train([cut_blocks(x) for x in sorted({r.html for r in got})], s)
+    """A network from at most ``s.pages`` pages: of the distinct ones with an article or main
+    element those of the least hashes."""
+    usable = (pages.select(F.col(html).alias("html")).where(F.col("html").rlike(HAS_ARTICLE) & (F.length("html") < s.page_chars))
+              .withColumn("h", F.xxhash64("html")))
+    least = [r.h for r in usable.select("h").distinct().orderBy("h").limit(s.pages).collect()]
+    got = usable.where(F.col("h").isin(least)).dropDuplicates(["h"]).collect() if least else []
+    return train([cut_blocks(x) for x in sorted(r.html for r in got)], s)
 
 
 def extract(pages: DataFrame, net: Network, s: Settings = Settings(), html: str = "html", blocks: bool = False) -> DataFrame:

@@ -44,3 +44,22 @@ def test_language_sample_of_copies(spark):
     assert len({w for w, x in got if x == "b"}) == 3
     # rows in another order or more copies change nothing
     assert langid.training_sample(df.unionAll(df).repartition(5), s) == got
+
+
+def test_few_explicit_pages_among_many(spark, monkeypatch):
+    rows = [(i, f"<body><div>page {i}</div></body>") for i in range(2000)]
+    rows += [(5000 + i, f"<body><main><p>explicit {i % 3}</p></main></body>") for i in range(600)]
+    monkeypatch.setattr(pages, "train", lambda sample, s: sample)
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    got = [[b.text for b in p] for p in pages.learn(df, pages.Settings(pages=20))]
+    assert got == [["explicit 0"], ["explicit 1"], ["explicit 2"]]
+    assert len(pages.learn(df, pages.Settings(pages=2))) == 2
+    assert pages.learn(df.where("page_id < 5000")) == []
+
+
+def test_long_pages_are_learnt_to_their_end(monkeypatch):
+    html = "<body><article>" + "".join(f"<p>text {i}</p>" for i in range(150)) + "</article><footer>" + "<p>end</p>" * 50 + "</footer></body>"
+    page, seen, features = pages.cut_blocks(html), [], pages.features
+    monkeypatch.setattr(pages, "features", lambda blocks, s: (seen.extend(blocks), features(blocks, s))[1])
+    pages.train([page], pages.Settings(steps=5))
+    assert {id(b) for b in page[60:]} & {id(b) for b in seen}
