@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import fingerprint, forest, langid, linededup, lm, mixing, neardup, pages, pieces, secrets
+from mnemo.llm import alignment, audit, fingerprint, forest, langid, linededup, lm, mixing, neardup, pages, personal, pieces, secrets
 from mnemo.llm.common import read_table, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,34 @@ def op3_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = pages.learn(table)
     return pages.extract(table, net).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: The byte-level vocabulary that documents are aligned with.
+BYTE_MODEL = "byte_bpe_50k.json"
+
+
+def both_tokenizers() -> alignment.Tokenizers:
+    import public_tokenizers
+    return alignment.load(public_tokenizers.path(BYTE_MODEL), piece_model())
+
+
+@query("op11_align_tokens")
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of both tokenizers' tokens of every whole text, as counts and digests."""
+    whole = alignment.Alignment(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), both_tokenizers())
+    return whole.digests(whole.pair_counts())
+
+
+@query("op12_audit_filters", audit.ORACLE_SQL)
+def op12_audit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every part, order and step."""
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    counts = audit.count_masks(spark, f"{sf_dir.rstrip('/')}/documents.parquet", "doc_id long, text string, lang string", labels)
+    return audit.audit(counts)
+
+
+@query("op13_find_personal")
+def op13_find_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of the personal data in every whole text."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return personal.digest(personal.find_personal(docs, outputs=("found",)))
