@@ -12,6 +12,7 @@ import corpus_pipeline as C
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from mnemo.llm import langid, neardup, pages, pieces, secrets
@@ -170,6 +171,52 @@ def test_large_group_of_near_copies(spark):
     assert all(got[i] == find(i) for i in range(300)) and all(got[i] == i for i in got if i >= 1000)
 
 
+def test_family_that_is_alike_but_not_linked(spark):
+    """A crowd of texts 65 to 80 % alike and some links among them: no join makes a row for
+    each of its pairs, and the groups are those of all pairs."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    docs = [(i, " ".join(f"x{rng.random()}" if rng.random() < 0.045 else w for w in base)) for i in range(400)]
+    docs += [(500 + i, docs[rng.randrange(400)][1] + f" z{i}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    s = neardup.Settings(width=2, block=64)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, s).collect()}
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in docs}
+    alike = [(a, b, 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in itertools.combinations(sets, 2)]
+    assert sum(60 < x < 80 for *_, x in alike) > 50_000
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b, x in alike:
+        if x >= 80 and find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i in sets}
+    # what the blocks tell is a forest: fewer links than members, however many pairs there are
+    members = df.withColumn("bucket", F.lit(1).cast("long")).withColumn("band", F.lit(0))
+    sketches = neardup.sketch(df, s).withColumn("node", F.col("doc_id")).withColumn("bands", F.array_repeat(F.lit(7).cast("long"), s.bands))
+    rows = members.join(sketches.select("doc_id", "node", "n_shingles"), "doc_id").withColumn("component", F.col("node"))
+    wanted = sketches.select("node", "doc_id", "text_hash")
+    links = neardup._links_in_buckets(rows.select("bucket", "band", "node", "n_shingles", "component"), sketches,
+                                      neardup._full_sets(df, wanted, s, "text"), s).collect()
+    blocks = -(-len(docs) // s.block)
+    assert 0 < len(links) < len(docs) * blocks
+    assert all(100 * len(sets[r.a] & sets[r.b]) >= 80 * len(sets[r.a] | sets[r.b]) for r in links)
+
+
+def test_several_texts_under_one_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, one, "x"), (5, one, "y"), (5, two, "z"), (7, two, "z"), (5, two, "z"), (9, "solo text of five words", "s"),
+                                (9, "", "e"), (9, "", "e")], "doc_id long, text string, more string")
+    got = sorted(map(tuple, neardup.near_duplicates(df.select("doc_id", "text")).select("doc_id", "component_id", "kept").collect()))
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True), (9, 9, True), (9, 9, True)]
+    kept = sorted(map(tuple, neardup.keep_one(df).collect()))
+    assert kept == [(1, one, "x"), (5, two, "z"), (9, "", "e"), (9, "solo text of five words", "s")]
+
+
 def test_fingerprint_likeness(spark, texts):
     got = rows(spark, "op5_fingerprint")
     order = sorted(texts)
