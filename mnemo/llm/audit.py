@@ -14,12 +14,12 @@ follows by arithmetic, without going over the documents again.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import permutations
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,84 +29,95 @@ from mnemo.session import ensure_checkpoint_dir, scratch_path
 FILTERS = "ABCDE"
 REPEATED = 1 << FILTERS.index("E")
 GOOD, TOXIC = 32, 64
-#: Rows of every text under a null id: no id is smaller than that of another.
-NO_ID = "none"
+#: Rows of the table for each state value.
+TEXTS = 1000
 
-_COUNTS = "key string, id long, part string, mask int, n long, at_least long"
-_STATE = "id long, parts array<string>, masks array<int>, counts array<long>"
+_COUNTS = "bucket int, high long, low long, id long, part string, mask int, n long, at_least long"
+_STATE = "known binary"
 _CHANGE = "part string, mask int, n long"
+#: What is known of texts: (high, low) -> (least id, {(part, mask): rows under it}).
+Known = dict[tuple[int, int], tuple[int, dict[tuple[str, int], int]]]
 
 
-def failed(text: Column) -> Column:
-    """Bits of the filters A to D that a text fails. Words are compared with case."""
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    n, distinct = F.size(words), F.size(F.array_distinct(words))
+def with_failed(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """``docs`` with the bits of the filters A to D that a text fails, in place of the text.
+    Words are compared with case."""
     capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    tests = [n < 200, 100 * distinct < 50 * n, 100 * capitals > 3 * F.length(text), text.rlike("[#$%&*|]")]
-    return sum((F.when(t, 1 << i).otherwise(0) for i, t in enumerate(tests)), F.lit(0)).cast("int")
+    shouts, signs = 100 * capitals > 3 * F.length(text), F.col(text).rlike("[#$%&*|]")
+    # the words are cut once and counted twice
+    cut = docs.select("*", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("_words"))
+    counted = cut.select("*", F.size("_words").alias("_n"), F.size(F.array_distinct("_words")).alias("_distinct"))
+    tests = [F.col("_n") < 200, 100 * F.col("_distinct") < 50 * F.col("_n"), shouts, signs]
+    bits = sum((F.when(t, 1 << i).otherwise(0) for i, t in enumerate(tests)), F.lit(0)).cast("int")
+    return counted.withColumn(out, bits).drop("_words", "_n", "_distinct", text)
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by (key, part, mask): the least id, the rows, and the rows under the least id.
-    A text that many rows of a task share becomes one row for each part and mask."""
+    """Counts by (text, part, mask): the least id, the rows, and the rows under the least id.
+    A text that many rows of a batch share becomes one row for each part and mask."""
     for batch in batches:
-        rows = batch.to_pandas()
-        by = ["key", "part", "mask"]
-        ids = rows.groupby([*by, "id"], sort=False).size().rename("at_least").reset_index()
-        ids["n"] = ids.groupby(by, sort=False)["at_least"].transform("sum")
-        least = ids.loc[ids.groupby(by, sort=False)["id"].idxmin()]
-        yield pa.RecordBatch.from_pandas(least[["key", "id", "part", "mask", "n", "at_least"]].astype(
-            {"id": "int64", "mask": "int32", "n": "int64", "at_least": "int64"}), preserve_index=False)
-
-
-def retract(known: tuple | None, rows: list[tuple]) -> tuple[tuple, dict[tuple[str, int], int]]:
-    """One text: its state (least id, {(part, mask): rows under it}) and the new counts
-    (id, part, mask, n, at_least) give the next state and the changes of the counters."""
+        counts: dict[tuple, list[int]] = {}
+        for *cell, i in zip(*[c.to_pylist() for c in batch.select(["bucket", "high", "low", "part", "mask", "id"]).columns]):
+            have = counts.setdefault(tuple(cell), [i, 0, 0])
+            if i < have[0]:
+                have[0], have[2] = i, 0
+            have[1] += 1
+            have[2] += i == have[0]
+        rows = [(b, h, w, i, p, m, n, k) for (b, h, w, p, m), (i, n, k) in counts.items()]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types],
+                                         names=[c.split()[0] for c in _COUNTS.split(", ")])
+
+
+def retract(known: Known, rows: Iterable[tuple]) -> dict[tuple[str, int], int]:
+    """Take new counts (high, low, id, part, mask, n, at_least) into ``known``, and return the
+    changes of the counters by (part, mask)."""
     change: dict[tuple[str, int], int] = {}
 
     def add(part: str, mask: int, n: int) -> None:
-        if n:
-            change[part, mask] = change.get((part, mask), 0) + n
-
-    least, under = known or (None, {})
-    new = min(r[0] for r in rows)
-    if least is None or new < least:
-        for (part, mask), n in under.items():
-            add(part, mask, -n)
-            add(part, mask | REPEATED, n)
-        least, under = new, {}
-    else:
-        under = dict(under)
-    for i, part, mask, n, at_least in rows:
+        change[part, mask] = change.get((part, mask), 0) + n
+
+    for high, low, i, part, mask, n, at_least in rows:
+        least, under = known.get((high, low), (None, {}))
+        if least is None or i < least:
+            for (p, m), k in under.items():  # they were first until now
+                add(p, m, -k)
+                add(p, m | REPEATED, k)
+            least, under = known[high, low] = i, {}
         first = at_least if i == least else 0
-        add(part, mask, first)
-        add(part, mask | REPEATED, n - first)
         if first:
             under[part, mask] = under.get((part, mask), 0) + first
-    return (least, under), change
+            add(part, mask, first)
+        if n > first:
+            add(part, mask | REPEATED, n - first)
+    return {k: n for k, n in change.items() if n}
+
+
+def _packed(known: Known) -> bytes:
+    rows = [(h, w, i, p, m, n) for (h, w), (i, under) in known.items() for (p, m), n in under.items()]
+    table = pa.table(dict(zip(("high", "low", "id", "part", "mask", "n"), map(list, zip(*rows)))))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> Known:
+    known: Known = {}
+    for h, w, i, p, m, n in zip(*[c.to_pylist() for c in pa.ipc.open_stream(data).read_all().columns]):
+        known.setdefault((h, w), (i, {}))[1][p, m] = n
+    return known
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = [r for f in frames for r in zip(f["id"].tolist(), f["part"].tolist(), f["mask"].tolist(), f["n"].tolist(), f["at_least"].tolist())]
-    known = None
-    if state.exists:
-        least, parts, masks, counts = state.get
-        known = least, {(p, m): n for p, m, n in zip(parts, masks, counts)}
-    (least, under), change = retract(known, rows)
-    if known != (least, under):
-        state.update((least, [p for p, _ in under], [m for _, m in under], list(under.values())))
-    yield pd.DataFrame([(p, m, n) for (p, m), n in change.items() if n], columns=["part", "mask", "n"])
-
-
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Changes of a task added up by (part, mask); there are as many as those pairs."""
-    sums: dict[tuple[str, int], int] = {}
-    for batch in batches:
-        for p, m, n in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            sums[p, m] = sums.get((p, m), 0) + n
-    kept = [(p, m, n) for (p, m), n in sums.items() if n]
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.int32()),
-                                      pa.array([x[2] for x in kept], pa.int64())], names=["part", "mask", "n"])
+    known = _unpacked(state.get[0]) if state.exists else {}
+    change: dict[tuple[str, int], int] = {}
+    for f in frames:
+        rows = zip(*[f[c].tolist() for c in ("high", "low", "id", "part", "mask", "n", "at_least")])
+        for k, n in retract(known, rows).items():
+            change[k] = change.get(k, 0) + n
+    state.update((_packed(known),))
+    yield pd.DataFrame([(p, m, n) for (p, m), n in change.items() if n], columns=["part", "mask", "n"]).astype({"mask": "int32", "n": "int64"})
 
 
 def label_bits(labels: DataFrame) -> DataFrame:
@@ -115,7 +126,8 @@ def label_bits(labels: DataFrame) -> DataFrame:
         (F.when(F.max("quality") == 1, GOOD).otherwise(0) + F.when(F.max("toxic") == 1, TOXIC).otherwise(0)).cast("int").alias("bits"))
 
 
-def count_masks(spark: SparkSession, path: str, schema: str, labels: DataFrame, batch_bytes: int = 1 << 36) -> DataFrame:
+def count_masks(spark: SparkSession, path: str, schema: str, labels: DataFrame, batch_bytes: int = 1 << 36,
+                texts: int = TEXTS) -> DataFrame:
     """(part, mask, n): documents by part and by failed filters (bits as in ``FILTERS``,
     then ``GOOD`` and ``TOXIC``), from the Parquet files at ``path`` with columns doc_id, text
     and lang, in micro-batches of about ``batch_bytes`` (at least one file each).
@@ -127,18 +139,21 @@ def count_masks(spark: SparkSession, path: str, schema: str, labels: DataFrame,
     """
     ensure_checkpoint_dir(spark)
     out, state = scratch_path(spark, "counters"), scratch_path(spark, "audit")
-    text = F.coalesce("text", F.lit(""))
+    buckets = 1 + spark.read.schema(schema).parquet(path).count() // texts  # from the files' footers
     path = path.rstrip("/")
     path = f"{path[:-1]}[{path[-1]}]"  # the stream reads a table of one file only if it is found by a pattern
     docs = (spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(path)
-            .select("doc_id", F.sha2(text.cast("binary"), 256).alias("key"), F.coalesce("lang", F.lit("")).alias("part"),
-                    failed(text).alias("own")))
-    rows = docs.join(staged(label_bits(labels), "labels"), "doc_id", "left").select(
-        F.when(F.col("doc_id").isNull(), F.concat("key", F.lit(NO_ID))).otherwise(F.col("key")).alias("key"),
-        F.coalesce("doc_id", F.lit(0)).alias("id"), "part", (F.col("own") + F.coalesce("bits", F.lit(0))).cast("int").alias("mask"))
-    changes = (rows.mapInArrow(_combine, _COUNTS).groupBy("key")
-               .applyInPandasWithState(_update, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
-               .mapInArrow(_total, _CHANGE))
+            .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("part")))
+    docs = with_failed(docs.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)), "text", "own")
+    half = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("long")  # noqa: E731 - 128 bits of the hash
+    nobody = F.col("doc_id").isNull()
+    rows = (docs.withColumn("high", F.when(nobody, F.lit(0)).otherwise(half(1))).withColumn("low", F.when(nobody, F.lit(0)).otherwise(half(17)))
+            .join(staged(label_bits(labels), "labels"), "doc_id", "left")
+            # rows without an id share one made-up text and id, so none of them repeats another
+            .select(F.pmod("high", F.lit(buckets)).cast("int").alias("bucket"), "high", "low", F.coalesce("doc_id", F.lit(0)).alias("id"),
+                    "part", (F.col("own") + F.coalesce("bits", F.lit(0))).cast("int").alias("mask")))
+    changes = (rows.mapInArrow(_combine, _COUNTS).groupBy("bucket")
+               .applyInPandasWithState(_update, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout))
     query = (changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
