@@ -40,7 +40,7 @@ CHUNK = 1 << 16
 #: Neighbouring fragments that one reduction composes.
 FAN = 8
 #: Segments that a worker remembers. It bounds memory only; results don't depend on it.
-CACHED = 400_000
+CACHED = 300_000
 #: Characters of a segment up to which A is run by its ranks; longer ones take the library's own merging.
 BY_RANKS = 1_000
 # fixed value: how a byte-level vocabulary cuts a text before it merges
@@ -236,7 +236,7 @@ class Tokenizers:
             new = set(chain.from_iterable([w for w, i in zip(cut[k], rows[k]) if i is None] for k in lacking))
             odd = [w for w in new if not w or w[0].isspace()]
             index.update(dict.fromkeys(odd, -1))
-            if plain := sorted(new.difference(odd)):
+            if plain := list(new.difference(odd)):
                 self._learn(plain, plain)
             for i in lacking:
                 rows[i] = list(map(index.__getitem__, cut[i]))
