@@ -170,6 +170,30 @@ def length_bound(a, b) -> Column:
         F.least(la, lb).cast("double") * 200.0 / (la + lb))
 
 
+#: 64-bit words of a bag signature.
+BAG_WORDS = 4
+
+
+def bag_signature(col) -> Column:
+    """An array of ``BAG_WORDS`` longs: a set bit for each (character, how often it has
+    occurred so far) of a string, at a place told by a hash. An inserted or deleted
+    character adds or takes away one such pair, so two strings' signatures differ in no more
+    bits than their indel distance."""
+    c = F.col(col) if isinstance(col, str) else col
+    chars = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
+    place = F.transform(chars, lambda x, i: F.pmod(F.xxhash64(x, i - F.array_position(chars, x)), F.lit(64 * BAG_WORDS)).cast("int"))
+    return F.array(*[F.aggregate(F.filter(place, lambda p: F.floor(p / 64) == w), F.lit(0).cast("long"),  # noqa: B023 - evaluated at once
+                                 lambda bits, p: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))))
+                     for w in range(BAG_WORDS)])
+
+
+def bag_bound_ok(sig_a, sig_b, len_a, len_b, threshold: float) -> Column:
+    """False only when strings with these signatures and lengths cannot reach ``threshold``:
+    a few machine instructions a pair, so it can stand in a join's condition."""
+    differ = sum((F.bit_count(F.get(sig_a, F.lit(w)).bitwiseXOR(F.get(sig_b, F.lit(w)))) for w in range(BAG_WORDS)), F.lit(0))
+    return differ <= (len_a + len_b).cast("double") * F.lit((100.0 - float(threshold)) / 100.0) + F.lit(1e-6)
+
+
 def edit_bound_ok(a, b, threshold: float) -> Column:
     """False only when the pair cannot reach ``threshold``.
 

@@ -23,7 +23,6 @@ PARENS_JAVA = rf"(?d){WS}*\(.*?\)"
 PARENS_RE2 = rf"{WS}*\(.*?\)"
 STRIP = rf"^{WS}+|{WS}+$"
 # Python re.match(r"(\d+)\.\s*(.+)", line) on a stripped line (ASCII digits).
-RANKED_LINE_JAVA = rf"(?d)^([0-9]+)\.{WS}*(.+)"
 RANKED_LINE_RE2 = rf"^([0-9]+)\.{WS}*(.+)"
 
 # Failure sentinels written in place of a model answer.

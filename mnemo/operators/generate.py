@@ -1,11 +1,16 @@
 """Running a model over prompts: the pluggable responder seam.
 
-``generate`` sends each Arrow batch of prompts to a picklable
-``responder(list_of_messages) -> list_of_outputs`` inside ``mapInPandas``. If that call
-fails, every prompt of the batch is asked by itself, retried with exponential back-off
-unless the failure is permanent, so a bad prompt loses its own answer only. A prompt that
-still fails has a null output and status ``failed``; scoring turns that into the failure
-sentinel. A responder may also return ``'content_filter_high'``.
+``generate`` sends prompts to a picklable ``responder(list_of_messages) ->
+list_of_outputs`` inside ``mapInPandas``, ``call_size`` of them at a time whatever the Arrow
+batches are. A call that fails is bisected: its halves are asked each by itself, so the
+good prompts around a bad one cost a few calls, not one each. A prompt that fails alone is
+retried with exponential back-off unless the failure is permanent; then its output is null
+and its status ``failed``, which scoring turns into the failure sentinel. A responder may
+also return ``'content_filter_high'``.
+
+After ``breaker`` failed calls in a row the task asks no more: what is left has status
+``pending`` and a null output, belongs in no ledger, and is asked by the next run. A dead
+back end so costs at most ``breaker`` calls a task, however many prompts wait.
 """
 
 from __future__ import annotations
@@ -15,12 +20,15 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Responder = Callable[[list], list]
 
 # Retry policy of the reference's cloud back end.
 MAX_ATTEMPTS = 50
 BACKOFF_MIN, BACKOFF_MAX = 2.0, 10.0
+#: Prompts of one call of the responder.
+CALL_SIZE = 64
 
 
 class PermanentError(Exception):
@@ -34,41 +42,72 @@ def _ask(responder: Responder, prompts: list) -> list:
     return out
 
 
-def _ask_one(responder: Responder, prompt: list, max_attempts: int, backoff_min: float, backoff_max: float):
-    """(output, status) of a single prompt."""
-    for attempt in range(max_attempts):
-        try:
-            return _ask(responder, [prompt])[0], "ok"
-        except PermanentError:
-            break
-        except Exception:  # noqa: BLE001 - whatever the back end raised may pass
-            if attempt + 1 < max_attempts:
-                time.sleep(min(backoff_max, backoff_min * (2 ** min(attempt, 30))))
-    return None, "failed"
+class Caller:
+    """Calls of one task: bisection of failed calls, retries, and the count of failures in a
+    row that opens the breaker."""
 
+    def __init__(self, responder: Responder, max_attempts: int, backoff_min: float, backoff_max: float, breaker: int):
+        self.responder, self.max_attempts = responder, max_attempts
+        self.backoff_min, self.backoff_max, self.breaker = backoff_min, backoff_max, breaker
+        self.failures = 0  # in a row, over all prompts of the task
 
-def _ask_batch(responder: Responder, prompts: list, max_attempts: int, backoff_min: float, backoff_max: float) -> list[tuple]:
-    try:
-        return [(out, "ok") for out in _ask(responder, prompts)]
-    except Exception:  # noqa: BLE001 - one prompt may have spoilt the call for all
-        return [_ask_one(responder, p, max_attempts, backoff_min, backoff_max) for p in prompts]
+    def _try(self, prompts: list) -> tuple[list | None, bool]:
+        """(outputs, False), or (None, whether asking again can't help)."""
+        try:
+            out = _ask(self.responder, prompts)
+        except Exception as e:  # noqa: BLE001 - whatever the back end raised may pass
+            self.failures += 1
+            return None, isinstance(e, PermanentError)
+        self.failures = 0
+        return out, False
+
+    def ask(self, prompts: list) -> list[tuple[str | None, str]]:
+        """(output, status) of each prompt."""
+        if self.failures >= self.breaker:
+            return [(None, "pending")] * len(prompts)
+        out, permanent = self._try(prompts)
+        if out is not None:
+            return [(o, "ok") for o in out]
+        if len(prompts) > 1:
+            half = len(prompts) // 2
+            return self.ask(prompts[:half]) + self.ask(prompts[half:])
+        for attempt in range(1, self.max_attempts):
+            if permanent:
+                break
+            if self.failures >= self.breaker:
+                return [(None, "pending")]  # not this prompt's fault: the next run asks it
+            time.sleep(min(self.backoff_max, self.backoff_min * (2 ** min(attempt - 1, 30))))
+            out, permanent = self._try(prompts)
+            if out is not None:
+                return [(out[0], "ok")]
+        return [(None, "failed")]
 
 
 def generate(prompts: DataFrame, responder: Responder, key: str = "key", max_attempts: int = MAX_ATTEMPTS,
-             backoff_min: float = BACKOFF_MIN, backoff_max: float = BACKOFF_MAX) -> DataFrame:
-    """(key, output, status) for every prompt row; ``messages`` is an array of (role, content)."""
+             backoff_min: float = BACKOFF_MIN, backoff_max: float = BACKOFF_MAX, call_size: int = CALL_SIZE,
+             breaker: int | None = None) -> DataFrame:
+    """(key, output, status) for every prompt row; ``messages`` is an array of (role, content).
+    ``breaker`` is, unless given, twice the calls that a single bad prompt can fail (the
+    bisections down to it and its attempts), so a stubborn prompt does not open it."""
     key_type = dict(prompts.dtypes)[key]
+    limit = 2 * (call_size.bit_length() + max_attempts) if breaker is None else breaker
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller = Caller(responder, max_attempts, backoff_min, backoff_max, limit)
         for pdf in it:
             msgs = [[{"role": m["role"], "content": m["content"]} for m in row] for row in pdf["messages"]]
-            outs = _ask_batch(responder, msgs, max_attempts, backoff_min, backoff_max) if msgs else []
+            outs = [x for at in range(0, len(msgs), call_size) for x in caller.ask(msgs[at:at + call_size])]
             yield pd.DataFrame({key: pdf[key], "output": pd.Series([o for o, _ in outs], dtype=object, index=pdf.index),
                                 "status": pd.Series([x for _, x in outs], dtype=object, index=pdf.index)})
 
     return prompts.select(key, "messages").mapInPandas(run, schema=f"{key} {key_type}, output string, status string")
 
 
+def answered(answers: DataFrame) -> DataFrame:
+    """Answers that a ledger may take: all but those of prompts that were not asked."""
+    return answers.filter(F.col("status") != "pending")
+
+
 def echo_responder(batch: list) -> list:
     """Deterministic stand-in model: answers with the last user message minus 'Input: '."""
     out = []
@@ -76,3 +115,8 @@ def echo_responder(batch: list) -> list:
         last = msgs[-1]["content"]
         out.append(last[len("Input: "):] if last.startswith("Input: ") else last)
     return out
+
+
+def user_one_responder(batch: list) -> list:
+    """Deterministic stand-in model: answers 'u::' with 'u::1', whatever came before."""
+    return [msgs[-1]["content"] + "1" for msgs in batch]

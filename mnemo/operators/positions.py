@@ -3,10 +3,11 @@
 The reference relies on pandas row order. Here every order is an explicit
 column, and nothing uses an un-partitioned window over the whole input:
 
-* ``global_index`` range-partitions on a total order, checkpoints the sorted
-  partitions, counts rows per partition (one row per partition) and adds the
-  partition offset to each row's position inside its partition. Range
-  partitioning splits a hot leading key because the full key is unique.
+* ``global_index`` range-partitions on a total order and writes the sorted
+  partitions as Parquet files; a row's index is the rows in the files before its own
+  (one number a file, counted without reading a column) and its place in its file,
+  which the scan knows. Range partitioning splits a hot leading key because the full
+  key is unique, and what reads the index afterwards reads the columns that it needs.
 * ``prefix_sum`` is two-level: rows are cut into buckets of ``bucket`` consecutive
   order values, bucket totals get a running offset (one row per bucket), and the
   running sum inside a bucket is a window bounded by the bucket size. Group
@@ -21,10 +22,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.session import materialize
+from mnemo.session import staged
 
 DEFAULT_BUCKET = 1 << 17
-_ID_SHIFT = 1 << 33  # monotonically_increasing_id = partition << 33 | row number
 
 
 def _cols(cols) -> list[Column]:
@@ -38,20 +38,20 @@ def global_index(df: DataFrame, order: Sequence, out_col: str, start: int = 0,
     ``order`` must be a total order (ties get an arbitrary but fixed order).
     """
     keys = _cols(order)
+    own = [c for c in df.columns if c.lower() == "_metadata"]  # would hide what the scan knows of its files
     # without an explicit count AQE may merge adjacent range partitions (order is kept),
     # so small inputs get few tasks and large ones keep spark.sql.shuffle.partitions
     ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
-    ranged = materialize(ranged.sortWithinPartitions(*keys))
-    tagged = (ranged.withColumn("_mn_pid", F.spark_partition_id())
-              .withColumn("_mn_mid", F.monotonically_increasing_id()))
-    counts = tagged.groupBy("_mn_pid").agg(F.count(F.lit(1)).alias("_mn_n"))
-    before = Window.orderBy("_mn_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: the size of the broadcast is bounded by n
-    offsets = counts.select("_mn_pid", F.coalesce(F.sum("_mn_n").over(before), F.lit(0)).alias("_mn_off"))
-    local = F.col("_mn_mid") - F.col("_mn_pid").cast("long") * F.lit(_ID_SHIFT)
-    return (tagged.join(F.broadcast(offsets), "_mn_pid")
-            .withColumn(out_col, (F.col("_mn_off") + local + F.lit(start)).cast("long"))
-            .drop("_mn_pid", "_mn_mid", "_mn_off"))
+    sorted_ = ranged.sortWithinPartitions(*keys).withColumnsRenamed({c: "_mn_own" for c in own})
+    rows = staged(sorted_, "ordered")  # a file a partition, named in their order
+    tagged = rows.withColumns({"_mn_file": F.col("_metadata.file_name"), "_mn_at": F.col("_metadata.row_index")})
+    counts = rows.groupBy(F.col("_metadata.file_name").alias("_mn_file")).agg(F.count(F.lit(1)).alias("_mn_n"))
+    before = Window.orderBy("_mn_file").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file: the size of the broadcast is bounded by the number of partitions
+    offsets = counts.select("_mn_file", F.coalesce(F.sum("_mn_n").over(before), F.lit(0)).alias("_mn_off"))
+    return (tagged.join(F.broadcast(offsets), "_mn_file")
+            .withColumn(out_col, (F.col("_mn_off") + F.col("_mn_at") + F.lit(start)).cast("long"))
+            .drop("_mn_file", "_mn_at", "_mn_off").withColumnsRenamed({"_mn_own": c for c in own}))
 
 
 def prefix_sum(df: DataFrame, value, order_col: str, out_col: str,

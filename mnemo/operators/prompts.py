@@ -183,6 +183,18 @@ def build_prompts(rows: DataFrame, system: str, batch_size: int = BATCH_SIZE, k:
     return j.select(*g, "key", "pos", "batch", msgs.alias("messages"))
 
 
+def with_messages(rows: DataFrame, system: str, batch_cols: Sequence[str], dataset: str = DATASET_NAME) -> DataFrame:
+    """(key, messages) of rows (batch_cols..., key, pos, user_msg, asst_msg, ex): the system
+    prompt, the examples ``ex`` (an array of (user_msg, asst_msg)), the rows of the batch
+    before with their true answers, and the row's own question."""
+    w = Window.partitionBy(*batch_cols).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    pair = lambda s: F.array(message("user", s["user_msg"]), message("assistant", s["asst_msg"]))
+    before = F.collect_list(F.struct("user_msg", "asst_msg")).over(w)
+    return rows.withColumn("tr", before).select("key", F.concat(
+        F.array(message("system", F.lit(system.format(dataset=dataset)))), F.flatten(F.transform("ex", pair)),
+        F.flatten(F.transform("tr", pair)), F.array(message("user", F.col("user_msg")))).alias("messages"))
+
+
 def prompt_texts(rows: DataFrame, system: str, batch_size: int = BATCH_SIZE, k: int = N_EXAMPLES,
                  group_cols: Sequence[str] = (), fallback_cols: Sequence[str] = (),
                  dataset: str = DATASET_NAME) -> DataFrame:

@@ -1,10 +1,10 @@
 """Leave-n-out recommendation evaluation: list parsing, title matching,
 HR@K / nDCG@K / MRR@K, list statistics and absent-item checks.
 
-Matching is an equi join on UserID with a similarity residual. Strings are
-normalised once, (user, title) pairs are de-duplicated, equal strings match
-without the kernel, a length bound drops hopeless pairs natively, and the
-kernel runs once per distinct (recommended, test) string pair across all users.
+Matching is an equi join on UserID with a residual of two bounds that lose no match: of
+lengths, and of bag signatures, 256 bits a title. Strings are normalised and signed once,
+(user, title) pairs are de-duplicated, equal strings match without the kernel, and the
+kernel runs once per distinct likely (recommended, test) string pair across all users.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.functions.similarity import edit_bound_ok, indel_ratio, length_bound
+from mnemo.functions.similarity import bag_bound_ok, bag_signature, edit_bound_ok, indel_ratio, length_bound
 from mnemo.operators.positions import global_index, position_in_group
-from mnemo.functions.text import (RANKED_LINE_JAVA, normalize_title_clean, normalize_title_plain,
-                                  py_strip, split_lines)
+from mnemo.session import staged
+from mnemo.functions.text import normalize_title_clean, normalize_title_plain, py_strip, split_lines
 
 # Metric cutoffs and list length used by the reference.
 CUTOFFS = (1, 3, 5, 10, 20, 50)
@@ -48,22 +48,30 @@ EVALUATOR_EXACT = Preset(normalize_title_clean, evaluator_threshold(1), "with_re
 
 # --------------------------------------------------------------------------- parsing
 
-def parse_ranked_list(responses: DataFrame, key: str = "UserID") -> tuple[DataFrame, DataFrame]:
-    """'Rank. Title' lines -> (recs, rejects).
+def parse_ranked_lines(responses: DataFrame, key: str = "UserID") -> DataFrame:
+    """(key, line_no, Rank, Title, ok) of every stripped line 'Rank. Title', in one pass.
 
-    recs: (key, line_no, Rank, Title) for every non-blank stripped line matching
-    ``(\\d+)\\.\\s*(.+)`` at its start; duplicates and ranks above 50 are kept.
-    rejects: matching lines whose rank is 0 or does not fit a long.
+    A line counts if it begins with digits and a dot and has more than white space after
+    them; duplicates and ranks above 50 are kept. ``ok`` is false where the rank is 0 or
+    does not fit a long. One regular expression finds the digits; the rest of the line
+    is cut off by position.
     """
     lines = responses.select(key, F.posexplode(split_lines("output")).alias("line_no", "raw"))
-    s = py_strip(F.col("raw"))
-    parsed = (lines.select(key, F.col("line_no").cast("long").alias("line_no"), s.alias("line"))
-              .filter((F.col("line") != "") & F.col("line").rlike(RANKED_LINE_JAVA))
-              .select(key, "line_no",
-                      F.regexp_extract("line", RANKED_LINE_JAVA, 1).try_cast("bigint").alias("Rank"),
-                      py_strip(F.regexp_extract("line", RANKED_LINE_JAVA, 2)).alias("Title")))
-    ok = F.col("Rank").isNotNull() & (F.col("Rank") >= 1)
-    return parsed.filter(ok), parsed.filter(~ok)
+    s = lines.select(key, F.col("line_no").cast("long").alias("line_no"), py_strip(F.col("raw")).alias("line"))
+    s = s.withColumn("_digits", F.regexp_extract("line", r"^([0-9]+)\.", 1)).filter(F.col("_digits") != "")
+    title = py_strip(F.expr("substring(line, length(_digits) + 2)"))
+    s = s.select(key, "line_no", F.col("_digits").try_cast("bigint").alias("Rank"), title.alias("Title")).filter(F.col("Title") != "")
+    return s.withColumn("ok", F.col("Rank").isNotNull() & (F.col("Rank") >= 1))
+
+
+def parse_ranked_list(responses: DataFrame, key: str = "UserID") -> tuple[DataFrame, DataFrame]:
+    """(recs, rejects): both sides of :func:`parse_ranked_lines`. To use both, materialise
+    the parsed lines first (:func:`split_parsed`), or the answers are parsed for each."""
+    return split_parsed(parse_ranked_lines(responses, key))
+
+
+def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return parsed.filter("ok").drop("ok"), parsed.filter(~F.col("ok")).drop("ok")
 
 
 # --------------------------------------------------------------------------- inputs
@@ -110,39 +118,45 @@ def _kernel_partitions(df: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_normalized(df: DataFrame, col: str, normalizer: Callable[[Column], Column], out: str) -> DataFrame:
+def with_normalized(df: DataFrame, col: str, normalizer: Callable[[Column], Column], out: str, signed: bool = False) -> DataFrame:
     """Normalise each distinct value once and join the result back: titles repeat
     across users, the regexes cost far more than a hash probe, and AQE broadcasts
-    the distinct side at run time only when it is actually small."""
+    the distinct side at run time only when it is actually small. ``signed`` adds ``<out>_sig``,
+    the bag signature of the normalised value."""
     d = df.select(col).distinct().select(col, normalizer(F.col(col)).alias(out))
+    if signed:
+        d = d.withColumn(f"{out}_sig", bag_signature(out))
     return df.join(d, col, "left")
 
 
 def match_recs(recs: DataFrame, test_titles: DataFrame, preset: Preset) -> DataFrame:
-    """recs + ``match`` (1 when any test title of the user is similar enough)."""
-    norm = preset.normalizer
-    r = with_normalized(recs, "Title", norm, "rec_norm")
-    t = with_normalized(test_titles.select("UserID", "Title").distinct(), "Title", norm, "test_norm")
-    t = t.select("UserID", "test_norm").distinct()
-    if preset.threshold >= 100:  # ratio >= 100 <=> equal strings: a plain equi join
-        hits = t.select("UserID", F.col("test_norm").alias("rec_norm")).distinct()
-    else:
-        pairs = r.select("UserID", "rec_norm").distinct().join(t, "UserID")
-        equal = pairs.filter(F.col("rec_norm") == F.col("test_norm")).select("UserID", "rec_norm")
-        # bounds and kernel run once per distinct string pair; only the (few) passing
-        # pairs are joined back to the per-user pairs. A fixed partition count keeps
-        # AQE from coalescing this small-in-bytes, CPU-bound stage into a few tasks.
+    """recs + ``match`` (1 when any test title of the user is similar enough).
+
+    A user's pairs of strings meet in one join on the user, whose condition drops what
+    the lengths and the bag signatures rule out (neither ever rules out a match), so only
+    likely pairs are moved on; those are kept, and the kernel runs once for each distinct one."""
+    norm, fuzzy = preset.normalizer, preset.threshold < 100
+    r = with_normalized(recs, "Title", norm, "rec_norm", fuzzy)
+    t = with_normalized(test_titles.select("UserID", "Title").distinct(), "Title", norm, "test_norm", fuzzy)
+    hits = t.select("UserID", F.col("test_norm").alias("rec_norm")).distinct()
+    if fuzzy:  # ratio >= 100 <=> equal strings: a plain equi join
+        likely = ((F.col("rec_norm") != F.col("test_norm"))
+                  & (length_bound("rec_norm", "test_norm") >= F.lit(preset.threshold - 1e-9))
+                  & bag_bound_ok(F.col("rec_norm_sig"), F.col("test_norm_sig"), F.length("rec_norm"), F.length("test_norm"), preset.threshold))
+        own = lambda df, c: df.select("UserID", c, f"{c}_sig").dropDuplicates(["UserID", c])
+        pairs = staged(own(r, "rec_norm").join(own(t, "test_norm"), "UserID").filter(likely)
+                       .select("UserID", "rec_norm", "test_norm"), "pairs")
+        # a fixed partition count keeps AQE from coalescing this small-in-bytes, CPU-bound
+        # stage into a few tasks
         kernel = (pairs.select("rec_norm", "test_norm").distinct()
-                  .filter((F.col("rec_norm") != F.col("test_norm"))
-                          & (length_bound("rec_norm", "test_norm") >= F.lit(preset.threshold - 1e-9))
-                          & edit_bound_ok("rec_norm", "test_norm", preset.threshold))
+                  .filter(edit_bound_ok("rec_norm", "test_norm", preset.threshold))
                   .repartition(_kernel_partitions(recs))
                   .withColumn("ratio", indel_ratio("rec_norm", "test_norm"))
                   .filter(F.col("ratio") >= F.lit(float(preset.threshold)))
                   .select("rec_norm", "test_norm"))
-        fuzzy = pairs.join(kernel, ["rec_norm", "test_norm"], "left_semi").select("UserID", "rec_norm")
-        hits = equal.unionByName(fuzzy).distinct()
-    return (r.join(hits.withColumn("match", F.lit(1)), ["UserID", "rec_norm"], "left")
+        near = pairs.join(kernel, ["rec_norm", "test_norm"], "left_semi").select("UserID", "rec_norm")
+        hits = hits.unionByName(near).distinct()
+    return (r.drop("rec_norm_sig").join(hits.withColumn("match", F.lit(1)), ["UserID", "rec_norm"], "left")
             .withColumn("match", F.coalesce(F.col("match"), F.lit(0))))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mnemo.functions import text as T
 from mnemo.operators import activity, coverage, scoring
 from mnemo.plans import oracle_sql as Q
-from mnemo.session import materialize
+from mnemo.session import materialize, staged
 from mnemo.sources import derived as D
 
 
@@ -60,7 +60,8 @@ def popularity(spark, sf):
 
 
 def popularity_merged(spark, sf):
-    return coverage.popularity_merge(title_results(spark, sf), popularity(spark, sf), "ItemPos")
+    """Popularity and outcome, joined once a report: its count and its cuts read the result."""
+    return staged(coverage.popularity_merge(title_results(spark, sf), popularity(spark, sf), "ItemPos"), "popularity")
 
 
 # ----------------------------------------------------------------- shared pieces (SQL)
@@ -221,9 +222,7 @@ def answered(spark, sf):
 
 
 def parsed(spark, sf):
-    recs = stage(spark, sf, "recs", lambda: RC.parse_ranked_list(answered(spark, sf))[0])
-    rejects = stage(spark, sf, "rejects", lambda: RC.parse_ranked_list(answered(spark, sf))[1])
-    return recs, rejects
+    return RC.split_parsed(stage(spark, sf, "parsed", lambda: RC.parse_ranked_lines(answered(spark, sf))))
 
 
 SPLIT_CTES = {
@@ -956,7 +955,7 @@ def q_resume_pending(spark, sf):
     crash = _crash_point(items.count())
     path = scratch_path(spark, "ledger")
     LG.append(res.filter(F.col("ItemPos") < crash).drop("ItemPos"), path, MODEL_NAME)
-    done = LG.read(spark, path).filter(F.col("model") == MODEL_SLUG)
+    done = LG.of_model(LG.read(spark, path), MODEL_NAME)
     return LG.pending(batch_ids(items, "ItemPos", 50), done, "MovieID").select("MovieID", "ItemPos", "batch")
 
 
@@ -989,8 +988,78 @@ def q_probe_static(spark, sf):
     out = scratch_path(spark, "probe")
     part = items.filter(F.col("ItemPos") < _crash_point(items.count()))
     for rows in (part, items, items):
-        flows.probe_titles(rows, echo_responder, out, MODEL_NAME, max_attempts=1)
-    return LG.read(spark, f"{out}/ledger").select("MovieID", "GeneratedTitle", "RealTitle", "ErrorFlag")
+        stored = flows.probe_titles(rows, echo_responder, out, MODEL_NAME, max_attempts=1)
+    return stored.select("MovieID", "GeneratedTitle", "RealTitle", "ErrorFlag")
+
+
+def _resumed_ctes(scores: str, real: str, n: str) -> tuple[tuple, tuple]:
+    """(prow, seed) of a second run of a record probe whose first stopped after a third of the rows."""
+    cut = f"CAST(ceil((SELECT count(*) FROM {n}) / 3.0) AS BIGINT)"
+    user = f"concat(split_part({real}, '::', 1), '::') AS user_msg, {real} AS asst_msg"
+    return (((scores, n), f"""SELECT RowIndex AS key, 0 AS grp, 0 AS fb, RowIndex AS pos, ErrorFlag AS flag, {user}, RowIndex AS ord
+FROM {scores} WHERE RowIndex >= {cut}"""),
+            ((scores, n), f"""SELECT 0 AS grp, -rn AS pos, user_msg, asst_msg FROM (
+  SELECT {user}, row_number() OVER (ORDER BY RowIndex DESC) AS rn FROM {scores} WHERE RowIndex < {cut}) WHERE rn <= 3"""))
+
+
+def _resumed(spark, probe, table, results):
+    """Prompts of the second run over ``table``, the first having published the first third."""
+    from mnemo.plans import probing
+    crash = _crash_point(table.count())
+    log = probing.ledger(spark, scratch_path(spark, "resume"), probe, MODEL_NAME)
+    run = log.begin()
+    run.write(results.filter(F.col(probe.key) < crash), "ledger")
+    run.commit()
+    flags = results.select(F.col(probe.key).alias("key"), F.col("ErrorFlag").alias("flag"))
+    p = probing.resumed_prompts(table, probe, log.read("ledger", probe.schema), flags)
+    return p.select("key", "batch", F.size("messages").cast("long").alias("n_messages"), F.md5(PR.render("messages")).alias("prompt_md5"))
+
+
+@register("prompts_interaction_resumed", prompt_sql(
+    _resumed_ctes("inter_scores", "RealInteraction", "interactions")[0],
+    f"SELECT key, batch, n_messages, md5({prompt_text_sql(PR.INTERACTION_SYSTEM)}) AS prompt_md5 FROM pr_out",
+    _resumed_ctes("inter_scores", "RealInteraction", "interactions")[1]))
+def q_prompts_interaction_resumed(spark, sf):
+    """As ``prompts_title_resumed``, of the interaction probe."""
+    from mnemo.plans import probing
+    return _resumed(spark, probing.INTERACTIONS, D.interactions(spark, sf), interaction_results(spark, sf))
+
+
+@register("prompts_user_attr_resumed", prompt_sql(
+    _resumed_ctes("user_scores", "RealUser", "users")[0],
+    f"SELECT key, batch, n_messages, md5({prompt_text_sql(PR.USER_ATTRIBUTE_SYSTEM)}) AS prompt_md5 FROM pr_out",
+    _resumed_ctes("user_scores", "RealUser", "users")[1]))
+def q_prompts_user_attr_resumed(spark, sf):
+    """As ``prompts_title_resumed``, of the user probe."""
+    from mnemo.plans import probing
+    return _resumed(spark, probing.USERS, D.users(spark, sf), user_results(spark, sf))
+
+
+# the live probe's stand-in answers every question of user u with 'u::1', which is near enough for some rows
+LIVE_SCORES = SAMPLED_SCORES | {"inter_gen_s": (("inter_gen", "sampled"), """SELECT RowIndex, UserID, RealInteraction,
+       concat(CAST(UserID AS VARCHAR), '::1') AS GeneratedInteraction
+FROM inter_gen WHERE UserID IN (SELECT UserID FROM sampled)""")}
+
+
+def live_sql(body: str) -> str:
+    extra = LIVE_SCORES | prompt_ctes(PER_USER_PROW)
+    return psql(body, *extra.keys(), extra=extra)
+
+
+@register("probe_live_users", live_sql(f"""SELECT o.key, o.grp AS UserID, o.n_messages, md5({prompt_text_sql(PR.USER_INTERACTION_SYSTEM)}) AS prompt_md5,
+       b.flag AS ErrorFlag FROM pr_out o JOIN (SELECT key AS k, flag FROM pr_b) b ON b.k = o.key"""))
+def q_probe_live_users(spark, sf):
+    """The per-user probe asked live, wave after wave over all sampled users: what every
+    prompt was, with the examples that the answers before it had earned, and its outcome."""
+    from mnemo.operators.generate import user_one_responder
+    from mnemo.plans import probing
+    who = sampled(spark, sf)
+    table = D.interactions(spark, sf).join(who.select("UserID", "tier"), "UserID")
+    out = scratch_path(spark, "live")
+    done = probing.probe_live(table, probing.USER_INTERACTIONS, user_one_responder, out, MODEL_NAME, keep_prompts=True, max_attempts=1)
+    asked = probing.ledger(spark, out, probing.USER_INTERACTIONS, MODEL_NAME).read("prompts", probing.PROMPTS)
+    return asked.join(done.withColumnRenamed("RowIndex", "key"), "key").select(
+        "key", "UserID", F.size("messages").cast("long").alias("n_messages"), F.md5(PR.render("messages")).alias("prompt_md5"), "ErrorFlag")
 
 
 @register("rec_resume", ssql("""SELECT t.UserID, CASE WHEN e.UserID IS NULL THEN 'skipped' ELSE 'done' END AS status,
@@ -1006,9 +1075,8 @@ def q_rec_resume(spark, sf):
     answers = D.rec_responses(spark, sf)
     first = answers.withColumn("output", F.when(F.col("UserID") % 3 == 0, F.col("output")))
     for responses in (first, answers, answers):
-        flows.recommend_resumable(train_titles(spark, sf), test_titles(spark, sf), responses, out)
-    done = spark.read.parquet(f"{out}/processed")
-    n = spark.read.parquet(f"{out}/recommendations").groupBy("UserID").agg(F.count(F.lit(1)).alias("n_recs"))
+        done, recs = flows.recommend_resumable(train_titles(spark, sf), test_titles(spark, sf), responses, out)
+    n = recs.groupBy("UserID").agg(F.count(F.lit(1)).alias("n_recs"))
     return done.join(n, "UserID", "left").select("UserID", "status", F.coalesce("n_recs", F.lit(0)).cast("long").alias("n_recs"))
 
 
@@ -1064,8 +1132,8 @@ def _stream_ledger(spark, sf):
     def score(batch):
         return scoring.score_titles(items.join(batch.select("MovieID"), "MovieID", "left_semi"), batch).drop("ItemPos")
 
-    score_stream(spark, src, "MovieID LONG, output STRING", score, ledger_path, scratch_path(spark, "ckpt"),
-                 "MovieID", MODEL_SLUG)
+    for run in ("ckpt1", "ckpt2"):  # the second run sees all files again and adds nothing
+        score_stream(spark, src, "MovieID LONG, output STRING", score, ledger_path, scratch_path(spark, run), "MovieID", MODEL_NAME)
     return ledger_path
 
 
@@ -1082,7 +1150,7 @@ def q_stream_coverage(spark, sf):
     ledger_path = _stream_ledger(spark, sf)
     out = scratch_path(spark, "coverage")
     schema = "MovieID LONG, GeneratedTitle STRING, RealTitle STRING, ErrorFlag INT, model STRING"
-    coverage_stream(spark, ledger_path, schema, out, scratch_path(spark, "ckpt2"))
+    coverage_stream(spark, ledger_path, schema, out, scratch_path(spark, "ckpt3"))
     r = spark.read.parquet(out)
     return r.select("model", "n", "errors", coverage.coverage_value(F.col("n") - F.col("errors"), F.col("n")).alias("coverage"))
 

@@ -9,35 +9,27 @@ TSV) and returns the result DataFrames.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemo.functions.names import model_name, output_name  # noqa: F401 - model_name is part of this module's interface
 from mnemo.operators import activity, coverage, generate, prompts, recommend, scoring
-from mnemo.session import materialize
+from mnemo.plans import probing
+from mnemo.session import materialize, staged
 from mnemo.sources import files, ledger
+from mnemo.sources.commits import RunLog
 
 # Report parameters of the reference's driver script.
 PERCENTILES = (1, 10, 20, 25, 50, 75, 90, 100)
 POPULARITY_BUCKETS = (0.2, 0.8)
 
 
-# Configuration keys of each kind of back end, the key that names its model,
-# and the kinds whose names have '/' replaced.
+# Configuration keys of each kind of back end.
 REQUIRED_KEYS = ("dataset_name", "model_type", "model_name", "batch_size")
 TYPE_KEYS = {"hf": ("hf_key",), "openai": ("azure_endpoint", "azure_openai_key", "api_version", "deployment_name"),
              "sglang": ("hf_key",), "foundry": ("foundry_model_name", "foundry_endpoint", "foundry_api_key")}
-NAME_KEYS = {"hf": "model_name", "sglang": "model_name", "foundry": "foundry_model_name"}
-
-
-def model_name(config: dict) -> str:
-    """The name that outputs bear: the kind's own field with '/' replaced, else the
-    deployment name as it is; ``unknown`` where the field is missing."""
-    key = NAME_KEYS.get(config.get("model_type", "unknown"))
-    return config.get(key, "unknown").replace("/", "_") if key else config.get("deployment_name", "unknown")
-
-
 def check_config(config: dict) -> None:
     """Raise KeyError for a missing parameter, ValueError for an unknown kind of back end."""
     if config["model_type"] not in TYPE_KEYS:
@@ -47,62 +39,49 @@ def check_config(config: dict) -> None:
             raise KeyError(f"Missing required config parameter: {key}")
 
 
-def _slug(model: str) -> str:
-    return model.replace("/", "_")
-
-
-def _stored(spark, path: str, model: str) -> DataFrame | None:
-    """The ledger's rows of a model; None before the first append."""
-    if not ledger.exists(spark, path):
-        return None
-    return ledger.read(spark, path).filter(F.col("model") == _slug(model))
+def _append_pending(log: RunLog, schema: str, rows: DataFrame, key: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Score the rows that the log's ledger lacks, publish them as one run, and return the ledger."""
+    pending = ledger.pending(rows, log.read("ledger", schema), key)
+    if not pending.isEmpty():
+        run = log.begin()
+        run.write(score(pending), "ledger")
+        run.commit()
+    return log.read("ledger", schema)
 
 
 def probe_titles(items: DataFrame, responder, out_dir: str, model: str, batch_size: int = prompts.BATCH_SIZE,
-                 max_attempts: int = generate.MAX_ATTEMPTS) -> DataFrame:
-    """The title probe with a live responder, resumable: prompts for the items that the
-    ledger lacks, answers, scores, an append, and the ledger's rows.
+                 max_attempts: int = generate.MAX_ATTEMPTS, renew: int | None = None) -> DataFrame:
+    """The title probe with a live responder, resumable: the rows of the ledger after all
+    items that it lacks were asked. Without ``renew`` the examples are fixed for the run (the
+    ledger's last three rows, or the table's first three), and all prompts are one job; with
+    1 they follow the answers from batch to batch (:func:`probing.probe_live`)."""
+    return probing.probe_live(items, probing.TITLES, responder, out_dir, model, batch_size, renew, max_attempts=max_attempts)
 
-    Batches are those of the whole table. The examples are fixed for the run: the
-    ledger's last three rows, or the table's first three at the start. A second run over
-    the same items appends nothing.
-    """
-    spark, path = items.sparkSession, f"{out_dir}/ledger"
-    done = _stored(spark, path, model)
-    pending = items if done is None else ledger.pending(items, done, "MovieID")
-    as_rows = lambda df, title: prompts.title_rows(df.select(
-        "MovieID", "ItemPos", F.lit(1).alias("ErrorFlag"), F.col(title).alias("RealTitle")))
-    seed = prompts.last_three(as_rows(done, "RealTitle"), "pos") if done is not None else None
-    if not pending.isEmpty():
-        asked = prompts.build_prompts(as_rows(pending, "Title"), prompts.TITLE_SYSTEM, batch_size, seed=seed)
-        answers = generate.generate(asked, responder, max_attempts=max_attempts)
-        answers = materialize(answers.withColumnRenamed("key", "MovieID"))  # the back end is asked once
-        ledger.append(scoring.score_titles(pending, answers), path, model)
-    return _stored(spark, path, model)
+
+PROCESSED = "UserID long, status string"
+RECOMMENDED = "UserID long, Title string, Rank long"
 
 
 def recommend_resumable(train: DataFrame, test: DataFrame, responses: DataFrame, out_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One run of the recommender over (UserID, output) answers, resumable: appends to
-    ``processed`` (UserID, status) and ``recommendations`` (UserID, Title, Rank) and returns
-    both. ``train`` and ``test`` have titles.
+    """One run of the recommender over (UserID, output) answers, resumable: it adds to
+    ``processed`` (UserID, status) and ``recommendations`` (UserID, Title, Rank) below
+    ``out_dir``, both or neither, and returns both. ``train`` and ``test`` have titles.
 
     Users without both sides are ``skipped``; users with an answer are ``done``, whether or
     not a line of it parses; a failed call (null output) or none leaves a user open.
     """
-    spark = train.sparkSession
-    p_path, r_path = f"{out_dir}/processed", f"{out_dir}/recommendations"
-    users = train.select("UserID").distinct()
-    if ledger.exists(spark, p_path):
-        users = ledger.pending(users, ledger.processed_keys(spark.read.parquet(p_path), "UserID"), "UserID")
-    users = materialize(users)
+    log = RunLog(train.sparkSession, out_dir)
+    users = materialize(ledger.pending(train.select("UserID").distinct(), log.read("processed", PROCESSED), "UserID"))
     eligible = users.join(recommend.eligible_users(train, test), "UserID", "left_semi")
     answered = materialize(recommend.answered_users(responses, eligible))
     recs = recommend.parse_ranked_list(answered)[0].select("UserID", "Title", "Rank")
     skipped = users.join(eligible, "UserID", "left_anti").select("UserID", F.lit("skipped").alias("status"))
     done = answered.select("UserID").distinct().select("UserID", F.lit("done").alias("status"))
-    recs.write.mode("append").parquet(r_path)
-    done.unionByName(skipped).write.mode("append").parquet(p_path)
-    return spark.read.parquet(p_path), spark.read.parquet(r_path)
+    run = log.begin()
+    run.write(recs, "recommendations")
+    run.write(done.unionByName(skipped), "processed")
+    run.commit()
+    return log.read("processed", PROCESSED), log.read("recommendations", RECOMMENDED)
 
 
 def memorization_report(items: DataFrame, interactions: DataFrame, title_responses: DataFrame,
@@ -111,18 +90,16 @@ def memorization_report(items: DataFrame, interactions: DataFrame, title_respons
     """Title probe (and optionally the user-attribute probe) with all coverage reports.
 
     ``items`` needs (MovieID, Title, ItemPos); ``users`` (UserID, Gender, Age,
-    Occupation, Zip_code, RowIndex). Writes the ledger under ``out_dir/ledger``
-    and one text file per report.
+    Occupation, Zip_code, RowIndex). Publishes the ledger below ``out_dir`` and writes one text file per report.
     """
-    slug, spark, path = _slug(model), items.sparkSession, f"{out_dir}/ledger"
-    done = _stored(spark, path, model)
-    pending = items if done is None else ledger.pending(items, done, "MovieID")
-    if not pending.isEmpty():
-        ledger.append(scoring.score_titles(pending, title_responses), path, model)
-    stored = _stored(spark, path, model)  # the reports read what was stored: nothing is scored twice
+    slug = output_name(model)
+    # the reports read what was stored: nothing is scored twice
+    stored = _append_pending(probing.ledger(items.sparkSession, out_dir, probing.TITLES, model), probing.TITLES.schema, items, "MovieID",
+                             lambda rows: scoring.score_titles(rows, title_responses))
     ranked = coverage.rank_results(stored, "ItemPos")
     pop = activity.item_popularity(interactions)
-    merged = coverage.popularity_merge(stored, pop, "ItemPos")
+    # (rank, flag) rows, written once: the counts and all reports below read these alone
+    merged = staged(coverage.popularity_merge(stored, pop, "ItemPos"), "popularity")
     reports = {
         f"analysis_summary_{slug}.txt": coverage.coverage_percentiles(ranked, percentiles),
         f"Popularity_analysis_summary_{slug}.txt": coverage.coverage_popularity(merged, percentiles),
@@ -146,14 +123,14 @@ def tier_probe(interactions: DataFrame, responses: DataFrame, out_dir: str, mode
     ``interactions`` needs (UserID, MovieID, RowIndex); ``responses`` (RowIndex,
     output). All tiers run as one job, partitioned by ``user_group``.
     """
-    slug = _slug(model)
+    slug = output_name(model)
     tiers = activity.user_tiers(interactions)
     sampled = activity.sample_users(tiers, n_per_group, seed)
     rows = activity.group_filter(interactions, sampled)
-    results = scoring.score_interactions(rows, responses, scoring.USER_INTERACTION_RULE)
+    probe = probing.USER_INTERACTIONS
+    results = _append_pending(probing.ledger(interactions.sparkSession, out_dir, probe, model), probe.schema, rows, probe.key,
+                              lambda new: probe.score(new, responses))
     results = results.join(sampled.withColumnRenamed("tier", "user_group"), "UserID")
-    (results.withColumn("model", F.lit(slug)).write.mode("append")
-     .partitionBy("model", "user_group").parquet(f"{out_dir}/interaction_ledger"))
     out = {"sampled": sampled, "results": results}
     for tier in activity.TIERS:
         part = results.filter(F.col("user_group") == tier)
@@ -170,12 +147,12 @@ def recommendation_evaluation(train: DataFrame, test: DataFrame, items: DataFram
     ``train``/``test``: (UserID, MovieID, RowIndex); ``responses``: (UserID, output)
     null where the call failed.
     """
-    slug = _slug(model)
+    slug = output_name(model)
     train_t = recommend.enrich_titles(train, items)
     test_t = recommend.enrich_titles(test, items)
     eligible = recommend.eligible_users(train_t, test_t)
     answered = materialize(recommend.answered_users(responses, eligible))
-    recs, rejects = (materialize(x) for x in recommend.parse_ranked_list(answered))  # every result below reads them
+    recs, rejects = recommend.split_parsed(materialize(recommend.parse_ranked_lines(answered)))  # every result below reads them
     test_t = materialize(test_t)
     files.write_tsv(recs.select("UserID", "Title", "Rank"), f"{out_dir}/{slug}_recommendations.tsv")
     return {

@@ -62,6 +62,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/mnemo-scratch/{uuid.uuid4().hex}/{name}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder as Parquet and read it back: lineage is cut, a
+    lost executor costs only the tasks that were running, and later scans are pruned."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint: later stages read the written partitions, so a
     lost executor recomputes from files instead of replaying the whole lineage."""

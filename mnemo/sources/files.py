@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def with_file_order(df: DataFrame, out_col: str) -> DataFrame:
     rows stand in the file. ``df`` is a file scan; splits of a file keep their order."""
     from mnemo.operators.positions import global_index
     tagged = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                       F.monotonically_increasing_id().alias("_row"))
+                       F.monotonically_increasing_id().alias("_row")).drop("_metadata")
     return global_index(tagged, ["_file", "_block", "_row"], out_col).drop("_file", "_block", "_row")
 
 
@@ -126,9 +128,50 @@ def write_latin1_lines(df: DataFrame, text_col: str, latin1: F.Column, path: str
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """One line per report row, in ``ord`` order over the part files' names: a curve has a
-    line per item, so its file is written by as many tasks as it needs."""
-    report.orderBy("ord").select("line").write.mode("overwrite").text(path)
+    """One text file at ``path``, a line per report row in ``ord`` order.
+
+    A curve has a line per item, so the lines are written by as many tasks as they need,
+    as parts beside the file; then the parts are put together in order and the whole takes
+    its place by a rename. A report of before stays until then, and a reader never sees a half.
+    """
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    report.orderBy("ord").select("line").write.text(parts)
+    _join_parts(report.sparkSession, parts, path)
+
+
+def _join_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of ``folder``, in the order of their names, as the file ``path``. Where
+    the file system can join files it does (no byte is read); elsewhere they are copied one
+    after the other through a buffer."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    at, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    parts = [x.getPath() for x in sorted(fs.listStatus(at), key=lambda x: x.getPath().getName())
+             if x.getPath().getName().startswith("part-") and x.getLen() > 0]
+    whole = hadoop.fs.Path(f"{folder}/whole")
+    rest = spark.sparkContext._gateway.new_array(hadoop.fs.Path, max(len(parts) - 1, 0))
+    for i, p in enumerate(parts[1:]):
+        rest[i] = p
+    try:
+        if parts:
+            if len(parts) > 1:
+                fs.concat(parts[0], rest)
+            whole = parts[0]
+        else:
+            fs.create(whole).close()
+    except Py4JJavaError as e:
+        if "UnsupportedOperationException" not in e.java_exception.getClass().getName():
+            raise
+        out = fs.create(whole)
+        for p in parts:
+            source = fs.open(p)
+            hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+        out.close()
+    fs.delete(target, True)
+    if not fs.rename(whole, target):
+        raise OSError(f"could not write {path}")
+    fs.delete(at, True)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

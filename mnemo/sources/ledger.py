@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.functions.text import model_slug
+from mnemo.functions.names import output_name
 
 
 def append(results: DataFrame, path: str, model: str) -> None:
-    """Append one batch of scored rows under ``model=<slug>``."""
-    (results.withColumn("model", model_slug(F.lit(model)))
+    """Append one batch of scored rows under ``model=<output name>``."""
+    (results.withColumn("model", F.lit(output_name(model)))
      .write.mode("append").partitionBy("model").parquet(path))
 
 
@@ -32,5 +32,10 @@ def pending(rows: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return rows.join(ledger.select(key).distinct(), key, "left_anti")
 
 
+def of_model(ledger: DataFrame, model: str) -> DataFrame:
+    """The rows that ``append`` has written for ``model``."""
+    return ledger.filter(F.col("model") == output_name(model))
+
+
 def processed_keys(ledger: DataFrame, key: str) -> DataFrame:
     return ledger.select(key).distinct()

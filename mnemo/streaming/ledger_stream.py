@@ -28,7 +28,7 @@ def score_stream(spark: SparkSession, responses_dir: str, response_schema: str,
         rest = [c for c in batch.columns if c != key]
         fresh = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*")
         if L.exists(spark, ledger_path):
-            done = L.read(spark, ledger_path).filter(F.col("model") == model)
+            done = L.of_model(L.read(spark, ledger_path), model)
             fresh = L.pending(fresh, done, key)
         L.append(score(fresh), ledger_path, model)
 

@@ -14,7 +14,8 @@ def test_memorization_report_writes_reports(spark):
     res = flows.memorization_report(D.items_ordered(spark, SF), D.interactions(spark, SF), D.title_responses(spark, SF),
                                     out, "org/model-a", users=D.users(spark, SF), user_responses=D.user_responses(spark, SF))
     path = out.replace("file:", "")
-    assert os.path.isdir(f"{path}/analysis_summary_org_model-a.txt")
+    assert os.path.isfile(f"{path}/analysis_summary_org_model-a.txt")
+    assert not [x for x in os.listdir(path) if ".parts-" in x]
     lines = [r.value for r in spark.read.text(f"{out}/Popularity_analysis_summary_org_model-a.txt").collect()]
     assert lines[0].startswith("Coverage at 1th popularity percentile: ") and lines[-1].startswith("Total Coverage: ")
     assert res["ledger"].count() == D.items(spark, SF).count()

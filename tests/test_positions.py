@@ -36,3 +36,12 @@ def test_index_within_group(spark):
     got = index_within_group(df, ["g"], "o", "pos", bucket=16).collect()
     for r in got:
         assert r.pos == (r.o // 7) // 4
+
+
+def test_index_beside_a_column_of_the_scans_name(spark):
+    from mnemo.operators.positions import global_index
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("id"), F.lit("own").alias("_metadata"))
+    got = global_index(df, ["id"], "at", start=5, num_partitions=7)
+    assert got.columns == ["id", "_metadata", "at"]
+    assert [tuple(r) for r in got.orderBy("at").collect()] == [(i, "own", i + 5) for i in range(1000)]
+    assert global_index(df.limit(0), ["id"], "at").count() == 0

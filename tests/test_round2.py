@@ -94,6 +94,12 @@ def test_long_reports_keep_their_order(spark):
     files.write_report(rep.repartition(7), path)
     got = files.read_report(spark, path).orderBy("ord").collect()
     assert [(r.ord, r.line) for r in got] == [(i + 1, f"line {i}") for i in range(5000)]
+    name = path.removeprefix("file:")
+    assert open(name).read() == "".join(f"line {i}\n" for i in range(5000))
+    files.write_report(rep.where("ord < 3"), path)  # written again: one file, the new lines
+    assert open(name).read() == "line 0\nline 1\nline 2\n"
+    files.write_report(rep.where("false"), path)
+    assert open(name).read() == ""
 
 
 def test_raw_lines_without_kept_columns(spark, tmp_path):

@@ -42,3 +42,36 @@ def test_spark_udf_matches_python(spark):
     for row in got:
         assert row.r == indel_ratio_py(row.a, row.b)
         assert abs(row.s - round(indel_ratio_py(row.a, row.b), 2)) < 1e-9
+
+
+def test_bag_signature_loses_no_match(spark):
+    """Signatures of two strings differ in no more bits than their indel distance."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from mnemo.functions.similarity import bag_bound_ok, bag_signature, indel_ratio_py
+    r = random.Random(6)
+    letters = "abcde 12é😀日"
+    rows = []
+    for _ in range(1500):
+        a = "".join(r.choice(letters) for _ in range(r.randrange(30)))
+        b = list(a)
+        for _ in range(r.randrange(9)):
+            if b and r.random() < 0.5:
+                b.pop(r.randrange(len(b)))
+            else:
+                b.insert(r.randrange(len(b) + 1), r.choice(letters))
+        rows.append((a, "".join(b)))
+    rows += [("", ""), ("a" * 300, "a" * 290 + "b"), ("x" * 70, "x" * 64)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    differ = sum(F.bit_count(bag_signature("a")[w].bitwiseXOR(bag_signature("b")[w])) for w in range(4))
+    ok = [bag_bound_ok(bag_signature("a"), bag_signature("b"), F.length("a"), F.length("b"), t).alias(f"t{t}") for t in (80, 85, 90)]
+    dropped = 0
+    for x in df.select("a", "b", differ.alias("differ"), *ok).collect():
+        ratio = indel_ratio_py(x.a, x.b)
+        assert x.differ <= round((len(x.a) + len(x.b)) * (1 - ratio / 100))
+        for t in (80, 85, 90):
+            assert x[f"t{t}"] or ratio < t
+            dropped += not x[f"t{t}"]
+    assert dropped > 500  # and it does rule pairs out
