@@ -46,6 +46,7 @@ def indel_ratio_py(a: str | None, b: str | None) -> float:
 
 
 _WORD = 64
+_MOST_WORDS = 4  # beyond, Python integers are faster: 1.1 s against 1.5 s for 3,000 pairs of 400 characters
 _CHUNK = 4096
 _MEAN_WIDTH = 128  # that a full chunk may have
 
@@ -61,20 +62,66 @@ def _codes(strings: list[str], lens: np.ndarray, width: int, pad: int) -> np.nda
     return out
 
 
+def _lcs_words(a: list[str], b: list[str]) -> np.ndarray:
+    """LCS lengths of pairs whose shorter strings take a few words each."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    plen, tlen = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
+    out = np.zeros(len(pairs), np.int64)
+    order = np.lexsort((tlen, plen))
+    start = 0
+    while start < order.size:
+        words = -(-int(plen[order[start]]) // _WORD)
+        stop = int(np.searchsorted(plen[order], words * _WORD, "right"))  # pairs of as many words
+        stop = min(stop, start + max(1, _CHUNK * _MEAN_WIDTH // (words * int(tlen[order[start:stop]].max()))))
+        sel = order[start:stop]
+        start = stop
+        pc = _codes([pairs[k][0] for k in sel], plen[sel], int(plen[sel].max()), -1)
+        tc = _codes([pairs[k][1] for k in sel], tlen[sel], int(tlen[sel].max()), -1)
+        # each row's masks by the number of a character: of those in the patterns, or none
+        known = np.unique(pc)
+        code = lambda c: np.where(known[(i := np.minimum(np.searchsorted(known, c), known.size - 1))] == c, i, known.size)
+        pk, tk = code(pc), code(tc)
+        rows = np.arange(sel.size)
+        masks = np.zeros((words, sel.size, known.size + 1), np.uint64)
+        for i in range(pc.shape[1]):
+            masks[i // _WORD, rows, pk[:, i]] |= np.where(pc[:, i] >= 0, np.uint64(1) << np.uint64(i % _WORD), np.uint64(0))
+        masks[:, :, np.append(known == -1, True)] = 0  # what pads a row is no character
+        full = [np.where(plen[sel] >= (w + 1) * _WORD, ~np.uint64(0),
+                         (np.uint64(1) << np.maximum(plen[sel] - w * _WORD, 0).astype(np.uint64) % np.uint64(_WORD)) - np.uint64(1))
+                for w in range(words)]
+        v = [f.copy() for f in full]
+        for j in range(tc.shape[1]):
+            carry = np.zeros(sel.size, np.uint64)
+            at = tk[:, j]
+            for w in range(words):
+                u = v[w] & masks[w, rows, at]
+                total = v[w] + u
+                over = total < u
+                total += carry
+                carry = (over | (total < carry)).astype(np.uint64)
+                v[w] = (total | (v[w] ^ u)) & full[w]
+        out[sel] = plen[sel] - sum(np.bitwise_count(x).astype(np.int64) for x in v)
+    return out
+
+
 def lcs_batch(a: list[str], b: list[str], la: np.ndarray | None = None, lb: np.ndarray | None = None) -> np.ndarray:
     """LCS lengths for many pairs at once.
 
     Pairs whose shorter string fits one 64-bit word run the bit-parallel
     recurrence on numpy uint64 vectors, one lane per pair (rows sorted by length
-    so padding stays small); longer pairs use the Python big-int version.
+    so padding stays small). Up to ``_MOST_WORDS`` words a lane has several, with carries
+    between them. Beyond that one Python integer a pair is faster than many words in lanes.
     """
     n = len(a)
     out = np.zeros(n, dtype=np.int64)
     la = np.fromiter(map(len, a), dtype=np.int64, count=n) if la is None else la
     lb = np.fromiter(map(len, b), dtype=np.int64, count=n) if lb is None else lb
     short = np.minimum(la, lb)
-    for i in np.nonzero(short > _WORD)[0]:
+    for i in np.nonzero(short > _WORD * _MOST_WORDS)[0]:
         out[i] = lcs_length(a[i], b[i])
+    middle = np.nonzero((short > _WORD) & (short <= _WORD * _MOST_WORDS))[0]
+    if middle.size:
+        out[middle] = _lcs_words([a[i] for i in middle], [b[i] for i in middle])
     idx = np.nonzero((short > 0) & (short <= _WORD))[0]
     if idx.size == 0:
         return out

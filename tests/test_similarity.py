@@ -75,3 +75,31 @@ def test_bag_signature_loses_no_match(spark):
             assert x[f"t{t}"] or ratio < t
             dropped += not x[f"t{t}"]
     assert dropped > 500  # and it does rule pairs out
+
+
+def test_strings_of_several_words_equal_brute_force():
+    import random
+
+    from mnemo.functions.similarity import lcs_batch, lcs_length
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    r = random.Random(9)
+    for letters in ("ab", "abcdefgh 12", "日本語é😀a"):
+        a, b = [], []
+        for n in (1, 63, 64, 65, 66, 127, 128, 129, 190, 256, 300, 511, 512, 513, 700):
+            for m in (1, 64, 65, n, n + 1, 2 * n, 600):
+                x = "".join(r.choice(letters) for _ in range(n))
+                a.append(x)
+                b.append("".join(r.choice(letters) for _ in range(m)) if r.random() < 0.5 else "".join(c for c in x if r.random() < 0.8)[:m])
+        assert lcs_batch(a, b).tolist() == [lcs_length(x, y) for x, y in zip(a, b)]
+        some = r.sample(range(len(a)), 12)
+        assert [lcs_length(a[i], b[i]) for i in some] == [plain(a[i], b[i]) for i in some]
+    long = ["".join(r.choice("abc ") for _ in range(2000)) for _ in range(4)]
+    assert lcs_batch(long[:2], long[2:]).tolist() == [lcs_length(x, y) for x, y in zip(long[:2], long[2:])]
