@@ -255,6 +255,45 @@ def test_secret_lexing():
                    ("auth-token", "f81d4fae7dec11d0a765"), ("DB_PASSWORD", "s3cr3t-P4ss!")]
 
 
+@pytest.mark.parametrize("text,want", [
+    ('const apiKey: string = "Zx81kQmP0aLw"', [("apiKey", "Zx81kQmP0aLw")]),
+    ('private readonly api_key?: string = `Zx81kQmP0aLw`;', [("api_key", "Zx81kQmP0aLw")]),
+    ('const cfg: Record<string, string> = {token: "Zx81kQmP0aLw", user: "robert12"}', [("token", "Zx81kQmP0aLw")]),
+    ('<add key="dbPassword" value="hunter2X9kq"/>', [("dbPassword", "hunter2X9kq")]),
+    ("<property name='secret.token' value='Zx81kQmP0aLw'></property>", [("secret.token", "Zx81kQmP0aLw")]),
+    ("<password>hunter2X9kq</password>", [("password", "hunter2X9kq")]),
+    ("password: |\n  hunter2X9kq\nnext: 1", [("password", "hunter2X9kq")]),
+    ("- password: hunter2X9kq\n  auth_token:   Zx81kQmP0aLw  # note", [("password", "hunter2X9kq"), ("auth_token", "Zx81kQmP0aLw")]),
+    ('password = """hunter2X9kq"""', [("password", "hunter2X9kq")]),
+    ('private_key = """\n  Zx81kQmP0aLw\n  hunter2X9kq\n"""', [("private_key", "Zx81kQmP0aLw"), ("private_key", "hunter2X9kq")]),
+    ('password = ("hunt" "er2X" "9kq1")', [("password", "hunt"), ("password", "er2X"), ("password", "9kq1")]),
+    ('password = get_secret("prod/db/password")', []),
+    ('secret_key = SecretStr("Zx81kQmP0aLw")', [("secret_key", "Zx81kQmP0aLw")]),
+    ('f(password="hunter2X9kq", user="bob", token="Zx81kQmP0aLw")', [("password", "hunter2X9kq"), ("token", "Zx81kQmP0aLw")]),
+    ('PWD, TOKEN = "hunter2X9kq", "Zx81kQmP0aLw"', [("PWD", "hunter2X9kq"), ("TOKEN", "Zx81kQmP0aLw")]),
+    ("[db]\npassword = hunter2X9kq ; note\n", [("password", "hunter2X9kq")]),
+    ("export DB_PASSWORD=hunter2X9kq", [("DB_PASSWORD", "hunter2X9kq")]),
+    ('"apiKey" => "Zx81kQmP0aLw", token := "Zx81kQmP0aLx"', [("apiKey", "Zx81kQmP0aLw"), ("token", "Zx81kQmP0aLx")]),
+    ("don't set password = hunter2X9kq isn't it", [("password", "hunter2X9kq")]),
+    ('a = "Zx81kQmP"\nb = a\nclient_secret = b + "0aLw92"', [("client_secret", "Zx81kQmP"), ("client_secret", "0aLw92")]),
+    ("time: 12:30:45 url: http://x.y/z", []), ("password: your_password_here", []), ("", []), ("=", []), ("a=\n=b\n:", [])])
+def test_secret_syntaxes(text, want):
+    assert [(n, text[a:b]) for _, a, b, n, _ in secrets.literal_spans(text)] == want
+
+
+def test_secret_constants_do_not_grow():
+    """Constants that double, and long chains of them: the work is that of the text."""
+    import time
+    began = time.time()
+    text = 'a0 = "Zx81kQmP"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(200)) + "password = a200\n"
+    assert [(n, text[a:b]) for _, a, b, n, _ in secrets.literal_spans(text)] == [("password", "Zx81kQmP")]
+    text = 'a0 = "Zx81kQmP"\n' + "".join(f'a{i + 1} = a{i} + "k{i}Z"\n' for i in range(3000)) + "password = a3000\n"
+    assert len(secrets.literal_spans(text)) == 3001
+    for bit in ("a", "a=", '"', "'" * 3, '"' * 3, "a,", "a:b ", "f(a=", "<a b='", "x y ", "= ", "{a:", "a=(", "[a] = "):
+        secrets.literal_spans(bit * (60_000 // len(bit)))
+    assert time.time() - began < 30
+
+
 @pytest.fixture(scope="session")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=piece_model())
