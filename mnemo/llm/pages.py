@@ -183,12 +183,49 @@ def cut_blocks(html: str) -> list[Block]:
 
 # ---------------------------------------------------------------- teaching pages
 
+#: Tags and names that tell of blocks beside the article.
+TELLING = frozenset(OTHER_TAGS) | {"." + n for n in OTHER_NAMES}
+#: Elements whose own names describe the page or the article, not a part beside it.
+WHOLE = ("html", "body", *ARTICLE_TAGS)
+#: Share of a page's text from which a container is the page's, not a part's.
+WIDE = 0.9
+
+
+def marked(blocks: list[Block]) -> list[Block]:
+    """The blocks of a page with paths that have only what tells its parts apart: without the
+    telling names of html, body and article elements (that a body has a sidebar says nothing
+    of a block), and without those of a container that holds nearly all of the page's text,
+    such as a form or a list of results around everything."""
+    def owned(path: tuple[str, ...]) -> tuple[str, ...]:
+        tag, out = "", []
+        for x in path:
+            if x[0] != ".":
+                tag = x
+            if not (x[0] == "." and tag in WHOLE and x in TELLING):
+                out.append(x)
+        return tuple(out)
+
+    total, held = 0, Counter()
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}
+    for b in blocks:
+        if b.path not in paths:
+            paths[b.path] = owned(b.path)
+        total += len(b.text)
+        for x in TELLING.intersection(paths[b.path]):
+            held[x] += len(b.text)
+    wide = {x for x, n in held.items() if n >= WIDE * total}
+    for raw, path in paths.items():
+        if wide.intersection(path):
+            once: set[str] = set()
+            # the outermost only: a part inside may bear the same name
+            paths[raw] = tuple(x for x in path if x not in wide or x in once or once.add(x))
+    return [b if paths[b.path] == b.path else Block(b.text, paths[b.path], b.linked) for b in blocks]
+
+
 def taught(block: Block) -> bool | None:
-    """What the markup says of a block; None if it says nothing."""
+    """What the markup says of a marked block; None if it says nothing."""
     tags = set(block.path)
-    other = tags & set(OTHER_TAGS) or any("." + n in tags for n in OTHER_NAMES)
-    inside = tags & set(ARTICLE_TAGS)
-    return False if other else True if inside else None
+    return False if tags & TELLING else True if tags & set(ARTICLE_TAGS) else None
 
 
 def rearranged(article: list[Block], other: list[Block], rng: np.random.Generator) -> list[tuple[Block, bool]]:
@@ -201,6 +238,10 @@ def rearranged(article: list[Block], other: list[Block], rng: np.random.Generato
         ("div", "." + pick(ARTICLE_NAMES)) if kind < 0.85 else ("section", "." + pick(ARTICLE_NAMES))
     if kind < 0.45 and rng.random() < 0.4:
         box += ("." + pick(ARTICLE_NAMES),)
+    if 0.6 < kind and rng.random() < 0.15:
+        box = ("div", "." + pick(OTHER_NAMES)) + box
+    if rng.random() < 0.15:  # a layout made of a table
+        box = ("table", *pick(((), ("tbody",))), "tr", "td") + box
     if rng.random() < 0.05:  # a text without markup
         return [(Block(pick(article).text, pick(((), ("html", "body")))), True)]
     outer = ("html", "body") + (("div",) + (("." + pick(ARTICLE_NAMES),) if rng.random() < 0.3 else ()) if rng.random() < 0.4 else ())
@@ -211,7 +252,7 @@ def rearranged(article: list[Block], other: list[Block], rng: np.random.Generato
         if rng.random() < 0.3:
             wrap = (*wrap, "." + pick(OTHER_NAMES))
         menu = rng.random() < 0.4
-        inner = pick((("ul", "li"), ("li",), ("div",))) if menu else pick(((), ("p",), ("div", "p"), ("h3",), ("p",)))
+        inner = pick((("ul", "li"), ("li",), ("div",))) if menu else pick(((), ("p",), ("div", "p"), ("h3",), ("p",), ("h1",), ("h2",)))
         out = []
         for _ in range(int(rng.integers(1, 9 if menu else 5))):
             text = pick(sentences)
@@ -225,7 +266,8 @@ def rearranged(article: list[Block], other: list[Block], rng: np.random.Generato
     page = [x for _ in range(int(rng.integers(0, 4))) for x in piece(False)]
     for i, b in enumerate(article):
         leaf = b.path[-1:] if rng.random() < 0.8 and b.path[-1:][0] in ("h1", "h2", "h3", "p", "li", "blockquote", "pre", "td") else \
-            pick((("p",), ("div",), ("h2",), ("ul", "li"), ("blockquote", "p"), ("p",), ("section", "p")))
+            pick((("p",), ("div",), ("h2",), ("ul", "li"), ("blockquote", "p"), ("p",), ("section", "p"), ("table", "tr", "td"),
+                  ("table", "tbody", "tr", "td"), ("table", "tr", "th"), ("dl", "dd"), ("figure", "figcaption"), ("h3",), ("ol", "li"), ()))
         page.append((Block(b.text, outer + box + leaf, b.linked), True))
         if rng.random() < 0.06:
             page += piece(True)
@@ -244,12 +286,12 @@ class Settings:
     pages: int = 400
     page_chars: int = 1_000_000
     window: int = 60
-    path_buckets: int = 1024
+    path_buckets: int = 4096
     word_buckets: int = 1024
     path_size: int = 20
     word_size: int = 6
     hidden: int = 20
-    steps: int = 500
+    steps: int = 800
     batch: int = 32
     rate: float = 0.01
     seed: int = 3
@@ -391,7 +433,7 @@ def train(pages: list[list[Block]], s: Settings = Settings()) -> Network:
     blocks are every block of a page."""
     net = new_network(s)
     rng = np.random.default_rng(s.seed + 1)
-    plain = [[(b, taught(b)) for b in p] for p in pages]
+    plain = [[(b, taught(b)) for b in marked(p)] for p in pages]
     usable = [p for p in plain if any(t for _, t in p)]
     if not usable:
         net.out[:] = 0
@@ -401,6 +443,7 @@ def train(pages: list[list[Block]], s: Settings = Settings()) -> Network:
     others = [[b for b, t in p if t is False] or [Block(p[0][0].text[:40], ())] for p in usable]
     m1 = [np.zeros_like(w) for w in net.weights()]
     m2 = [np.zeros_like(w) for w in net.weights()]
+    met = np.zeros(s.path_buckets, bool)
     for step in range(1, s.steps + 1):
         batch = []
         for _ in range(s.batch):
@@ -410,13 +453,15 @@ def train(pages: list[list[Block]], s: Settings = Settings()) -> Network:
             else:
                 own = articles[i]
                 lo = int(rng.integers(0, max(1, len(own) - 8)))
-                page = rearranged(own[lo:lo + int(rng.integers(1, 12))], others[int(rng.integers(len(others)))], rng)
+                made = rearranged(own[lo:lo + int(rng.integers(1, 12))], others[int(rng.integers(len(others)))], rng)
+                page = list(zip(marked([b for b, _ in made]), [t for _, t in made]))
             lo = int(rng.integers(len(page) - s.window + 1)) if len(page) > s.window else 0
             batch.append(page[lo:lo + s.window])
         flat = [b for page in batch for b, _ in page]
         paths, words, first, facts = features(flat, s)
         # names that the sample lacks must be bearable: some parts of paths go unseen
         paths = [[i for i in p if rng.random() > 0.1] for p in paths]
+        met[[i for p in paths for i in p]] = True
         dense = vectors(net, paths, words, first, facts)
         blind = rng.random(len(flat)) < 0.5
         dense[blind, s.path_size:s.path_size + s.word_size] = 0
@@ -448,11 +493,13 @@ def train(pages: list[list[Block]], s: Settings = Settings()) -> Network:
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             w -= (rate * (a / (1 - 0.9 ** step)) / (np.sqrt(b / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
+    net.path[~met] = 0  # a tag or name that no page had says nothing
     return net
 
 
 def article_chances(net: Network, pages: list[list[Block]], s: Settings) -> list[np.ndarray]:
     """The chance of every block of every page to be of the article."""
+    pages = [marked(p) for p in pages]
     out = [np.zeros(0, np.float32)] * len(pages)
     order = [i for i in np.argsort([len(p) for p in pages], kind="stable") if pages[i]]
     lo = 0

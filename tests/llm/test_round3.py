@@ -315,3 +315,70 @@ def test_personal_odd_rows(spark, messy, nothing):
     r = personal.digest(personal.find_personal(spark.createDataFrame([(1, text)] * 2, "doc_id long, text string"))).collect()
     assert r[0] == r[1] and (r[0].n_email, r[0].n_ip, r[0].spans) == (1, 1, "email:7:15,ip:19:26")
     assert r[0].base_sha256 == hashlib.sha256(r[0].spans.encode()).hexdigest()
+
+
+# ------------------------------------------------------------------ pages of unusual layouts
+
+PARAGRAPHS = ["The river rose in the night and by morning the lower town was cut off.",
+              "Farmers moved their cattle to the ridge, and boats were brought from the harbour.",
+              "Nobody had seen such a flood for forty years, the mayor said on Sunday.",
+              "Volunteers filled sandbags until dawn and served soup in the school hall.",
+              "By noon the water had begun to fall, and the first families went home.",
+              "Repairs to the bridge will take until spring, engineers expect."]
+PS = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+NAV = "<nav><ul><li><a href=#>Home</a></li><li><a href=#>News</a></li></ul></nav>"
+FOOT = "<footer><p>Copyright 2024 by us. All rights reserved.</p></footer>"
+SIDE = '<div class="sidebar"><h3>Popular</h3><ul><li><a href=#>Ten tips</a></li><li><a href=#>Our shop</a></li></ul></div>'
+SAID = '<div class="comments"><h3>Comments</h3><div class="comment"><p>Great piece, thanks for it!</p></div></div>'
+ROWS = "".join(f"<tr><td>Gauge {i}</td><td>{i * 3} metres</td></tr>" for i in range(10))
+LAYOUTS = [
+    f"<html><body><form>{NAV}<div id=content>{PS}</div>{FOOT}</form></body></html>",
+    f"<html><body><form>{NAV}<article>{PS}</article>{FOOT}</form></body></html>",
+    f'<html><body class="has-sidebar no-footer">{NAV}<article>{PS}</article>{SIDE}{FOOT}</body></html>',
+    f'<html><body class="page has-sidebar no-footer">{NAV}<div class="post">{PS}</div>{SIDE}{FOOT}</body></html>',
+    f"<html><body><table><tr><td>{NAV}</td></tr><tr><td>{PS}</td></tr><tr><td>{FOOT}</td></tr></table></body></html>",
+    f"<html><body><table><tbody><tr><td class=menu><a href=#>Home</a></td><td>{PS}</td></tr></tbody></table></body></html>",
+    f'<html><body>{NAV}<article class="post read-more related-topic">{PS}</article>{FOOT}</body></html>',
+    f"<html><body>{NAV}<article>{PS}<table>{ROWS}</table></article>{FOOT}</body></html>",
+    f'<html><body>{NAV}<div class="search-results"><div class="entry-content">{PS}</div></div>{FOOT}</body></html>',
+    f"<html><body>{PS}</body></html>", f"<html><body><div>{PS}</div></body></html>",
+    f"<html><body><header><h1>Site</h1>{NAV}</header><main>{PS}</main>{SIDE}{FOOT}</body></html>",
+    f'<html><body>{NAV}<section class="story">{PS}</section>{SAID}{FOOT}</body></html>',
+    f'<html><body class="single logged-in"><div id="page" class="site"><header class="site-header">{NAV}</header><div class="site-content">'
+    f'<div class="entry-content">{PS}</div></div>{SAID}{SIDE}{FOOT}</div></body></html>',
+    '<html><body><div id=wrapper><div class=nav><a href=#>Home</a></div><div class="text">' + "".join(f"<div>{x}</div>" for x in PARAGRAPHS)
+    + "</div><div class=footer>Copyright us</div></div></body></html>",
+    f"<html><body>{NAV}<article><h1>The flood</h1>{PS}<blockquote><p>We were lucky this time, said one farmer.</p></blockquote></article>{FOOT}</body></html>",
+    f"<html><body>{NAV}<article><p>{PARAGRAPHS[0]}</p><div class=newsletter><p>Sign up for our letter.</p><form><input></form></div>{PS}</article>{FOOT}</body></html>",
+    f'<html><body><div class="cookie-notice"><p>We use cookies on this site.</p></div><div class="content">{PS}</div>{FOOT}</body></html>',
+    f'<html><body class="sidebar-right"><div class="main-content">{PS}</div><aside class="sidebar"><p>About the author of this site.</p></aside></body></html>',
+    f'<html><body><div id="header"><a href=#>Home</a></div><div id="article-body">{PS}</div><div id="footer">Contact us</div></body></html>',
+    f"<html><body>{NAV}<main><h2>What happened</h2><ul>" + "".join(f"<li>{x}</li>" for x in PARAGRAPHS) + f"</ul></main>{FOOT}</body></html>",
+    f"<html><body>{NAV}<article><dl>" + "".join(f"<dt>Day {i}</dt><dd>{x}</dd>" for i, x in enumerate(PARAGRAPHS)) + f"</dl></article>{FOOT}</body></html>"]
+NEVER = ["Home", "News", "Copyright 2024 by us. All rights reserved.", "Popular", "Ten tips", "Our shop", "Comments", "Great piece, thanks for it!",
+         "Site", "Copyright us", "We use cookies on this site.", "About the author of this site.", "Contact us", "Sign up for our letter."]
+
+
+def test_names_that_tell_nothing_of_a_block():
+    from mnemo.llm import pages
+    told = lambda html: [pages.taught(b) for b in pages.marked(pages.cut_blocks(html))]
+    assert told("<body class='has-sidebar'><article class=related><p>a</p><p>b</p></article>") == [True, True]
+    assert told("<form><article><p>a</p><aside>c</aside><p>b</p></article></form>") == [True, False, True]
+    assert told("<div class=comments><article><p>a</p></article></div><article><p>" + "long text " * 40) == [False, True]
+    assert told("<div class=search><div class=search>x</div><article><p>" + "long text " * 40 + "</p></article></div>") == [False, True]
+
+
+def test_unseen_layouts():
+    """Pages of layouts that training has not: nearly every paragraph of the article, and
+    nothing of the rest."""
+    from mnemo.llm import pages
+    sample = [r[0] for r in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    net = pages.train([pages.cut_blocks(x) for x in sorted(sample)])
+    found = lost = wrong = 0
+    for html in LAYOUTS:
+        blocks = pages.cut_blocks(html)
+        got = [b.text for b, c in zip(blocks, pages.article_chances(net, [blocks], pages.Settings())[0]) if c > 0.5]
+        found += sum(p in got for p in PARAGRAPHS)
+        lost += sum(p not in got for p in PARAGRAPHS)
+        wrong += sum(x in got for x in NEVER)
+    assert lost <= 0.05 * (found + lost) and wrong <= 1
