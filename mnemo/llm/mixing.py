@@ -106,14 +106,14 @@ def emit_mix(docs: DataFrame, **how) -> DataFrame:
     number of copies, and come out in no order of size. Rows that share doc_id, text and
     source share their copies evenly.
     """
-    ident, mark, n, nth = (fresh(docs, x) for x in ("_mix_id", "_mix_mark", "_mix_copies", "_mix_nth"))
+    ident, mark, n, nth, rows = (fresh(docs, x) for x in ("_mix_id", "_mix_mark", "_mix_copies", "_mix_nth", "_mix_rows"))
     keyed = docs.select("*", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias(ident), F.xxhash64("text", "source").alias(mark))
     lean = keyed.select("doc_id", "source", word_count(F.col("text")).alias("size"), ident, mark)
     shares = (mix_sources(lean, size=F.col("size"), **how).groupBy(ident, mark)
-              .agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias("_mix_rows")).where(F.col(n) > 0))
+              .agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(rows)).where(F.col(n) > 0))
     order = Window.partitionBy(ident, mark).orderBy("doc_id")
     row = F.row_number().over(order) - 1
-    own = F.floor(F.col(n) / F.col("_mix_rows")) + (F.col(nth) < F.col(n) % F.col("_mix_rows")).cast("int")
+    own = F.floor(F.col(n) / F.col(rows)) + (F.col(nth) < F.col(n) % F.col(rows)).cast("int")
     return (keyed.join(shares, [ident, mark]).withColumn(nth, row).withColumn(n, own).where(F.col(n) > 0)
             .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(nth)).drop(nth))
 

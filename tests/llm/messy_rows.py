@@ -2,11 +2,11 @@
 import pytest
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size string, copies int, _mix_pos int, "
-          "ids string, lang_pred string, n_lines string, _lines string, found string, bands int, marks int, score string, _text string")
+          "_mix_rows string, ids string, lang_pred string, n_lines string, _lines string, found string, bands int, marks int, score string, _text string")
 
 
 def row(doc_id, text, lang="en", source="a"):
-    return (doc_id, text, lang, source, None if text is None else len(text), "x", 7, 1, "i", "q", "n", "l", "f", 0, 1, "s", "t")
+    return (doc_id, text, lang, source, None if text is None else len(text), "x", 7, 1, "r", "i", "q", "n", "l", "f", 0, 1, "s", "t")
 
 
 LONG = " ".join(f"word{i % 997} of{i % 89}" for i in range(20_000))
@@ -20,7 +20,7 @@ def messy(spark):
     rows = [row(1, poem), row(2, poem), row(2, poem), row(3, ""), row(4, None), row(5, LONG, "en", "b"),
             row(6, "   \n\t "), row(7, "été à la plage", "fr", None), row(None, "no id at all", None, "b"),
             row(8, "1234 !!", "en", "c"), row(9, LONG + " tail", None, "b"), row(10, "one", "en", ""),
-            (11, *[None] * 16), (None, *[None] * 16)]
+            (11, *[None] * 17), (None, *[None] * 17)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
