@@ -253,13 +253,13 @@ class Labeller:
 def training_sample(docs: DataFrame, s: Settings = Settings(), text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """At most ``per_language * windows`` (window, language) pairs a language, from rows with
     a language and letters: of each language's distinct texts those of the least hashes.
-    Copies of a text count once, so no language is without a sample and none has more."""
+    Copies of a text count once, so no language is without a sample and none has more. Of
+    more than ``languages`` languages those of the most distinct texts are learnt (ties by name)."""
     usable = (docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").rlike(HAS_LETTERS))
               .withColumn("h", F.xxhash64("t")))
     counts = {r.l: r.n for r in usable.select("l", "h").distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-              .limit(s.languages + 1).collect()}
-    if len(counts) > s.languages:
-        raise ValueError(f"more than {s.languages} languages")
+              .orderBy(F.col("n").desc(), "l").limit(s.languages).collect()}
+    usable = usable.where(F.col("l").isin(sorted(counts))) if counts else usable
     draw = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))
     spots = F.transform(F.sequence(F.lit(0), F.lit(s.windows - 1)), lambda i: F.substring(
         F.col("t"), (1 + F.pmod(F.xxhash64("t", i), F.greatest(F.length("t") - s.chars, F.lit(1)))).cast("int"), F.lit(s.chars)))

@@ -63,3 +63,12 @@ def test_long_pages_are_learnt_to_their_end(monkeypatch):
     monkeypatch.setattr(pages, "features", lambda blocks, s: (seen.extend(blocks), features(blocks, s))[1])
     pages.train([page], pages.Settings(steps=5))
     assert {id(b) for b in page[60:]} & {id(b) for b in seen}
+
+
+def test_more_languages_than_are_learnt(spark):
+    rows = [(f"text {i} of language {k}", f"l{k:03d}") for k in range(30) for i in range(2 + k % 3)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    s = langid.Settings(languages=8, per_language=5, steps=5)
+    got = {lang for _, lang in langid.training_sample(df, s)}
+    assert got == {f"l{k:03d}" for k in range(2, 30, 3)[:8]}
+    assert len(langid.learn(df.withColumn("doc_id", df.text), s).languages) <= 8
