@@ -1,7 +1,7 @@
 """Running a model over prompts: the pluggable responder seam.
 
 ``generate`` sends prompts to a picklable ``responder(list_of_messages) ->
-list_of_outputs`` inside ``mapInPandas``, ``call_size`` of them at a time whatever the Arrow
+list_of_outputs`` inside ``mapInArrow``, ``call_size`` of them at a time whatever the Arrow
 batches are. A call that fails is bisected: its halves are asked each by itself, so the
 good prompts around a bad one cost a few calls, not one each. A prompt that fails alone is
 retried with exponential back-off unless the failure is permanent; then its output is null
@@ -18,7 +18,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,15 +92,16 @@ def generate(prompts: DataFrame, responder: Responder, key: str = "key", max_att
     key_type = dict(prompts.dtypes)[key]
     limit = 2 * (call_size.bit_length() + max_attempts) if breaker is None else breaker
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caller = Caller(responder, max_attempts, backoff_min, backoff_max, limit)
-        for pdf in it:
-            msgs = [[{"role": m["role"], "content": m["content"]} for m in row] for row in pdf["messages"]]
-            outs = [x for at in range(0, len(msgs), call_size) for x in caller.ask(msgs[at:at + call_size])]
-            yield pd.DataFrame({key: pdf[key], "output": pd.Series([o for o, _ in outs], dtype=object, index=pdf.index),
-                                "status": pd.Series([x for _, x in outs], dtype=object, index=pdf.index)})
-
-    return prompts.select(key, "messages").mapInPandas(run, schema=f"{key} {key_type}, output string, status string")
+        for batch in batches:
+            for at in range(0, batch.num_rows, call_size):  # only one call's prompts are Python objects at a time
+                some = batch.slice(at, call_size)
+                outs = caller.ask([[{"role": m["role"], "content": m["content"]} for m in row] for row in some.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array([x[i] for x in outs], pa.string()) for i in (0, 1)]],
+                                                 names=[key, "output", "status"])
+
+    return prompts.select(key, "messages").mapInArrow(run, schema=f"{key} {key_type}, output string, status string")
 
 
 def answered(answers: DataFrame) -> DataFrame:
