@@ -173,12 +173,14 @@ def build_prompts(rows: DataFrame, system: str, batch_size: int = BATCH_SIZE, k:
     ex_arr = ex.groupBy(*g, "batch").agg(F.array_sort(F.collect_list(F.struct("slot", "user_msg", "asst_msg"))).alias("ex"))
     b = batch_ids(rows, "pos", batch_size)
     w = Window.partitionBy(*g, "batch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("tr", F.collect_list(F.struct("pos", "user_msg", "asst_msg")).over(w))
-    j = b.join(ex_arr, [*g, "batch"], "left")
     pair = lambda s: F.array(message("user", s["user_msg"]), message("assistant", s["asst_msg"]))
+    # messages are made once a row, before the rows after it collect them
+    b = b.withColumn("_pair", pair({"user_msg": F.col("user_msg"), "asst_msg": F.col("asst_msg")}))
+    b = b.withColumn("tr", F.collect_list("_pair").over(w)).drop("_pair")
+    j = b.join(ex_arr, [*g, "batch"], "left")
     msgs = F.concat(F.array(message("system", F.lit(system.format(dataset=dataset)))),
                     F.flatten(F.transform(F.coalesce(F.col("ex"), F.array().cast("array<struct<slot:long,user_msg:string,asst_msg:string>>")), pair)),
-                    F.flatten(F.transform(F.col("tr"), pair)),
+                    F.flatten("tr"),
                     F.array(message("user", F.col("user_msg"))))
     return j.select(*g, "key", "pos", "batch", msgs.alias("messages"))
 
