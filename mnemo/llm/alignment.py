@@ -446,12 +446,12 @@ class Alignment:
             return pa.RecordBatch.from_arrays([pa.array(pairs[first]), pa.array(total)], names=["pair", "n"])
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own: Tokenizers = shared.value
-            own.forget()
-            seen = np.zeros(0, np.int64)
+            own: Tokenizers = shared.value  # with the segments of the worker's tasks before
+            seen = np.zeros(len(own), np.int64)
 
             def total():
-                return out(own.links.used(), np.repeat(seen, own.links.counts()))
+                n = np.repeat(seen, own.links.counts())
+                return out(own.links.used()[n > 0], n[n > 0])
 
             for batch in batches:
                 for _, texts in _slices(batch, text):
