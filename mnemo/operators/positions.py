@@ -11,8 +11,9 @@ column, and nothing uses an un-partitioned window over the whole input:
 * ``prefix_sum`` is two-level: rows are cut into buckets of ``bucket`` consecutive
   order values, bucket totals get a running offset (one row per bucket), and the
   running sum inside a bucket is a window bounded by the bucket size. Group
-  columns are allowed, so a group holding a third of all rows is still split
-  into bounded buckets.
+  columns are allowed: only groups of more than ``bucket`` rows (at most one for each
+  ``bucket`` rows of the table) are cut, so a group holding a third of all rows is still
+  split into bounded buckets, and the many small groups need one shuffle and no totals.
 """
 
 from __future__ import annotations
@@ -32,17 +33,19 @@ def _cols(cols) -> list[Column]:
 
 
 def global_index(df: DataFrame, order: Sequence, out_col: str, start: int = 0,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Add a dense index (``start``, ``start+1``, ...) following ``order``.
 
-    ``order`` must be a total order (ties get an arbitrary but fixed order).
+    ``order`` must be a total order (ties get an arbitrary but fixed order). With ``keep``
+    only these columns are written and returned, so keys that nothing reads later cost no disk.
     """
     keys = _cols(order)
     own = [c for c in df.columns if c.lower() == "_metadata"]  # would hide what the scan knows of its files
     # without an explicit count AQE may merge adjacent range partitions (order is kept),
     # so small inputs get few tasks and large ones keep spark.sql.shuffle.partitions
     ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
-    sorted_ = ranged.sortWithinPartitions(*keys).withColumnsRenamed({c: "_mn_own" for c in own})
+    sorted_ = ranged.sortWithinPartitions(*keys)
+    sorted_ = (sorted_.select(*keep) if keep else sorted_).withColumnsRenamed({c: "_mn_own" for c in own})
     rows = staged(sorted_, "ordered")  # a file a partition, named in their order
     tagged = rows.withColumns({"_mn_file": F.col("_metadata.file_name"), "_mn_at": F.col("_metadata.row_index")})
     counts = rows.groupBy(F.col("_metadata.file_name").alias("_mn_file")).agg(F.count(F.lit(1)).alias("_mn_n"))
@@ -56,30 +59,44 @@ def global_index(df: DataFrame, order: Sequence, out_col: str, start: int = 0,
 
 def prefix_sum(df: DataFrame, value, order_col: str, out_col: str,
                group_cols: Sequence[str] = (), inclusive: bool = True,
-               bucket: int = DEFAULT_BUCKET) -> DataFrame:
+               bucket: int = DEFAULT_BUCKET, size_col: str | None = None) -> DataFrame:
     """Running sum of ``value`` in ``order_col`` order (within ``group_cols``).
 
-    ``order_col`` is a non-negative long, unique within a group (a row index).
+    ``order_col`` is a non-negative long, unique within a group (a row index). Rows that
+    have no order, or a null in a group column, are left out. ``size_col`` adds the number
+    of rows of the group (with ``group_cols`` only).
     """
     g = list(group_cols)
     val = F.col(value) if isinstance(value, str) else value
-    d = df.withColumn("_mn_v", val.cast("long")).withColumn(
-        "_mn_bk", F.floor(F.col(order_col) / F.lit(bucket)).cast("long"))
-    totals = d.groupBy(*g, "_mn_bk").agg(F.sum("_mn_v").alias("_mn_bt"))
+    d = df.withColumn("_mn_v", val.cast("long"))
+    place = F.floor(F.col(order_col) / F.lit(bucket)).cast("long")
+    for c in (*g, order_col):
+        d = d.filter(F.col(c).isNotNull())
+    if g:
+        large = (d.groupBy(*g).agg(F.count(F.lit(1)).alias("_mn_n"))
+                 .filter(F.col("_mn_n") > bucket))  # at most one for each ``bucket`` rows
+        d = d.join(F.broadcast(large), g, "left").withColumn("_mn_bk", F.when(F.col("_mn_n").isNotNull(), place).otherwise(F.lit(-1)))
+        cut = d.filter(F.col("_mn_n").isNotNull())
+    else:
+        d = cut = d.withColumn("_mn_bk", place)
+    totals = cut.groupBy(*g, "_mn_bk").agg(F.sum("_mn_v").alias("_mn_bt"))
     w_off = Window.partitionBy(*g).orderBy("_mn_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(*g, "_mn_bk", F.coalesce(F.sum("_mn_bt").over(w_off), F.lit(0)).alias("_mn_off"))
-    w_in = Window.partitionBy(*g, "_mn_bk").orderBy(order_col).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    inner = F.coalesce(F.sum("_mn_v").over(w_in), F.lit(0))
-    return (d.withColumn("_mn_in", inner).join(offs, [*g, "_mn_bk"])
-            .withColumn(out_col, (F.col("_mn_in") + F.col("_mn_off")).cast("long"))
-            .drop("_mn_v", "_mn_bk", "_mn_in", "_mn_off"))
+    w = Window.partitionBy(*g, "_mn_bk")
+    w_in = w.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    d = d.withColumn("_mn_in", F.coalesce(F.sum("_mn_v").over(w_in), F.lit(0)))
+    if size_col:
+        d = d.withColumn(size_col, F.coalesce(F.col("_mn_n"), F.count(F.lit(1)).over(w)))
+    return (d.join(offs, [*g, "_mn_bk"], "left")
+            .withColumn(out_col, (F.col("_mn_in") + F.coalesce(F.col("_mn_off"), F.lit(0))).cast("long"))
+            .drop("_mn_v", "_mn_n", "_mn_bk", "_mn_in", "_mn_off"))
 
 
 def index_within_group(df: DataFrame, group_cols: Sequence[str], order_col: str, out_col: str,
-                       start: int = 0, bucket: int = DEFAULT_BUCKET) -> DataFrame:
-    """Dense position of each row inside its group, in ``order_col`` order."""
-    out = prefix_sum(df, F.lit(1), order_col, "_mn_cnt", group_cols, inclusive=False, bucket=bucket)
+                       start: int = 0, bucket: int = DEFAULT_BUCKET, size_col: str | None = None) -> DataFrame:
+    """Dense position of each row inside its group, in ``order_col`` order; ``size_col`` as
+    in :func:`prefix_sum`."""
+    out = prefix_sum(df, F.lit(1), order_col, "_mn_cnt", group_cols, inclusive=False, bucket=bucket, size_col=size_col)
     return out.withColumn(out_col, (F.col("_mn_cnt") + F.lit(start)).cast("long")).drop("_mn_cnt")
 
 

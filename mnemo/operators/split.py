@@ -13,15 +13,13 @@ def train_test_split(interactions: DataFrame, train_ratio: float = 0.8, order_co
 
     Per user in row order: fewer than two rows -> all train; otherwise the first
     max(1, floor(ratio * n)) rows train and the rest test. The position inside a
-    user is two-level (bounded buckets), so a very active user is not one task.
+    user is two-level (bounded buckets), so a very active user is not one task, and comes
+    with the user's number of rows out of the same shuffle.
     """
-    pos = index_within_group(interactions, ["UserID"], order_col, "UserPos")
-    sizes = interactions.groupBy("UserID").agg(F.count(F.lit(1)).alias("_n"))
+    pos = index_within_group(interactions, ["UserID"], order_col, "UserPos", size_col="_n")
     n = F.col("_n")
     cut = F.when(n < 2, n).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(F.lit(float(train_ratio)) * n).cast("long")))
-    return (pos.join(sizes, "UserID")
-            .withColumn("split", F.when(F.col("UserPos") < cut, F.lit("train")).otherwise(F.lit("test")))
-            .drop("_n"))
+    return pos.withColumn("split", F.when(F.col("UserPos") < cut, F.lit("train")).otherwise(F.lit("test"))).drop("_n")
 
 
 def split_sizes(split: DataFrame) -> DataFrame:
