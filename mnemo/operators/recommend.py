@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from mnemo.functions.similarity import bag_bound_ok, bag_signature, edit_bound_ok, indel_ratio, length_bound
 from mnemo.operators.positions import global_index, position_in_group
-from mnemo.session import staged
-from mnemo.functions.text import normalize_title_clean, normalize_title_plain, py_strip, split_lines
+from mnemo.session import cpu_partitions, staged
+from mnemo.functions.text import WS_CHARS, normalize_title_clean, normalize_title_plain, py_strip, split_lines
 
 # Metric cutoffs and list length used by the reference.
 CUTOFFS = (1, 3, 5, 10, 20, 50)
@@ -56,11 +56,14 @@ def parse_ranked_lines(responses: DataFrame, key: str = "UserID") -> DataFrame:
     does not fit a long. One regular expression finds the digits; the rest of the line
     is cut off by position.
     """
-    lines = responses.select(key, F.posexplode(split_lines("output")).alias("line_no", "raw"))
-    s = lines.select(key, F.col("line_no").cast("long").alias("line_no"), py_strip(F.col("raw")).alias("line"))
-    s = s.withColumn("_digits", F.regexp_extract("line", r"^([0-9]+)\.", 1)).filter(F.col("_digits") != "")
-    title = py_strip(F.expr("substring(line, length(_digits) + 2)"))
-    s = s.select(key, "line_no", F.col("_digits").try_cast("bigint").alias("Rank"), title.alias("Title")).filter(F.col("Title") != "")
+    # stripped in the array: what comes out of an explode is computed once, not again in each filter
+    lines = F.transform(split_lines("output"), lambda x: py_strip(x))
+    s = responses.select(key, F.posexplode(lines).alias("line_no", "line"))
+    s = s.filter(F.substring("line", 1, 1).between("0", "9")).withColumn("_digits", F.regexp_extract("line", r"^([0-9]+)\.", 1))
+    # a stripped line ends in no white space, so whatever stands after the dot is more than that
+    s = s.filter((F.col("_digits") != "") & (F.length("line") > F.length("_digits") + 1))
+    title = F.ltrim(F.expr("substring(line, length(_digits) + 2)"), F.lit("".join(WS_CHARS)))
+    s = s.select(key, F.col("line_no").cast("long").alias("line_no"), F.col("_digits").try_cast("bigint").alias("Rank"), title.alias("Title"))
     return s.withColumn("ok", F.col("Rank").isNotNull() & (F.col("Rank") >= 1))
 
 
@@ -83,8 +86,11 @@ def enrich_titles(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def answered_users(responses: DataFrame, eligible: DataFrame) -> DataFrame:
     """Answers that came: of eligible users, without those of failed calls (null output),
-    which are in no population."""
-    return responses.filter(F.col("output").isNotNull()).join(eligible, "UserID", "left_semi")
+    which are in no population. They are dealt over a fixed number of partitions: lists of
+    the same titles shrink so well that merging partitions by size would leave a few tasks
+    with all the parsing."""
+    came = responses.filter(F.col("output").isNotNull()).repartition(cpu_partitions(responses.sparkSession), "UserID")
+    return came.join(eligible, "UserID", "left_semi")
 
 
 def eligible_users(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -113,11 +119,6 @@ def user_histories(train_titles: DataFrame, order_col: str = "RowIndex", chunk:
 
 # --------------------------------------------------------------------------- matching
 
-def _kernel_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def with_normalized(df: DataFrame, col: str, normalizer: Callable[[Column], Column], out: str, signed: bool = False) -> DataFrame:
     """Normalise each distinct value once and join the result back: titles repeat
     across users, the regexes cost far more than a hash probe, and AQE broadcasts
@@ -150,7 +151,7 @@ def match_recs(recs: DataFrame, test_titles: DataFrame, preset: Preset) -> DataF
         # stage into a few tasks
         kernel = (pairs.select("rec_norm", "test_norm").distinct()
                   .filter(edit_bound_ok("rec_norm", "test_norm", preset.threshold))
-                  .repartition(_kernel_partitions(recs))
+                  .repartition(cpu_partitions(recs.sparkSession))
                   .withColumn("ratio", indel_ratio("rec_norm", "test_norm"))
                   .filter(F.col("ratio") >= F.lit(float(preset.threshold)))
                   .select("rec_norm", "test_norm"))

@@ -192,9 +192,9 @@ SAMPLE_PER_TIER = 50
 
 
 def stage(spark, sf, name, build):
-    """A shared intermediate table, checkpointed once per session. These are the
+    """A shared intermediate table, written once per session. These are the
     files the reference hands between its scripts (train/test TSVs, the
-    recommendations checkpoint); later queries read the written partitions."""
+    recommendations checkpoint); later queries read the columns they need."""
     return D._cached(spark, sf, name, lambda: materialize(build()))
 
 
@@ -202,18 +202,21 @@ def split_table(spark, sf):
     return stage(spark, sf, "split", lambda: SP.train_test_split(D.interactions(spark, sf), TRAIN_RATIO))
 
 
+def enriched(spark, sf, part):
+    return RC.enrich_titles(split_table(spark, sf).filter(F.col("split") == part), D.items(spark, sf))
+
+
 def train_titles(spark, sf):
-    return stage(spark, sf, "train_titles", lambda: RC.enrich_titles(
-        split_table(spark, sf).filter(F.col("split") == "train"), D.items(spark, sf)))
+    return stage(spark, sf, "train_titles", lambda: enriched(spark, sf, "train"))
 
 
 def test_titles(spark, sf):
-    return stage(spark, sf, "test_titles", lambda: RC.enrich_titles(
-        split_table(spark, sf).filter(F.col("split") == "test"), D.items(spark, sf)))
+    return stage(spark, sf, "test_titles", lambda: enriched(spark, sf, "test"))
 
 
 def eligible(spark, sf):
-    return RC.eligible_users(train_titles(spark, sf), test_titles(spark, sf))
+    """Eligibility asks for users only, so the titles of both sides need not be written for it."""
+    return RC.eligible_users(enriched(spark, sf, "train"), enriched(spark, sf, "test"))
 
 
 def answered(spark, sf):

@@ -1,6 +1,6 @@
 """Session helpers: building a session for tests/bench and locating shared storage.
 
-Lineage is cut with ``DataFrame.checkpoint()`` into the folder named by
+Lineage is cut by writing Parquet files below the folder named by
 ``spark.checkpoint.dir``. On a cluster that setting points at shared storage and
 is read from the session; only when it is unset on a local master (unit tests, ad-hoc
 runs) do we create a local folder ourselves.
@@ -62,6 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/mnemo-scratch/{uuid.uuid4().hex}/{name}"
 
 
+def cpu_partitions(spark: SparkSession) -> int:
+    """Partitions for stages whose work is far larger than their bytes: a set number, which
+    keeps AQE from merging them into a few tasks."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder as Parquet and read it back: lineage is cut, a
     lost executor costs only the tasks that were running, and later scans are pruned."""
@@ -71,7 +77,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint: later stages read the written partitions, so a
-    lost executor recomputes from files instead of replaying the whole lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A shared intermediate table, written eagerly: later stages read its files, so a lost
+    executor recomputes from them instead of replaying the whole lineage. Files of columns
+    take a fraction of a checkpoint's rows, and what reads them reads the columns it needs."""
+    return staged(df, "kept")

@@ -5,7 +5,7 @@ driver ships TPC-H-like tables instead, so these functions derive the same
 logical tables from them (the definitions are the views in FIXTURES.md). Row
 order, which the reference takes from the file, is an explicit ``RowIndex``.
 
-Derived tables are cached per session: ``interactions`` needs a checkpointed
+Derived tables are cached per session: ``interactions`` needs a written
 global order, and every query that reads it can reuse the written partitions.
 """
 
@@ -51,7 +51,8 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
         li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
         j = li.join(o, li.l_orderkey == o.o_orderkey)
-        ranked = global_index(j, ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "RowIndex")
+        ranked = global_index(j, ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "RowIndex",
+                              keep=["o_custkey", "l_partkey"])
         return ranked.select(F.col("o_custkey").cast("long").alias("UserID"),
                              F.col("l_partkey").cast("long").alias("MovieID"), "RowIndex")
     return _cached(spark, sf_dir, "interactions", build)
