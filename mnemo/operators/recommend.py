@@ -104,17 +104,24 @@ HISTORY_CHUNK = 1 << 12
 def user_histories(train_titles: DataFrame, order_col: str = "RowIndex", chunk: int = HISTORY_CHUNK) -> DataFrame:
     """(UserID, n_titles, history): training titles in row order joined with ', '.
 
-    The history is the prompt text, so it is one value per user; it is built in
-    two levels so that no task sorts a very active user's whole list: chunks of
-    ``chunk`` consecutive positions are joined in parallel, then the chunk strings.
+    The history is the prompt text, so it is one value per user. Users of at most ``chunk``
+    rows, all but one for each ``chunk`` rows of the table, are joined as they are. The
+    others are built in two levels so that no task sorts a very active user's whole list:
+    chunks of ``chunk`` consecutive positions are joined in parallel, then the chunk strings.
     """
-    pos = position_in_group(train_titles, ["UserID"], order_col, "_hpos")
-    entry = F.struct(F.col("_hpos"), F.col("Title"))
-    parts = (pos.groupBy("UserID", F.floor(F.col("_hpos") / chunk).alias("_chunk"))
-             .agg(F.count(F.lit(1)).alias("_n"),
-                  F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["Title"]), ", ").alias("_part")))
+    rows = train_titles.filter(F.col("UserID").isNotNull())
+    large = rows.groupBy("UserID").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk).select("UserID", F.lit(True).alias("_large"))
+    marked = rows.select("UserID", F.col(order_col).alias("_at"), "Title").join(F.broadcast(large), "UserID", "left")
+
+    def texts(df: DataFrame, *by: str) -> DataFrame:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("_at", "Title"))), lambda s: s["Title"])
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.array_join(parts, ", ").alias("_part"))
+
+    whole = texts(marked.filter(F.col("_large").isNull()), "UserID").select("UserID", F.col("_n").alias("n_titles"), F.col("_part").alias("history"))
+    pos = position_in_group(marked.filter(F.col("_large").isNotNull()), ["UserID"], "_at", "_hpos")
+    parts = texts(pos.select("UserID", F.col("_hpos").alias("_at"), "Title", F.floor(F.col("_hpos") / chunk).alias("_chunk")), "UserID", "_chunk")
     joined = F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda s: s["_part"])
-    return parts.groupBy("UserID").agg(F.sum("_n").alias("n_titles"), F.array_join(joined, ", ").alias("history"))
+    return whole.unionByName(parts.groupBy("UserID").agg(F.sum("_n").alias("n_titles"), F.array_join(joined, ", ").alias("history")))
 
 
 # --------------------------------------------------------------------------- matching
