@@ -187,6 +187,16 @@ def _indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(indel_ratio_array(a, b))  # NaN becomes null on the way back to Spark
 
 
+@F.pandas_udf(DoubleType())
+def _indel_ratio_here_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(indel_ratio_array(a, b))
+
+
+# "not deterministic" is for the planner alone: it moves no filter on the ratio, and with it the
+# kernel, below a repartition or a distinct that stands there so that the kernel runs after it
+_indel_ratio_here_udf = _indel_ratio_here_udf.asNondeterministic()
+
+
 def register_functions(spark) -> None:
     """Make ``indel_ratio(a, b)`` (0 to 100, null if a side is null) known to SQL."""
     spark.udf.register("indel_ratio", _indel_ratio_udf)
@@ -200,6 +210,12 @@ def indel_ratio(a, b) -> Column:
     return _indel_ratio_udf(a, b)
 
 
+def indel_ratio_here(a: str, b: str) -> Column:
+    """:func:`indel_ratio` that stays where it is written: it runs on the rows and in the
+    partitions that it is given, not on those before a repartition or a distinct."""
+    return _indel_ratio_here_udf(F.col(a), F.col(b))
+
+
 def similarity(a, b) -> Column:
     """Similarity rounded to two decimals; equal strings short-cut to 100."""
     a = F.col(a) if isinstance(a, str) else a
@@ -212,7 +228,11 @@ def length_bound(a, b) -> Column:
     """Upper bound of the similarity from the lengths alone (LCS <= shorter length)."""
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
-    la, lb = F.length(a), F.length(b)
+    return length_bound_of(F.length(a), F.length(b))
+
+
+def length_bound_of(la: Column, lb: Column) -> Column:
+    """:func:`length_bound` for strings of these lengths."""
     return F.when(la + lb == 0, F.lit(100.0)).otherwise(
         F.least(la, lb).cast("double") * 200.0 / (la + lb))
 

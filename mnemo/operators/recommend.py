@@ -2,9 +2,10 @@
 HR@K / nDCG@K / MRR@K, list statistics and absent-item checks.
 
 Matching is an equi join on UserID with a residual of two bounds that lose no match: of
-lengths, and of bag signatures, 256 bits a title. Strings are normalised and signed once,
-(user, title) pairs are de-duplicated, equal strings match without the kernel, and the
-kernel runs once per distinct likely (recommended, test) string pair across all users.
+lengths, and of bag signatures, 256 bits a title. Strings are normalised and signed once and
+go by numbers from there on: rows of lists move once, with number and signature, equal
+numbers match without the kernel, and the kernel runs once per distinct likely
+(recommended, test) string pair across all users.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.functions.similarity import bag_bound_ok, bag_signature, edit_bound_ok, indel_ratio, length_bound
+from mnemo.functions.similarity import BAG_WORDS, bag_bound_ok, bag_signature, edit_bound_ok, indel_ratio_here, length_bound_of
 from mnemo.operators.positions import global_index, position_in_group
 from mnemo.session import cpu_partitions, staged
 from mnemo.functions.text import WS_CHARS, normalize_title_clean, normalize_title_plain, py_strip, split_lines
@@ -126,46 +127,77 @@ def user_histories(train_titles: DataFrame, order_col: str = "RowIndex", chunk:
 
 # --------------------------------------------------------------------------- matching
 
-def with_normalized(df: DataFrame, col: str, normalizer: Callable[[Column], Column], out: str, signed: bool = False) -> DataFrame:
-    """Normalise each distinct value once and join the result back: titles repeat
-    across users, the regexes cost far more than a hash probe, and AQE broadcasts
-    the distinct side at run time only when it is actually small. ``signed`` adds ``<out>_sig``,
-    the bag signature of the normalised value."""
-    d = df.select(col).distinct().select(col, normalizer(F.col(col)).alias(out))
-    if signed:
-        d = d.withColumn(f"{out}_sig", bag_signature(out))
-    return df.join(d, col, "left")
+def title_ids(recs: DataFrame, test_titles: DataFrame, preset: Preset) -> tuple[DataFrame, DataFrame]:
+    """(Title, id, ...) of every title of either side, and (id, norm) of every normalised one.
+
+    Titles repeat across users, so each is normalised once and each normalised string signed
+    once; equal ids are equal strings. Both tables are kept: a scan ends what the planner would
+    infer for the rows of lists (their titles normalised once more to see that they aren't
+    null), and a small one is broadcast before any row moves. Below a threshold of 100 the ids
+    come with what the bounds ask for: ``len`` and the words of the bag signature."""
+    titles = recs.select("Title").union(test_titles.select("Title")).filter(F.col("Title").isNotNull()).distinct()
+    named = staged(titles.select("Title", preset.normalizer(F.col("Title")).alias("norm")), "titles")
+    norms = named.select("norm").distinct().withColumn("id", F.monotonically_increasing_id())  # fixed by being written
+    if preset.threshold < 100:
+        norms = (norms.withColumn("_sig", bag_signature("norm"))
+                 .select("id", "norm", F.length("norm").alias("len"), *[F.get("_sig", F.lit(w)).alias(f"sig{w}") for w in range(BAG_WORDS)]))
+    norms = staged(norms, "norms")
+    return staged(named.join(norms, "norm").drop("norm"), "title_ids"), norms.select("id", "norm")
+
+
+def matching_pairs(recs: DataFrame, test_titles: DataFrame, preset: Preset, ids: DataFrame, norms: DataFrame) -> DataFrame:
+    """recs without ``Title`` + (rec_id, test_id): a row for each row of ``recs`` and each
+    different normalised test title of its user that is similar enough.
+
+    Rows move to their user once, as ids with signatures. The join's condition drops what
+    the lengths and the bag signatures rule out (neither ever rules out a match); what is
+    left are ids alone, which are kept, and the kernel runs once for each distinct pair."""
+    own = lambda df, side: df.join(ids, "Title").drop("Title").withColumnsRenamed(
+        {c: f"{side}_{c}" for c in ids.columns if c != "Title"})
+    r = own(recs, "rec")
+    t = own(test_titles.select("UserID", "Title"), "test").distinct()
+    keep = [c for c in recs.columns if c != "Title"] + ["rec_id", "test_id"]
+    equal = F.col("rec_id") == F.col("test_id")
+    if preset.threshold >= 100:  # ratio >= 100 <=> equal strings: a plain equi join
+        return r.join(t.withColumn("rec_id", F.col("test_id")), ["UserID", "rec_id"]).select(*keep)
+    la, lb = F.col("rec_len"), F.col("test_len")
+    signature = lambda side: F.array(*[F.col(f"{side}_sig{w}") for w in range(BAG_WORDS)])
+    likely = ((length_bound_of(la, lb) >= F.lit(preset.threshold - 1e-9))
+              & bag_bound_ok(signature("rec"), signature("test"), la, lb, preset.threshold))
+    pairs = staged(r.join(t, "UserID").filter(equal | likely).select(*keep), "pairs")
+    strings = lambda side: norms.select(F.col("id").alias(f"{side}_id"), F.col("norm").alias(f"{side}_norm"))
+    # a fixed partition count keeps AQE from coalescing this small-in-bytes, CPU-bound
+    # stage into a few tasks
+    kernel = (pairs.filter(~equal).select("rec_id", "test_id").distinct()
+              .join(strings("rec"), "rec_id").join(strings("test"), "test_id")
+              .filter(edit_bound_ok("rec_norm", "test_norm", preset.threshold))
+              .repartition(cpu_partitions(recs.sparkSession))
+              .withColumn("ratio", indel_ratio_here("rec_norm", "test_norm"))
+              .filter(F.col("ratio") >= F.lit(float(preset.threshold)))
+              .select("rec_id", "test_id"))
+    near = pairs.filter(~equal).join(kernel, ["rec_id", "test_id"], "left_semi").select(*keep)
+    return pairs.filter(equal).unionByName(near)
 
 
 def match_recs(recs: DataFrame, test_titles: DataFrame, preset: Preset) -> DataFrame:
-    """recs + ``match`` (1 when any test title of the user is similar enough).
-
-    A user's pairs of strings meet in one join on the user, whose condition drops what
-    the lengths and the bag signatures rule out (neither ever rules out a match), so only
-    likely pairs are moved on; those are kept, and the kernel runs once for each distinct one."""
-    norm, fuzzy = preset.normalizer, preset.threshold < 100
-    r = with_normalized(recs, "Title", norm, "rec_norm", fuzzy)
-    t = with_normalized(test_titles.select("UserID", "Title").distinct(), "Title", norm, "test_norm", fuzzy)
-    hits = t.select("UserID", F.col("test_norm").alias("rec_norm")).distinct()
-    if fuzzy:  # ratio >= 100 <=> equal strings: a plain equi join
-        likely = ((F.col("rec_norm") != F.col("test_norm"))
-                  & (length_bound("rec_norm", "test_norm") >= F.lit(preset.threshold - 1e-9))
-                  & bag_bound_ok(F.col("rec_norm_sig"), F.col("test_norm_sig"), F.length("rec_norm"), F.length("test_norm"), preset.threshold))
-        own = lambda df, c: df.select("UserID", c, f"{c}_sig").dropDuplicates(["UserID", c])
-        pairs = staged(own(r, "rec_norm").join(own(t, "test_norm"), "UserID").filter(likely)
-                       .select("UserID", "rec_norm", "test_norm"), "pairs")
-        # a fixed partition count keeps AQE from coalescing this small-in-bytes, CPU-bound
-        # stage into a few tasks
-        kernel = (pairs.select("rec_norm", "test_norm").distinct()
-                  .filter(edit_bound_ok("rec_norm", "test_norm", preset.threshold))
-                  .repartition(cpu_partitions(recs.sparkSession))
-                  .withColumn("ratio", indel_ratio("rec_norm", "test_norm"))
-                  .filter(F.col("ratio") >= F.lit(float(preset.threshold)))
-                  .select("rec_norm", "test_norm"))
-        near = pairs.join(kernel, ["rec_norm", "test_norm"], "left_semi").select("UserID", "rec_norm")
-        hits = hits.unionByName(near).distinct()
-    return (r.drop("rec_norm_sig").join(hits.withColumn("match", F.lit(1)), ["UserID", "rec_norm"], "left")
-            .withColumn("match", F.coalesce(F.col("match"), F.lit(0))))
+    """recs + ``rec_norm``, ``match`` (1 when any test title of the user is similar enough)."""
+    ids, norms = title_ids(recs, test_titles, preset)
+    hits = (matching_pairs(recs.select("UserID", "Title"), test_titles, preset, ids, norms)
+            .select("UserID", "rec_id").distinct().withColumn("match", F.lit(1)))
+    named = ids.select("Title", F.col("id").alias("rec_id")).join(norms.select(F.col("id").alias("rec_id"), F.col("norm").alias("rec_norm")), "rec_id")
+    return (recs.join(named, "Title", "left").join(hits, ["UserID", "rec_id"], "left")
+            .select("UserID", "rec_norm", "Title", *[c for c in recs.columns if c not in ("UserID", "Title")], F.coalesce(F.col("match"), F.lit(0)).alias("match")))
+
+
+def matched_ranks(recs: DataFrame, test_titles: DataFrame, preset: Preset) -> DataFrame:
+    """(UserID, Rank, match = 1) of the rows of ``recs`` that match, repeated rows repeated:
+    what :func:`user_metrics` asks of :func:`match_recs`, without moving the other rows again."""
+    ids, norms = title_ids(recs, test_titles, preset)
+    pairs = matching_pairs(recs.select("UserID", "Rank", "Title"), test_titles, preset, ids, norms)
+    # as many rows of a pair as there are rows of recs with this rank and string, whatever the test title
+    copies = (pairs.repartition("UserID").groupBy("UserID", "Rank", "rec_id", "test_id").agg(F.count(F.lit(1)).alias("_n"))
+              .groupBy("UserID", "Rank", "rec_id").agg(F.max("_n").alias("_n")))
+    return copies.select("UserID", "Rank", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))).alias("match"))
 
 
 # --------------------------------------------------------------------------- metrics
@@ -232,8 +264,8 @@ def ranking_metrics(recs: DataFrame, test_titles: DataFrame, responded: DataFram
                     cutoffs: Sequence[int] = CUTOFFS, digits: int | None = 6) -> DataFrame:
     """(k, hr, ndcg, mrr, n_users): means over the preset's population; 0.0 when empty."""
     users = population(preset, responded, recs, test_titles)
-    matched = match_recs(recs.join(users, "UserID", "left_semi"), test_titles, preset)
-    per = user_metrics(matched, test_titles.join(users, "UserID", "left_semi"), users, cutoffs)
+    # other users' rows need not be taken out first: the metrics of a user ask for that user's alone
+    per = user_metrics(matched_ranks(recs, test_titles, preset), test_titles, users, cutoffs)
     ks = recs.sparkSession.createDataFrame([(int(k),) for k in cutoffs], "k int")
     agg = per.groupBy("k").agg(F.avg("hr").alias("hr"), F.avg("ndcg").alias("ndcg"), F.avg("mrr").alias("mrr"),
                                F.count(F.lit(1)).alias("n_users"))
